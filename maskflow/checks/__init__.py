@@ -1 +1,19 @@
 """Registered queries over the test tables and the SQL that checks them."""
+
+from __future__ import annotations
+
+from maskflow.checks.base import ORACLES, QUERIES, Query
+
+
+def _load() -> None:
+    from maskflow.checks import mask_checks  # noqa: F401
+
+
+def all_queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)

@@ -68,16 +68,16 @@ def digits_of(value: Column) -> Column:
 def replace_last_digits(value: Column, count: int, replacement: Column) -> Column:
     """Write `replacement`, one character per digit, over the last `count` digits of `value`.
 
-    `replacement` must be as long as the digits it replaces: `count`, or fewer if `value` has fewer.
+    A value with fewer digits takes the first characters of `replacement`.
     """
     tail_pattern = rf"(?s)^(.*?)((?:[0-9][^0-9]*){{0,{count}}})$"
     head = F.regexp_extract(value, tail_pattern, 1)
     gaps = F.split(F.regexp_extract(value, tail_pattern, 2), "[0-9]", -1)
     pieces: list[Column] = [head]
     for i in range(count):
-        pieces.append(F.substring(replacement, i + 1, 1))
-        pieces.append(F.coalesce(F.get(gaps, F.lit(i + 1)), F.lit("")))
-    return F.concat(*pieces)
+        gap = F.get(gaps, F.lit(i + 1))
+        pieces.append(F.when(gap.isNotNull(), F.concat(F.substring(replacement, i + 1, 1), gap)).otherwise(F.lit("")))
+    return F.when(value.isNotNull() & replacement.isNotNull(), F.concat(*pieces))
 
 
 def shuffle_last_digits(value: Column, count: int, dg: Column) -> Column:

@@ -139,8 +139,7 @@ def formatted_numbers(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Ma
     value = ctx.value(name).cast("string")
     count = int(p["replace_last_digits"])
     drawn = draws.random_digits(ctx.key, p.get("scope", name), count, value)
-    # A value with fewer digits takes the first of them.
-    return df, replace_last_digits(value, count, F.when(value.isNotNull(), drawn))
+    return df, replace_last_digits(value, count, drawn)
 
 
 def email(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .appName("maskflow")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores))
