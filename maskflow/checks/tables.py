@@ -72,3 +72,21 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     return Lookups(spark, addresses=table(spark, sf_dir, "part", ADDRESSES))
+
+# Suppliers stand for places: several share a postcode, nations are the cantons.
+POSTCODES = [
+    "cast(1000 + s_suppkey % 60 AS int) AS plz_postleitzahl",
+    "s_name AS gemeinde_name",
+    "'Kanton ' || cast(s_nationkey AS string) AS kanton_name",
+    "'K' || cast(s_nationkey AS string) AS kanton_name_kurz",
+    "s_suppkey AS ord",
+]
+PLACES_SQL = select("supplier", POSTCODES)
+
+
+def place_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
+    return Lookups(
+        spark,
+        addresses=table(spark, sf_dir, "part", ADDRESSES),
+        postcodes=table(spark, sf_dir, "supplier", POSTCODES),
+    )

@@ -334,15 +334,19 @@ def address(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generate
 
 
 def incremental_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
-    start, period = p.get("start_date", "2025-01-01"), p.get("step_period", "day")
-    step = int(p.get("delta_days", p.get("step", 1)))
-    if period.startswith("month"):
-        stepped = F.add_months(F.lit(start).cast("date"), (ctx.row * step).cast("int"))
-    elif period.startswith("year"):
-        stepped = F.add_months(F.lit(start).cast("date"), (ctx.row * step * 12).cast("int"))
+    """A date per row, one step apart; null after the year 9999."""
+    start = dt.date.fromisoformat(p.get("start_date", "2025-01-01"))
+    period, step = p.get("step_period", "day"), int(p.get("delta_days", p.get("step", 1)))
+    first = F.lit(start.isoformat()).cast("date")
+    offset = ctx.row * F.lit(step * {"week": 7, "year": 12}.get(period, 1)).cast("bigint")
+    if period in ("month", "year"):
+        last = (9999 - start.year) * 12 + 12 - start.month
+        stepped = F.add_months(first, F.when(offset <= last, offset).cast("int"))
+    elif period in ("day", "week"):
+        last = (dt.date.max - start).days
+        stepped = F.date_add(first, F.when(offset <= last, offset).cast("int"))
     else:
-        days = step * (7 if period.startswith("week") else 1)
-        stepped = F.date_add(F.lit(start).cast("date"), (ctx.row * days).cast("int"))
+        raise ValueError(f"{name}: unknown step_period {period!r}")
     return df, single(name, F.date_format(stepped, DATE_TEXT))
 
 
