@@ -114,8 +114,9 @@ def _redact_entity(value: Column, entity: str, rule: Redaction) -> Column:
     operator = rule.operator(entity)
 
     def piece(between: Column, hit: Column) -> Column:
+        # There is one text piece more than there are hits.
         new = F.when(_keep_span(entity, hit, rule), operator.apply(hit)).otherwise(hit)
-        return F.concat(between, F.coalesce(new, F.lit("")))
+        return F.when(hit.isNotNull(), F.concat(between, new)).otherwise(between)
 
     rebuilt = F.array_join(F.zip_with(rest, hits, piece), "")
     # Most texts have no candidate and pass with a single scan.
