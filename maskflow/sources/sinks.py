@@ -16,7 +16,7 @@ def write_table(df: DataFrame, path: str, config: dict | None = None, mode: str
     if kind == "csv":
         writer.option("header", True).option("sep", options.get("separator", ",")).option(
             "encoding", options.get("encoding", "utf-8")
-        ).option("escape", '"').csv(path)
+        ).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif kind in ("parquet", "json", "orc"):
         writer.format(kind).save(path)
     else:
@@ -36,5 +36,5 @@ def write_config(spark: SparkSession, config: dict, path: str, mode: str = "over
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """A configuration written by `write_config`, or any single JSON file."""
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     return json.loads(row["value"])
