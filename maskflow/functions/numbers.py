@@ -6,17 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Decimal numbers as text; the JVM would also read `1d`, `2f` and hexadecimal.
+NUMBER_SHAPE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_double(value: Column) -> Column:
-    """A number from text; the `1d`, `2f` and hexadecimal spellings of the JVM are no numbers."""
+    """A number from text; the shape is tested first, since a failed cast is slow."""
     shown = F.trim(value.cast("string"))
-    return F.when(~shown.rlike("[xX]|[0-9.][dDfF]$"), shown.try_cast("double"))
+    return F.when(shown.rlike(NUMBER_SHAPE), shown.try_cast("double"))
 
 
 def to_whole(value: Column) -> Column:
     """A bigint from text such as `7`, `12.0` or `1e3`; null for anything else."""
     number = to_double(value)
     whole = F.when((number == F.floor(number)) & (F.abs(number) < F.lit(9.2e18)), number.try_cast("bigint"))
-    return F.coalesce(value.cast("string").try_cast("bigint"), whole)
+    digits = value.cast("string").rlike(r"^\s*[+-]?[0-9]{1,18}\s*$")
+    return F.when(digits, F.trim(value.cast("string")).try_cast("bigint")).otherwise(whole)
 
 
 def social_security_number(draw: Column) -> Column:

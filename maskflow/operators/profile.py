@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskflow.functions.names import column as named
-from maskflow.functions.numbers import to_double
+from maskflow.functions.numbers import NUMBER_SHAPE, to_double
 
 # Spellings of a truth value, the order of the types, the shapes of a date.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no", "t", "f", "y", "n"]
@@ -18,8 +18,19 @@ YEAR_LAST = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}|^[0-9]{2}-[0-9]{2}-[0-9]{4}"
 TIME_PART = r"^.{10}([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?[ ]*(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 
 
+# Bits of a value: ten for the truth words, then one for each type it does not fit.
+NO_BOOLEAN, NO_DATE, NO_INTEGER, NO_FLOAT = 1 << 10, 1 << 11, 1 << 12, 1 << 13
+WORD_BITS = NO_BOOLEAN - 1
+NOTHING = NO_BOOLEAN | NO_DATE | NO_INTEGER | NO_FLOAT
+
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+FRACTIONS = (T.DoubleType, T.FloatType, T.DecimalType)
+DAYS = (T.DateType, T.TimestampType, T.TimestampNTZType)
+TEXTS = (T.StringType, T.CharType, T.VarcharType)
+
+
 def word_bit(value: Column) -> Column:
-    """One bit per truth word, so that a bitwise or counts the distinct words."""
+    """One bit per truth word, so that a bitwise or counts the distinct words; 0 for other values."""
     word = F.lower(F.trim(value.cast("string")))
     bits = F.when(word == BOOLEAN_WORDS[0], F.lit(1))
     for i, w in enumerate(BOOLEAN_WORDS[1:], start=1):
@@ -33,18 +44,18 @@ def is_date(value: Column) -> Column:
     first, last = shown.rlike(YEAR_FIRST), shown.rlike(YEAR_LAST)
 
     def day(year: Column, month: Column, date: Column) -> Column:
-        return F.concat(year, F.lit("-"), month, F.lit("-"), date).try_cast("date")
+        return F.concat(year, F.lit("-"), month, F.lit("-"), date).try_cast("date").isNotNull()
 
     a, b = F.substring(shown, 1, 2), F.substring(shown, 4, 2)
     y = F.substring(shown, 7, 4)
-    parsed = F.when(first, day(F.substring(shown, 1, 4), F.substring(shown, 6, 2), F.substring(shown, 9, 2))).when(
-        last, F.coalesce(day(y, a, b), day(y, b, a))
+    real = F.when(first, day(F.substring(shown, 1, 4), F.substring(shown, 6, 2), F.substring(shown, 9, 2))).when(
+        last, day(y, a, b) | day(y, b, a)
     )
-    return F.coalesce(parsed.isNotNull() & shown.rlike(TIME_PART), F.lit(False))
+    return F.coalesce(real & shown.rlike(TIME_PART), F.lit(False))
 
 
 def is_number(value: Column) -> Column:
-    return to_double(value).isNotNull()
+    return F.coalesce(F.trim(value.cast("string")).rlike(NUMBER_SHAPE), F.lit(False))
 
 
 def is_whole(value: Column) -> Column:
@@ -52,61 +63,88 @@ def is_whole(value: Column) -> Column:
     return F.coalesce((number == F.floor(number)) & (F.abs(number) < F.lit(1e300)), F.lit(False))
 
 
-def _present(c: Column, kind: T.DataType) -> Column:
-    return c.isNotNull() & ~F.isnan(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c.isNotNull()
-
-
-def _tests(c: Column, kind: T.DataType) -> dict[str, Column]:
-    """Aggregates of a column; those a declared type settles are constants."""
-    present = _present(c, kind)
-    always, never = F.lit(0).cast("bigint"), F.count_if(present)
-    misses = {
-        "bool": F.count_if(present & (word_bit(c) == 0)),
-        "date": F.count_if(present & ~is_date(c)),
-        "int": F.count_if(present & ~is_whole(c)),
-        "float": F.count_if(present & ~is_number(c)),
-    }
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        misses.update(date=never, int=always, float=always)
-    elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        misses.update(bool=never, date=never, int=F.count_if(present & ((c != F.floor(c)) | F.isnull(F.floor(c)))), float=always)
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        misses.update(bool=never, date=always, int=never, float=never)
+def _bit(fits: Column, bit: int) -> Column:
+    return F.when(fits, F.lit(0)).otherwise(F.lit(bit))
+
+
+def text_bits(value: Column) -> Column:
+    """The bits of a text value."""
+    # No truth word is longer than five letters, no date shorter than ten characters.
+    words = F.when(F.length(value) <= 5, word_bit(value)).otherwise(F.lit(0))
+    words = F.when(words == 0, F.lit(NO_BOOLEAN)).otherwise(words)
+    date = F.when(F.length(value) >= 10, _bit(is_date(value), NO_DATE)).otherwise(F.lit(NO_DATE))
+    number = F.when(
+        is_number(value), _bit(is_whole(value), NO_INTEGER)
+    ).otherwise(F.lit(NO_INTEGER | NO_FLOAT))
+    return words.bitwiseOR(date).bitwiseOR(number)
+
+
+def _typed_bits(c: Column, kind: T.DataType) -> Column:
+    """The bits that a declared type leaves open; null for missing values."""
+    if isinstance(kind, INTEGERS):
+        small = F.when(c == 1, F.lit(1 << BOOLEAN_WORDS.index("1"))).when(c == 0, F.lit(1 << BOOLEAN_WORDS.index("0")))
+        bits = small.otherwise(F.lit(NO_BOOLEAN)).bitwiseOR(F.lit(NO_DATE))
+    elif isinstance(kind, FRACTIONS):
+        whole = F.coalesce((c == F.floor(c)) & (F.abs(c) < F.lit(1e300)), F.lit(False))
+        bits = _bit(whole, NO_INTEGER).bitwiseOR(F.lit(NO_BOOLEAN | NO_DATE))
+        if not isinstance(kind, T.DecimalType):
+            return F.when(c.isNotNull() & ~F.isnan(c), bits)
+    elif isinstance(kind, DAYS):
+        bits = F.lit(NOTHING & ~NO_DATE)
     elif isinstance(kind, T.BooleanType):
-        misses.update(date=never, int=never, float=never)
-    elif not isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
-        misses = dict.fromkeys(misses, never)
-    words = F.lit(0) if misses["bool"] is never else F.coalesce(F.bit_or(F.when(present, word_bit(c))), F.lit(0))
-    return {"n": F.count_if(present), "words": words, **misses}
+        bits = F.when(c, F.lit(1 << BOOLEAN_WORDS.index("true"))).otherwise(F.lit(1 << BOOLEAN_WORDS.index("false")))
+        bits = bits.bitwiseOR(F.lit(NOTHING & ~NO_BOOLEAN))
+    else:
+        bits = F.lit(NOTHING)
+    return F.when(c.isNotNull(), bits)
 
 
 def detect_types(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, values that are not null.
+    """One row per column: position, name, type, values that are not null, rows.
 
-    The first type that fits every value wins, in the order boolean, date, integer, float, string.
+    The first type that fits every value wins, in the order boolean, date, integer, float, string. Cells
+    become rows of (position, text or bits), so one small expression serves a table of any width, and the
+    aggregation keeps one row per column in each task.
     """
-    aggregates = [F.count("*").alias("__rows")]
-    for i, f in enumerate(df.schema.fields):
-        for test, agg in _tests(named(f.name), f.dataType).items():
-            aggregates.append(agg.alias(f"{test}_{i}"))
-    one = df.agg(*aggregates)
-    entries = []
+    if not df.columns:
+        raise ValueError("the table has no columns")
+    cells = []
     for i, f in enumerate(df.schema.fields):
-        kind = (
-            F.when(F.col(f"n_{i}") == 0, F.lit("string"))
-            .when((F.col(f"bool_{i}") == 0) & (F.bit_count(F.col(f"words_{i}")) <= 2), F.lit("boolean"))
-            .when(F.col(f"date_{i}") == 0, F.lit("date"))
-            .when(F.col(f"int_{i}") == 0, F.lit("integer"))
-            .when(F.col(f"float_{i}") == 0, F.lit("float"))
-            .otherwise(F.lit("string"))
-        )
-        entries.append(
+        c = named(f.name)
+        is_text = isinstance(f.dataType, TEXTS)
+        cells.append(
             F.struct(
                 F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                kind.alias("type"),
-                F.col(f"n_{i}").alias("filled"),
-                F.col("__rows").alias("rows"),
+                (F.trim(c) if is_text else F.lit(None).cast("string")).alias("text"),
+                (F.lit(None).cast("int") if is_text else _typed_bits(c, f.dataType)).alias("bits"),
             )
         )
-    return one.select(F.inline(F.array(*entries)))
+    long = df.select(F.inline(F.array(*cells)))
+    bits = F.when(F.col("text").isNotNull(), text_bits(F.col("text"))).otherwise(F.col("bits"))
+    seen = long.select("position", bits.alias("bits")).groupBy("position").agg(
+        F.bit_or("bits").alias("bits"), F.count("bits").alias("filled"), F.count("*").alias("rows")
+    )
+    names = F.array(*[F.lit(c) for c in df.columns])
+    # A table without rows still has columns.
+    blank = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("position"))
+    found = blank.join(seen, "position", "left")
+
+    def lacks(bit: int) -> Column:
+        return F.col("bits").bitwiseAND(F.lit(bit)) == 0
+
+    few_words = F.bit_count(F.col("bits").bitwiseAND(F.lit(WORD_BITS))) <= 2
+    kind = (
+        F.when(F.col("bits").isNull(), F.lit("string"))
+        .when(lacks(NO_BOOLEAN) & few_words, F.lit("boolean"))
+        .when(lacks(NO_DATE), F.lit("date"))
+        .when(lacks(NO_INTEGER), F.lit("integer"))
+        .when(lacks(NO_FLOAT), F.lit("float"))
+        .otherwise(F.lit("string"))
+    )
+    return found.select(
+        "position",
+        F.element_at(names, F.col("position") + 1).alias("column"),
+        kind.alias("type"),
+        F.coalesce(F.col("filled"), F.lit(0).cast("bigint")).alias("filled"),
+        F.coalesce(F.col("rows"), F.lit(0).cast("bigint")).alias("rows"),
+    )
