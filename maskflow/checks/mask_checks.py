@@ -17,8 +17,9 @@ from maskflow.checks.tables import (
     table_lookups,
 )
 from maskflow.functions.draws import digest as spark_digest
+from maskflow.functions.stage import Stage
 from maskflow.functions.text import normalise_name, split_street
-from maskflow.operators.masks import HOUSE_LETTERS, MaskContext, blank_to_null, join_gender, spread_factors
+from maskflow.operators.masks import HOUSE_LETTERS, MaskContext, blank_to_null, gender_of, spread_factors
 from maskflow.plans.mask import mask_table, plan_masks
 from maskflow.sources.lookups import FEMALE_NAMES, LAST_NAMES, MALE_NAMES, STREETS, Lookups
 
@@ -123,8 +124,10 @@ SELECT p.id, p.vorname, {GUESSED} AS gender FROM p LEFT JOIN k ON k.vorname = p.
 )
 def gender_of_first_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = people(spark, sf_dir)
-    ctx = MaskContext(KEY, Lookups(spark), df, {f.name: f.dataType for f in df.schema.fields}, order=df.columns)
-    return join_gender(df, "vorname", ctx, "gender").select("id", "vorname", "gender")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ctx = MaskContext(KEY, Lookups(spark), df, Stage(df), types, order=df.columns)
+    gender = gender_of("vorname", ctx)
+    return ctx.stage.df.select("id", "vorname", gender.alias("gender"))
 
 
 # --- digits ----------------------------------------------------------------
@@ -188,8 +191,10 @@ SELECT doc_id, lower(regexp_replace(replace(replace(strip_accents(text), ' ', '.
 FROM documents
 """,
 )
-def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", normalise_name(F.col("text")).alias("normalised"))
+def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    normalised = normalise_name(stage, F.col("text"))
+    return stage.df.select("doc_id", normalised.alias("normalised"))
 
 
 PROVIDERS = ["gmail.com", "bluewin.ch", "gmx.ch", "hotmail.com"]

@@ -13,6 +13,8 @@ import secrets
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskflow.functions.stage import Stage
+
 DRAW_RANGE = 2.0**60
 DRAWS_PER_DIGEST = 4
 _HEX_PER_DRAW = 15
@@ -66,7 +68,7 @@ def one_of(items: list, dg: Column, index: int = 0) -> Column:
     return F.element_at(F.array(*[F.lit(i) for i in items]), (below(dg, len(items), index) + 1).cast("int"))
 
 
-def weighted_choice(items: list, weights: list[float] | None, dg: Column, index: int = 0) -> Column:
+def weighted_choice(stage: Stage, items: list, weights: list[float] | None, dg: Column, index: int = 0) -> Column:
     """A choice from a short literal list with relative weights."""
     if not weights:
         return one_of(items, dg, index)
@@ -75,7 +77,7 @@ def weighted_choice(items: list, weights: list[float] | None, dg: Column, index:
     total = float(sum(weights))
     if total <= 0 or min(weights) < 0:
         raise ValueError("weights must not be negative and must not all be zero")
-    u = unit(dg, index)
+    u = stage.keep(unit(dg, index))
     chosen, reached = None, 0.0
     for item, weight in list(zip(items, weights))[:-1]:
         reached += weight

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskflow.functions.stage import Stage
+
 
 # Decimal numbers as text; the JVM would also read `1d`, `2f` and hexadecimal.
 NUMBER_SHAPE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -24,21 +26,20 @@ def to_whole(value: Column) -> Column:
     return F.when(digits, F.trim(value.cast("string")).try_cast("bigint")).otherwise(whole)
 
 
-def social_security_number(draw: Column) -> Column:
+def social_security_number(stage: Stage, draw: Column) -> Column:
     """`756.dddd.dddd.cc`; digits weigh 1 and 3 in turn, 28 is the sum for the fixed 756."""
-    identifier = draw % F.lit(10**8).cast("bigint")
+    identifier = stage.keep(draw % F.lit(10**8).cast("bigint"))
     total: Column = F.lit(28).cast("bigint")
     for place in range(8):
         digit = F.floor(identifier / F.lit(float(10 ** (7 - place)))) % 10
         total = total + digit * (3 if place % 2 == 0 else 1)
-    remainder = total % 11
+    remainder, shown = stage.keep_all([total % 11, F.lpad(identifier.cast("string"), 8, "0")])
     check = F.when(remainder < 2, F.lit(0)).otherwise(F.lit(11) - remainder)
-    shown = F.lpad(identifier.cast("string"), 8, "0")
     return F.concat(
         F.lit("756."),
         F.substring(shown, 1, 4),
         F.lit("."),
         F.substring(shown, 5, 4),
-        F.lit("."),
-        F.lpad(check.cast("string"), 2, "0"),
+        F.lit(".0"),
+        check.cast("string"),
     )

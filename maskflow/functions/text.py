@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -9,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskflow.functions.stage import Stage
+
 
 @lru_cache(maxsize=1)
 def ascii_folding() -> tuple[dict[str, str], dict[str, str]]:
@@ -30,19 +33,19 @@ def ascii_folding() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
-def normalise_name(value: Column) -> Column:
+def normalise_name(stage: Stage, value: Column) -> Column:
     """Fold to ASCII, turn blanks and hyphens into dots, drop everything else, lower case."""
     single, several = ascii_folding()
-    spread = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    expanded = F.array_join(
-        F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), ""
-    )
-    unfolded = F.when(value.rlike("[" + "".join(several) + "]"), expanded).otherwise(value)
-    folded = F.when(
-        value.rlike(r"[^\x00-\x7F]"),
-        F.translate(unfolded, "".join(single), "".join(single.values())),
-    ).otherwise(value)
-    return F.lower(F.regexp_replace(F.translate(folded, " -", ".."), "[^a-zA-Z0-9.]", ""))
+    # One pass folds accents, lowers letters and drops ASCII punctuation: what has no counterpart is deleted.
+    kept = {c: c.lower() for c in string.ascii_uppercase} | {" ": ".", "-": "."}
+    kept |= {c: kept.get(f, f) for c, f in single.items()}
+    dropped = "".join(chr(i) for i in range(1, 128) if not (chr(i).isalnum() or chr(i) in ". -"))
+    folded = stage.keep(F.translate(value, "".join(kept) + dropped, "".join(kept.values())))
+    rest = {c: "".join(kept.get(x, x) for x in f) for c, f in several.items()}
+    spread = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
+    letters = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c))
+    expanded = F.when(folded.rlike("[" + "".join(rest) + "]"), F.array_join(letters, "")).otherwise(folded)
+    return F.when(folded.rlike("[^a-z0-9.]"), F.regexp_replace(expanded, "[^a-z0-9.]+", "")).otherwise(folded)
 
 
 def is_filled(value: Column) -> Column:
@@ -53,11 +56,9 @@ def is_filled(value: Column) -> Column:
 def split_street(value: Column) -> tuple[Column, Column]:
     """`Marktgasse 12` to (`Marktgasse`, `12`); without a trailing number (whole text, null)."""
     trimmed = F.regexp_replace(value, r"^\s+|\s+$", "")
-    pattern = r"^(.*)\s+([0-9]+)$"
-    number = F.when(trimmed.rlike(pattern), F.regexp_extract(trimmed, pattern, 2))
-    street = F.when(
-        trimmed.rlike(pattern), F.regexp_replace(F.regexp_extract(trimmed, pattern, 1), r"\s+$", "")
-    ).otherwise(trimmed)
+    pattern = r"^(.*\S)\s+([0-9]+)$|^()\s+([0-9]+)$"
+    number = F.nullif(F.regexp_extract(trimmed, pattern, 2), F.lit(""))
+    street = F.when(number.isNotNull(), F.regexp_extract(trimmed, pattern, 1)).otherwise(trimmed)
     return street, number
 
 
@@ -65,27 +66,29 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def replace_last_digits(value: Column, count: int, replacement: Column) -> Column:
+def replace_last_digits(stage: Stage, value: Column, count: int, replacement: Column) -> Column:
     """Write `replacement`, one character per digit, over the last `count` digits of `value`.
 
     A value with fewer digits takes the first characters of `replacement`.
     """
-    tail_pattern = rf"(?s)^(.*?)((?:[0-9][^0-9]*){{0,{count}}})$"
-    head = F.regexp_extract(value, tail_pattern, 1)
-    gaps = F.split(F.regexp_extract(value, tail_pattern, 2), "[0-9]", -1)
-    pieces: list[Column] = [head]
+    value, replacement = stage.keep_all([value, replacement])
+    # The last digits with what lies between them; the text before them is kept as it is.
+    tail = stage.keep(F.regexp_extract(value, rf"((?:[0-9][^0-9]*){{1,{count}}})$", 1))
+    gaps = stage.keep(F.split(tail, "[0-9]", -1))
+    pieces: list[Column] = [F.substring(value, F.lit(1), F.length(value) - F.length(tail))]
     for i in range(count):
-        gap = F.get(gaps, F.lit(i + 1))
-        pieces.append(F.when(gap.isNotNull(), F.concat(F.substring(replacement, i + 1, 1), gap)).otherwise(F.lit("")))
-    return F.when(value.isNotNull() & replacement.isNotNull(), F.concat(*pieces))
+        # An empty text once the digits have run out.
+        digit = F.substring(replacement, F.lit(i + 1), F.when(F.size(gaps) > i + 1, F.lit(1)).otherwise(F.lit(0)))
+        pieces += [digit, F.coalesce(F.get(gaps, F.lit(i + 1)), F.lit(""))]
+    return F.concat(*pieces)
 
 
-def shuffle_last_digits(value: Column, count: int, dg: Column) -> Column:
+def shuffle_last_digits(stage: Stage, value: Column, count: int, dg: Column) -> Column:
     """Permute the last `count` digits (at most seven) in place."""
     if count > 7:
         raise ValueError("one digest orders at most seven digits")
-    digits = digits_of(value)
-    tail = F.when(F.length(digits) > count, F.substring(digits, -count, count)).otherwise(digits)
+    digits = stage.keep(digits_of(value))
+    tail = stage.keep(F.when(F.length(digits) > count, F.substring(digits, -count, count)).otherwise(digits))
     keyed = F.sort_array(
         F.array(
             *[
@@ -98,15 +101,14 @@ def shuffle_last_digits(value: Column, count: int, dg: Column) -> Column:
             ]
         )
     )
-    permuted = F.array_join(keyed["d"], "")
-    return replace_last_digits(value, count, permuted)
+    return replace_last_digits(stage, value, count, F.array_join(keyed["d"], ""))
 
 
-def fill_format(pattern: Column, longest: int, digits: Column) -> Column:
+def fill_format(stage: Stage, pattern: Column, longest: int, digits: Column) -> Column:
     """Replace every `x` of a number format by the next digit."""
-    gaps = F.split(pattern, "x", -1)
+    gaps, digits = stage.keep_all([F.split(pattern, "x", -1), digits])
     pieces: list[Column] = [F.element_at(gaps, 1)]
     for i in range(longest):
-        gap = F.get(gaps, F.lit(i + 1))
-        pieces.append(F.when(gap.isNotNull(), F.concat(F.substring(digits, i + 1, 1), gap)).otherwise(F.lit("")))
+        digit = F.substring(digits, F.lit(i + 1), F.when(F.size(gaps) > i + 1, F.lit(1)).otherwise(F.lit(0)))
+        pieces += [digit, F.coalesce(F.get(gaps, F.lit(i + 1)), F.lit(""))]
     return F.concat(*pieces)

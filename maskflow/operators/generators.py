@@ -1,7 +1,8 @@
 """Column generators for new tables.
 
-A generator gets the growing frame, the column name and its settings. Every draw is keyed by the row id, so
-a row has the same values wherever it is computed.
+A generator gets the column name, its settings and the shared context, and returns its columns; helper
+columns and lookup joins go onto the context's stage. Every draw is keyed by the row id, so a row has the same
+values wherever it is computed.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from maskflow.functions.dates import DATE_TEXT, day_text
 from maskflow.functions.names import column as named
 from maskflow.functions.numbers import social_security_number
 from maskflow.functions.permute import permute
+from maskflow.functions.stage import Stage
 from maskflow.functions.text import fill_format, is_filled, normalise_name
 from maskflow.operators.masks import OGD, address_text, house_number_from
 from maskflow.operators.ranks import bucket_digits, nth_digest, positions
-from maskflow.operators.slots import build_slots, pick, row_digest, slots_in_order
+from maskflow.operators.slots import Slots, build_slots, pick, row_digest, slots_in_order
 from maskflow.sources.lookups import (
     Lookups,
     library_any_first_name,
@@ -47,7 +49,7 @@ ADDRESS_SPELLINGS = {"str_name": "streetname", "housnumber": "housenumber", "hau
 NO_POSTCODE = -99
 REDRAWS = 8
 
-Generated = tuple[DataFrame, dict[str, Column]]
+Generated = dict[str, Column]
 
 
 @dataclass
@@ -59,22 +61,32 @@ class GenerateContext:
     ids: DataFrame
     id: str
     lookups: Lookups
+    stage: Stage
 
     @property
     def row(self) -> Column:
         return F.col(self.id)
 
     def digest(self, name: str, part: str = "") -> Column:
+        return self.stage.keep(self.row_digest(name, part))
+
+    def row_digest(self, name: str, part: str = "") -> Column:
+        """The digest as an expression over the row ids."""
         scope = f"{name}#{part}" if part else name
         return draws.digest(self.key, scope, self.row)
 
+    def pick(self, slots: Slots, draw: Column, group: Column | None = None, position: bool = False) -> Column:
+        into = self.stage.name()
+        self.stage.df = pick(self.stage.df, slots, draw, into, group, position)
+        return F.col(into)
+
     def exactly(self, name: str, part: str, count: int) -> Column:
         """True for exactly `count` rows, spread at random."""
         if count <= 0:
             return F.lit(False)
         if count >= self.rows:
             return F.lit(True)
-        dg = self.digest(name, part)
+        dg = self.row_digest(name, part)
         return dg <= nth_digest(self.ids, dg, count, bucket_digits(self.rows))
 
 
@@ -101,29 +113,29 @@ def single(name: str, value: Column) -> dict[str, Column]:
     return {name: value}
 
 
-def incremental_int(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def incremental_int(name: str, p: dict, ctx: GenerateContext) -> Generated:
     low = int(p.get("min_value", p.get("min", 0)))
     if p.get("sequential") is False:
         high = int(p.get("max_value", p.get("max", low + ctx.rows)))
-        return df, single(name, F.lit(low).cast("bigint") + draws.below(ctx.digest(name), high - low))
-    return df, single(name, F.lit(low).cast("bigint") + ctx.row * F.lit(int(p.get("step", 1))).cast("bigint"))
+        return single(name, F.lit(low).cast("bigint") + draws.below(ctx.digest(name), high - low))
+    return single(name, F.lit(low).cast("bigint") + ctx.row * F.lit(int(p.get("step", 1))).cast("bigint"))
 
 
-def random_int(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def random_int(name: str, p: dict, ctx: GenerateContext) -> Generated:
     low, high = int(p.get("min", 0)), int(p.get("max", 1000))
     if high <= low:
         raise ValueError(f"{name}: max must be above min")
     if p.get("unique"):
         if ctx.rows > high - low:
             raise ValueError(f"{name}: {ctx.rows} rows do not fit into {high - low} integers")
-        return df, single(name, F.lit(low).cast("bigint") + permute(ctx.row, high - low, ctx.key, name))
-    return df, single(name, F.lit(low).cast("bigint") + draws.below(ctx.digest(name), high - low))
+        return single(name, F.lit(low).cast("bigint") + permute(ctx.row, high - low, ctx.key, name))
+    return single(name, F.lit(low).cast("bigint") + draws.below(ctx.digest(name), high - low))
 
 
-def random_float(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def random_float(name: str, p: dict, ctx: GenerateContext) -> Generated:
     low, high = float(p["min"]), float(p["max"])
     value = F.lit(low) + draws.unit(ctx.digest(name)) * F.lit(high - low)
-    return df, single(name, F.round(value, int(p["digits"])) if "digits" in p else value)
+    return single(name, F.round(value, int(p["digits"])) if "digits" in p else value)
 
 
 def bounded_normal(name: str, p: dict, ctx: GenerateContext) -> Column:
@@ -131,7 +143,7 @@ def bounded_normal(name: str, p: dict, ctx: GenerateContext) -> Column:
     low, high = p.get("min"), p.get("max")
 
     def attempt(i: int) -> Column:
-        dg = ctx.digest(name, f"again{i}" if i else "")
+        dg = ctx.row_digest(name, f"again{i}" if i else "")
         return F.lit(float(p["mean"])) + F.lit(float(p["std"])) * draws.standard_normal(dg)
 
     def fits(x: Column) -> Column:
@@ -142,14 +154,15 @@ def bounded_normal(name: str, p: dict, ctx: GenerateContext) -> Column:
             ok = ok & (x <= F.lit(float(high)))
         return ok
 
-    value = attempt(0)
     if p.get("bounds", "clip") == "redraw":
-        # Later attempts are only evaluated for rows whose earlier ones missed.
-        tries = [attempt(i) for i in range(REDRAWS)]
+        tries = ctx.stage.keep_all([attempt(i) for i in range(REDRAWS)])
         chosen = F.when(fits(tries[0]), tries[0])
         for t in tries[1:]:
             chosen = chosen.when(fits(t), t)
         value = chosen.otherwise(tries[-1])
+    else:
+        dg = ctx.digest(name)
+        value = F.lit(float(p["mean"])) + F.lit(float(p["std"])) * draws.standard_normal(dg)
     if low is not None:
         value = F.greatest(value, F.lit(float(low)))
     if high is not None:
@@ -157,16 +170,16 @@ def bounded_normal(name: str, p: dict, ctx: GenerateContext) -> Column:
     return value
 
 
-def normal_float(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def normal_float(name: str, p: dict, ctx: GenerateContext) -> Generated:
     value = bounded_normal(name, p, ctx)
-    return df, single(name, F.round(value, int(p["digits"])) if "digits" in p else value)
+    return single(name, F.round(value, int(p["digits"])) if "digits" in p else value)
 
 
-def normal_int(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
-    return df, single(name, F.round(bounded_normal(name, p, ctx), 0).cast("bigint"))
+def normal_int(name: str, p: dict, ctx: GenerateContext) -> Generated:
+    return single(name, F.round(bounded_normal(name, p, ctx), 0).cast("bigint"))
 
 
-def integer_grouped(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def integer_grouped(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Values of a range, each for a random number of rows; `ordered` lays them out in ascending order."""
     start, stop, step = (int(v) for v in p["values"])
     n = len(range(start, stop + 1, step))
@@ -174,37 +187,37 @@ def integer_grouped(df: DataFrame, name: str, p: dict, ctx: GenerateContext) ->
     if p.get("rows_per_group", "random") != "random":
         # Groups of equal size.
         place = F.floor(ctx.row * n / ctx.rows).cast("bigint") if p.get("ordered") else ctx.row % n
-        return df, single(name, first + gap * place)
-    drawn = draws.below(ctx.digest(name), n)
+        return single(name, first + gap * place)
+    drawn = draws.below(ctx.row_digest(name), n)
     if not p.get("ordered"):
-        return df, single(name, first + gap * drawn)
+        return single(name, first + gap * drawn)
     # Row i gets the i-th smallest value: the values own intervals of row ids as long as they were drawn.
     counts = ctx.ids.groupBy(drawn.alias("place")).agg(F.count("*").alias("n"))
     slots = slots_in_order(counts, "place", "n", n, ctx.rows)
-    df = pick(df, slots, ctx.row, f"__pick_{name}", position=True)
-    return df, single(name, first + gap * named(f"__pick_{name}")["place"])
+    picked = ctx.pick(slots, ctx.row, position=True)
+    return single(name, first + gap * picked["place"])
 
 
-def list_int(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def list_int(name: str, p: dict, ctx: GenerateContext) -> Generated:
     if "values" in p:
-        return integer_grouped(df, name, p, ctx)
+        return integer_grouped(name, p, ctx)
     items = [F.lit(int(v)).cast("bigint") for v in p["list"]]
-    return df, single(name, F.element_at(F.array(*items), (draws.below(ctx.digest(name), len(items)) + 1).cast("int")))
+    return single(name, F.element_at(F.array(*items), (draws.below(ctx.digest(name), len(items)) + 1).cast("int")))
 
 
-def list_string(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
-    return df, single(name, draws.weighted_choice([str(v) for v in p["list"]], p.get("weights"), ctx.digest(name)))
+def list_string(name: str, p: dict, ctx: GenerateContext) -> Generated:
+    return single(name, draws.weighted_choice(ctx.stage, [str(v) for v in p["list"]], p.get("weights"), ctx.digest(name)))
 
 
-def last_name(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def last_name(name: str, p: dict, ctx: GenerateContext) -> Generated:
     dg = ctx.digest(name)
     if p.get("source", OGD) != OGD:
-        return df, single(name, library_last_name(dg))
-    df = pick(df, ctx.lookups.last_name_slots(), draws.draw(dg), f"__pick_{name}")
-    return df, single(name, named(f"__pick_{name}")["nachname"])
+        return single(name, library_last_name(dg))
+    picked = ctx.pick(ctx.lookups.last_name_slots(), draws.draw(dg))
+    return single(name, picked["nachname"])
 
 
-def first_name(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def first_name(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Gender from a column, or an exact share of men mixed over the rows."""
     if p.get("gender_field"):
         identifier = str(p.get("gender_field_male_identfier", "M"))
@@ -215,33 +228,33 @@ def first_name(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Gener
     gender = F.when(male, F.lit("M")).otherwise(F.lit("F"))
     dg = ctx.digest(name)
     if p.get("source", OGD) != OGD:
-        return df, single(name, library_first_name(dg, gender == "F"))
-    df = pick(df, ctx.lookups.first_name_slots(), draws.draw(dg), f"__pick_{name}", group=gender)
-    return df, single(name, named(f"__pick_{name}")["vorname"])
+        return single(name, library_first_name(dg, gender == "F"))
+    picked = ctx.pick(ctx.lookups.first_name_slots(), draws.draw(dg), group=gender)
+    return single(name, picked["vorname"])
 
 
-def canton(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def canton(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Weighs a canton by its number of postcodes."""
-    df = pick(df, ctx.lookups.postcode_slots(None), draws.draw(ctx.digest(name)), f"__pick_{name}")
-    return df, single(name, named(f"__pick_{name}")[p.get("field", "kanton_name_kurz")])
+    picked = ctx.pick(ctx.lookups.postcode_slots(None), draws.draw(ctx.digest(name)))
+    return single(name, picked[p.get("field", "kanton_name_kurz")])
 
 
-def plz4(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def plz4(name: str, p: dict, ctx: GenerateContext) -> Generated:
     dg = ctx.digest(name)
     if p.get("canton_field"):
         version = p.get("canton_field_version", "kanton_name_kurz")
         group: Column | None = named(p["canton_field"]).cast("string")
     elif p.get("cantons"):
         version = "kanton_name_kurz"
-        group = draws.weighted_choice([str(c).upper() for c in p["cantons"]], p.get("weights"), dg, 1)
+        group = draws.weighted_choice(ctx.stage, [str(c).upper() for c in p["cantons"]], p.get("weights"), dg, 1)
     else:
         version, group = None, None
-    df = pick(df, ctx.lookups.postcode_slots(version), draws.draw(dg), f"__pick_{name}", group=group)
-    code = named(f"__pick_{name}")["plz_postleitzahl"]
-    return df, single(name, code if group is None else F.coalesce(code, F.lit(NO_POSTCODE)))
+    picked = ctx.pick(ctx.lookups.postcode_slots(version), draws.draw(dg), group=group)
+    code = picked["plz_postleitzahl"]
+    return single(name, code if group is None else F.coalesce(code, F.lit(NO_POSTCODE)))
 
 
-def location(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def location(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """The first place of the row's postcode, or any place of the given cantons."""
     key = p.get("plz_field") or p.get("plz")
     postcodes = ctx.lookups.postcode
@@ -250,8 +263,9 @@ def location(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generat
         place = postcodes.groupBy(F.col("plz_postleitzahl").cast("string").alias("__plz")).agg(
             F.min_by("gemeinde_name", "ord").alias(f"__place_{name}")
         )
-        df = df.join(slots.hint(place), named(key).cast("string") == F.col("__plz"), "left").drop("__plz")
-        return df, single(name, named(f"__place_{name}"))
+        joined = ctx.stage.df.join(slots.hint(place), named(key).cast("string") == F.col("__plz"), "left")
+        ctx.stage.df = joined.drop("__plz")
+        return single(name, named(f"__place_{name}"))
     wanted = p.get("canton")
     if wanted is None or wanted == []:
         chosen = slots
@@ -263,12 +277,12 @@ def location(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generat
         )
         if chosen.total == 0:
             chosen = slots
-    df = pick(df, chosen, draws.draw(ctx.digest(name)), f"__pick_{name}")
-    return df, single(name, named(f"__pick_{name}")["gemeinde_name"])
+    picked = ctx.pick(chosen, draws.draw(ctx.digest(name)))
+    return single(name, picked["gemeinde_name"])
 
 
-def ahv_nr(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
-    return df, single(name, social_security_number(draws.draw(ctx.digest(name))))
+def ahv_nr(name: str, p: dict, ctx: GenerateContext) -> Generated:
+    return single(name, social_security_number(ctx.stage, draws.draw(ctx.digest(name))))
 
 
 def _area(p: dict) -> tuple[str | None, Column | None]:
@@ -279,45 +293,44 @@ def _area(p: dict) -> tuple[str | None, Column | None]:
     return None, None
 
 
-def streetname(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def streetname(name: str, p: dict, ctx: GenerateContext) -> Generated:
     dg = ctx.digest(name)
     if p.get("source", OGD) != OGD:
-        return df, single(name, library_street(dg))
+        return single(name, library_street(dg))
     code, area = _area(p)
-    df = pick(df, ctx.lookups.street_slots(code), draws.draw(dg), f"__pick_{name}", group=area)
-    return df, single(name, F.coalesce(named(f"__pick_{name}")["str_name"], library_street(dg)))
+    picked = ctx.pick(ctx.lookups.street_slots(code), draws.draw(dg), group=area)
+    return single(name, F.coalesce(picked["str_name"], library_street(dg)))
 
 
-def housenumber(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def housenumber(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """A number that exists in the row's street, or else in its area; any number without both."""
     dg = ctx.digest(name)
     code, area = _area(p)
     road = p.get("streetname_field")
     plain = house_number_from(dg, p)
     if p.get("source", OGD) != OGD or (code is None and road is None):
-        return df, single(name, plain)
+        return single(name, plain)
     if road:
         group = named(road).cast("string")
         group = F.concat(group, F.lit("|"), area) if area is not None else group
         slots = ctx.lookups.address_slots(code, "str_name")
     else:
         group, slots = area, ctx.lookups.address_slots(code)
-    df = pick(df, slots, draws.draw(dg, 3), f"__pick_{name}", group=group)
-    found = named(f"__pick_{name}")
-    number = F.concat(found["hausnr"].cast("string"), F.coalesce(found["hausnr_zus"], F.lit("")))
-    return df, single(name, F.coalesce(number, plain))
+    picked = ctx.pick(slots, draws.draw(dg, 3), group=group)
+    number = F.concat(picked["hausnr"].cast("string"), F.coalesce(picked["hausnr_zus"], F.lit("")))
+    return single(name, F.coalesce(number, plain))
 
 
-def streetname_housenumber(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def streetname_housenumber(name: str, p: dict, ctx: GenerateContext) -> Generated:
     dg = ctx.digest(name)
     if p.get("source", OGD) != OGD:
-        return df, single(name, library_street_address(dg))
+        return single(name, library_street_address(dg))
     code, area = _area(p)
-    df = pick(df, ctx.lookups.address_slots(code), draws.draw(dg), f"__pick_{name}", group=area)
-    return df, single(name, F.coalesce(address_text(named(f"__pick_{name}")), library_street_address(dg)))
+    picked = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg), group=area)
+    return single(name, F.coalesce(address_text(picked), library_street_address(dg)))
 
 
-def address(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def address(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Address rows without replacement: the address of rank r goes to row r, starting over when they run out."""
     wanted = {ADDRESS_SPELLINGS.get(f, f) for f in p.get("fields", ["streetname", "housenumber"])}
     fields = [c for f, c in ADDRESS_FIELDS.items() if f in wanted]
@@ -329,11 +342,12 @@ def address(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generate
     key = draws.digest(ctx.key, f"{name}#order", row_digest(columns))
     ranked = positions(ctx.lookups.address, key, "__address_rank", digits=bucket_digits(slots.total))
     kept = ranked.select("__address_rank", *[F.col(c).alias(f"__{name}_{c}") for c in fields])
-    df = df.join(slots.hint(kept), (ctx.row % slots.total) == F.col("__address_rank"), "left").drop("__address_rank")
-    return df, {label: named(f"__{name}_{c}") for label, c in zip(labels, fields)}
+    joined = ctx.stage.df.join(slots.hint(kept), (ctx.row % slots.total) == F.col("__address_rank"), "left")
+    ctx.stage.df = joined.drop("__address_rank")
+    return {label: named(f"__{name}_{c}") for label, c in zip(labels, fields)}
 
 
-def incremental_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def incremental_date(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """A date per row, one step apart; null after the year 9999."""
     start = dt.date.fromisoformat(p.get("start_date", "2025-01-01"))
     period, step = p.get("step_period", "day"), int(p.get("delta_days", p.get("step", 1)))
@@ -347,13 +361,13 @@ def incremental_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) ->
         stepped = F.date_add(first, F.when(offset <= last, offset).cast("int"))
     else:
         raise ValueError(f"{name}: unknown step_period {period!r}")
-    return df, single(name, F.date_format(stepped, DATE_TEXT))
+    return single(name, F.date_format(stepped, DATE_TEXT))
 
 
-def random_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def random_date(name: str, p: dict, ctx: GenerateContext) -> Generated:
     start, end = p.get("start_date", "2024-01-01"), p.get("end_date", "2025-12-31")
     days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days
-    return df, single(name, day_text(start, draws.below(ctx.digest(name), days + 1)))
+    return single(name, day_text(start, draws.below(ctx.digest(name), days + 1)))
 
 
 def _date_or_none(shown: Any) -> dt.date | None:
@@ -363,7 +377,7 @@ def _date_or_none(shown: Any) -> dt.date | None:
         return None
 
 
-def normal_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def normal_date(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Days around a centre; a missing centre is today, fixed when the plan is made."""
     centre = _date_or_none(p.get("average_date")) or dt.date.today()
     offset = F.round(F.lit(float(p.get("std_days", 30.0))) * draws.standard_normal(ctx.digest(name)), 0)
@@ -373,10 +387,10 @@ def normal_date(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Gene
         day = F.greatest(day, F.lit(low.isoformat()).cast("date"))
     if high:
         day = F.least(day, F.lit(high.isoformat()).cast("date"))
-    return df, single(name, F.date_format(day, DATE_TEXT))
+    return single(name, F.date_format(day, DATE_TEXT))
 
 
-def phone_nr(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def phone_nr(name: str, p: dict, ctx: GenerateContext) -> Generated:
     """Fill the `x` of a format.
 
     A format with a leading `+` takes country code, network code and random digits; one with ten or more `x`
@@ -388,10 +402,10 @@ def phone_nr(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generat
     formats = [str(f) for f in p.get("formats", ["xx xxx xx xx"])]
     weights = p.get("format_weights") or p.get("formats_weights")
     dg = ctx.digest(name)
-    code, network = draws.one_of(codes, dg, 1), draws.one_of(networks, dg, 2)
-    pattern = draws.weighted_choice(formats, weights, dg, 3)
+    code, network = ctx.stage.keep_all([draws.one_of(codes, dg, 1), draws.one_of(networks, dg, 2)])
+    pattern = ctx.stage.keep(draws.weighted_choice(ctx.stage, formats, weights, dg, 3))
     longest = max(f.count("x") for f in formats)
-    tail = draws.random_digits(ctx.key, f"{name}#digits", longest, ctx.row)
+    tail = ctx.stage.keep(draws.random_digits(ctx.key, f"{name}#digits", longest, ctx.row))
     international = pattern.startswith("+")
     national = F.length(pattern) - F.length(F.replace(pattern, F.lit("x"), F.lit(""))) >= 10
     digits = (
@@ -399,23 +413,23 @@ def phone_nr(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generat
         .when(national, F.concat(F.lit("0"), network, tail))
         .otherwise(F.concat(network, tail))
     )
-    filled = fill_format(pattern, longest, digits)
-    return df, single(name, F.when(international | national, filled).otherwise(F.concat(code, F.lit(" "), filled)))
+    filled = fill_format(ctx.stage, pattern, longest, digits)
+    return single(name, F.when(international | national, filled).otherwise(F.concat(code, F.lit(" "), filled)))
 
 
-def email(df: DataFrame, name: str, p: dict, ctx: GenerateContext) -> Generated:
+def email(name: str, p: dict, ctx: GenerateContext) -> Generated:
     dg = ctx.digest(name)
     providers = p.get("providers") or ["gmail.com", "bluewin.ch", "gmx.ch"]
     if not (p.get("first_name_field") and p.get("last_name_field")):
-        return df, single(name, library_email(dg))
+        return single(name, library_email(dg))
     first, last = named(p["first_name_field"]), named(p["last_name_field"])
     built = F.concat(
-        normalise_name(first), F.lit("."), normalise_name(last), F.lit("@"), draws.one_of(providers, dg)
+        normalise_name(ctx.stage, first), F.lit("."), normalise_name(ctx.stage, last), F.lit("@"), draws.one_of(providers, dg)
     )
-    return df, single(name, F.when(is_filled(first) & is_filled(last), built).otherwise(library_email(dg)))
+    return single(name, F.when(is_filled(first) & is_filled(last), built).otherwise(library_email(dg)))
 
 
-Generator = Callable[[DataFrame, str, dict[str, Any], GenerateContext], Generated]
+Generator = Callable[[str, dict[str, Any], GenerateContext], Generated]
 
 GENERATORS: dict[str, Generator] = {
     "incremental_int": incremental_int,

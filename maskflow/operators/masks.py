@@ -1,7 +1,7 @@
 """Masks for the columns of an existing table.
 
-A mask gets the working frame, the column and its settings, and returns the frame (with lookup columns
-joined on, if it needs any) and the expression of the masked column. Nulls stay null.
+A mask gets the column name, its settings and the shared context, and returns the expression of the masked
+column; helper columns and lookup joins go onto the context's stage. Nulls stay null.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from maskflow.functions import draws
 from maskflow.functions.dates import add_days
 from maskflow.functions.names import column as named
 from maskflow.functions.numbers import social_security_number, to_double, to_whole
+from maskflow.functions.stage import Stage
 from maskflow.functions.text import (
     digits_of,
     is_filled,
@@ -29,7 +30,7 @@ from maskflow.functions.text import (
 )
 from maskflow.operators.hotjoin import map_back
 from maskflow.operators.ranks import bucket_digits, positions
-from maskflow.operators.slots import pick
+from maskflow.operators.slots import Slots, pick
 from maskflow.session import BROADCAST_BYTES, materialise
 from maskflow.sources.lookups import (
     Lookups,
@@ -45,8 +46,6 @@ OGD = "ogd-bs"
 # Letters a house number may carry.
 HOUSE_LETTERS = ["a", "b", "c", "d", "e", "f"]
 
-Masked = tuple[DataFrame, Column]
-
 
 @dataclass
 class MaskContext:
@@ -55,25 +54,45 @@ class MaskContext:
     key: str
     lookups: Lookups
     source: DataFrame
+    stage: Stage
     fields: dict[str, T.DataType]
     whole_number: set[str] = field(default_factory=set)
     row_key: list[str] | None = None
     outputs: dict[str, Column] = field(default_factory=dict)
+    parsed: dict[str, Column] = field(default_factory=dict)
     order: list[str] = field(default_factory=list)
 
     def value(self, name: str) -> Column:
         """The input of a mask: as it stands, or as a whole number if the column is declared one."""
         c = named(name)
-        return to_whole(c) if name in self.whole_number else c
+        if name not in self.whole_number:
+            return c
+        if name not in self.parsed:
+            self.parsed[name] = self.stage.keep(to_whole(c))
+        return self.parsed[name]
 
     def digest(self, name: str, settings: dict, *values: Column) -> Column:
         """Draws are keyed by column; a shared `scope` makes columns and tables agree."""
-        return draws.digest(self.key, settings.get("scope", name), *values)
+        return self.stage.keep(draws.digest(self.key, settings.get("scope", name), *values))
 
     def row_digest(self, name: str, settings: dict) -> Column:
         """Draws per row: keyed by the row key, or by all input columns."""
         columns = self.row_key or self.order
-        return draws.digest(self.key, settings.get("scope", name), *[named(c) for c in columns])
+        return self.stage.keep(draws.digest(self.key, settings.get("scope", name), *[named(c) for c in columns]))
+
+    def pick(self, slots: Slots, draw: Column, group: Column | None = None) -> Column:
+        into = self.stage.name()
+        self.stage.df = pick(self.stage.df, slots, draw, into, group)
+        return F.col(into)
+
+    def map_back(self, value: Column, mapping: DataFrame, rows: int, small: bool) -> Column:
+        into = self.stage.name()
+        self.stage.df = map_back(self.stage.df, value, mapping, rows, small, into)
+        return F.col(into)
+
+    def source_value(self, name: str) -> Column:
+        """The same value as an expression over the source table."""
+        return to_whole(named(name)) if name in self.whole_number else named(name)
 
     def output(self, name: str) -> Column:
         return self.outputs.get(name, named(name))
@@ -84,105 +103,99 @@ def _text_or_null(value: Column) -> Column:
     return F.when(shown != "", shown)
 
 
-def last_name(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def last_name(name: str, p: dict, ctx: MaskContext) -> Column:
     value = _text_or_null(ctx.value(name))
     dg = ctx.digest(name, p, value)
     if p.get("source") != OGD:
-        return df, F.when(value.isNotNull(), draws.one_of(p["names"], dg) if p.get("names") else library_last_name(dg))
-    into = f"__last_{len(ctx.outputs)}"
-    df = pick(df, ctx.lookups.last_name_slots(), draws.draw(dg), into)
-    return df, F.when(value.isNotNull(), F.col(into)["nachname"])
+        return F.when(value.isNotNull(), draws.one_of(p["names"], dg) if p.get("names") else library_last_name(dg))
+    picked = ctx.pick(ctx.lookups.last_name_slots(), draws.draw(dg))
+    return F.when(value.isNotNull(), picked["nachname"])
 
 
-def join_gender(df: DataFrame, name: str, ctx: MaskContext, into: str) -> DataFrame:
+def gender_of(name: str, ctx: MaskContext) -> Column:
     """The usual gender of a first name; unknown names ending in `a` are female, others male."""
     known = ctx.lookups.gender_of_name.select(F.col("vorname").alias("__gender_name"), F.col("geschlecht").alias("__gender"))
     hint = ctx.lookups.first_name_slots().hint
     value = ctx.value(name).cast("string")
-    joined = df.join(hint(known), value == F.col("__gender_name"), "left")
+    ctx.stage.df = ctx.stage.df.join(hint(known), value == F.col("__gender_name"), "left")
     guess = F.when(value.endswith("a"), F.lit("F")).otherwise(F.lit("M"))
-    return joined.withColumn(into, F.when(value.isNotNull(), F.coalesce(F.col("__gender"), guess))).drop(
-        "__gender", "__gender_name"
-    )
+    gender = ctx.stage.keep(F.when(value.isNotNull(), F.coalesce(F.col("__gender"), guess)))
+    ctx.stage.df = ctx.stage.df.drop("__gender", "__gender_name")
+    return gender
 
 
-def first_name(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def first_name(name: str, p: dict, ctx: MaskContext) -> Column:
     value = _text_or_null(ctx.value(name))
-    n = len(ctx.outputs)
     gender_field = p.get("gender_field")
     if p.get("source") != OGD:
         if not gender_field:
-            return df, F.when(value.isNotNull(), library_any_first_name(ctx.digest(name, p, value)))
+            return F.when(value.isNotNull(), library_any_first_name(ctx.digest(name, p, value)))
         female = F.coalesce(ctx.value(gender_field).cast("string") == "F", F.lit(False))
         dg = ctx.digest(name, p, value, F.when(female, F.lit("F")).otherwise(F.lit("M")))
-        return df, F.when(value.isNotNull(), library_first_name(dg, female))
-    gender_column, into = f"__first_gender_{n}", f"__first_{n}"
+        return F.when(value.isNotNull(), library_first_name(dg, female))
     if gender_field:
-        male = F.coalesce(
-            ctx.value(gender_field).cast("string") == str(p.get("gender_field_male_identfier", "M")), F.lit(False)
-        )
-        df = df.withColumn(gender_column, F.when(male, F.lit("M")).otherwise(F.lit("F")))
+        identifier = str(p.get("gender_field_male_identfier", "M"))
+        male = F.coalesce(ctx.value(gender_field).cast("string") == identifier, F.lit(False))
+        gender = ctx.stage.keep(F.when(male, F.lit("M")).otherwise(F.lit("F")))
     else:
-        df = join_gender(df, name, ctx, gender_column)
-    gender = F.col(gender_column)
-    dg = ctx.digest(name, p, value, gender)
-    df = pick(df, ctx.lookups.first_name_slots(), draws.draw(dg), into, group=gender)
-    return df, F.when(value.isNotNull(), F.col(into)["vorname"])
+        gender = gender_of(name, ctx)
+    picked = ctx.pick(ctx.lookups.first_name_slots(), draws.draw(ctx.digest(name, p, value, gender)), gender)
+    return F.when(value.isNotNull(), picked["vorname"])
 
 
-def phone_nr(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def phone_nr(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name).cast("string")
-    return df, shuffle_last_digits(value, 7, ctx.digest(name, p, value))
+    return shuffle_last_digits(ctx.stage, value, 7, ctx.digest(name, p, value))
 
 
-def formatted_numbers(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def formatted_numbers(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name).cast("string")
     count = int(p["replace_last_digits"])
     drawn = draws.random_digits(ctx.key, p.get("scope", name), count, value)
-    return df, replace_last_digits(value, count, drawn)
+    return replace_last_digits(ctx.stage, value, count, drawn)
 
 
-def email(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def email(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name)
     providers = p.get("providers") or ["example.com"]
     if not (p.get("first_name_field") and p.get("last_name_field")):
-        return df, F.when(is_filled(value), library_email(ctx.digest(name, p, value))).otherwise(value)
+        return F.when(is_filled(value), library_email(ctx.digest(name, p, value))).otherwise(value)
     first, last = ctx.output(p["first_name_field"]), ctx.output(p["last_name_field"])
     dg = ctx.row_digest(name, p)
     address = F.concat(
-        normalise_name(first.cast("string")),
+        normalise_name(ctx.stage, first.cast("string")),
         F.lit("."),
-        normalise_name(last.cast("string")),
+        normalise_name(ctx.stage, last.cast("string")),
         F.lit("@"),
         draws.one_of(providers, dg),
     )
     replaced = F.when(is_filled(first) & is_filled(last), address).otherwise(library_email(dg))
-    return df, F.when(is_filled(value), replaced).otherwise(value)
+    return F.when(is_filled(value), replaced).otherwise(value)
 
 
-def random_int(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def random_int(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name)
     low, high = int(p.get("min", 0)), int(p.get("max", 100))
     if high < low:
         raise ValueError(f"{name}: max is below min")
     shown = _text_or_null(value)
     if p.get("unique"):
-        return unique_int(df, name, p, ctx, shown, low, high)
+        return unique_int(name, p, ctx, shown, low, high)
     drawn = F.lit(low).cast("bigint") + draws.below(ctx.digest(name, p, shown), high - low + 1)
-    return df, F.when(shown.isNotNull(), drawn)
+    return F.when(shown.isNotNull(), drawn)
 
 
-def random_float(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def random_float(name: str, p: dict, ctx: MaskContext) -> Column:
     shown = _text_or_null(ctx.value(name))
     low, high = float(p.get("min", 0)), float(p.get("max", 100))
     drawn = F.lit(low) + draws.unit(ctx.digest(name, p, shown)) * F.lit(high - low)
-    return df, F.when(shown.isNotNull(), F.round(drawn, int(p.get("digits", 2))))
+    return F.when(shown.isNotNull(), F.round(drawn, int(p.get("digits", 2))))
 
 
-def list_string(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def list_string(name: str, p: dict, ctx: MaskContext) -> Column:
     shown = _text_or_null(ctx.value(name))
-    chosen = draws.weighted_choice([str(v) for v in p["list"]], p.get("weights"), ctx.digest(name, p, shown))
-    return df, F.when(shown.isNotNull(), chosen)
+    chosen = draws.weighted_choice(ctx.stage, [str(v) for v in p["list"]], p.get("weights"), ctx.digest(name, p, shown))
+    return F.when(shown.isNotNull(), chosen)
 
 
 def spread_factors(n: int) -> int:
@@ -206,47 +219,46 @@ def _counted_values(source: DataFrame, value: Column) -> tuple[DataFrame, int, i
     return stored, int(size["values"]), int(size["rows"]), small
 
 
-def unique_int(df: DataFrame, name: str, p: dict, ctx: MaskContext, value: Column, low: int, high: int) -> Masked:
+def unique_int(name: str, p: dict, ctx: MaskContext, value: Column, low: int, high: int) -> Column:
     """Distinct values get distinct integers: a random rank, spread over the whole range."""
-    stored, count, rows, small = _counted_values(ctx.source, value)
+    stored, count, rows, small = _counted_values(ctx.source, _text_or_null(ctx.source_value(name)))
     width = high - low + 1
     if count > width:
         raise ValueError(f"{name}: {count} distinct values do not fit into {width} integers")
     if width > 3_000_000_000:
         raise ValueError(f"{name}: unique ranges hold at most 3,000,000,000 integers")
-    ranked = positions(stored, ctx.digest(name, p, F.col("old")), "r", digits=bucket_digits(count))
+    dg = draws.digest(ctx.key, p.get("scope", name), F.col("old"))
+    ranked = positions(stored, dg, "r", digits=bucket_digits(count))
     shift = F.lit(low).cast("bigint")
     mapping = ranked.select("old", (shift + (F.col("r") * spread_factors(width)) % width).alias("new"), "n")
-    into = f"__unique_{len(ctx.outputs)}"
-    return map_back(df, value, mapping, rows, small, into), F.col(into)
+    return ctx.map_back(value, mapping, rows, small)
 
 
-def shuffle_codes(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def shuffle_codes(name: str, p: dict, ctx: MaskContext) -> Column:
     """A random bijection among the distinct codes: two independent ranks, joined."""
-    value = ctx.value(name)
-    stored, count, rows, small = _counted_values(ctx.source, value)
+    stored, count, rows, small = _counted_values(ctx.source, ctx.source_value(name))
     digits = bucket_digits(count)
-    source = positions(stored, ctx.digest(name, p, F.lit("from"), F.col("old")), "r", digits=digits)
-    target = positions(
-        stored.select(F.col("old").alias("new")), ctx.digest(name, p, F.lit("to"), F.col("new")), "r", digits=digits
-    )
+    scope = p.get("scope", name)
+    first = draws.digest(ctx.key, scope, F.lit("from"), F.col("old"))
+    second = draws.digest(ctx.key, scope, F.lit("to"), F.col("new"))
+    source = positions(stored, first, "r", digits=digits)
+    target = positions(stored.select(F.col("old").alias("new")), second, "r", digits=digits)
     mapping = source.join(target, "r").select("old", "new", "n")
-    into = f"__code_{len(ctx.outputs)}"
-    return map_back(df, value, mapping, rows, small, into), F.col(into)
+    return ctx.map_back(ctx.value(name), mapping, rows, small)
 
 
-def date_add_random_days(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def date_add_random_days(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name)
     low, high = int(p.get("lower", -4)), int(p.get("upper", 4))
     if high < low:
         raise ValueError(f"{name}: upper is below lower")
     days = F.lit(low).cast("bigint") + draws.below(ctx.digest(name, p, value), high - low + 1)
-    return df, add_days(value, days, ctx.fields[name])
+    return add_days(ctx.stage, value, days, ctx.fields[name])
 
 
-def ahv_nr(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def ahv_nr(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name)
-    return df, F.when(value.isNotNull(), social_security_number(draws.draw(ctx.digest(name, p, value))))
+    return F.when(value.isNotNull(), social_security_number(ctx.stage, draws.draw(ctx.digest(name, p, value))))
 
 
 def house_number_from(dg: Column, p: dict) -> Column:
@@ -260,11 +272,11 @@ def house_number_from(dg: Column, p: dict) -> Column:
     return F.when(draws.unit(dg, 1) < share, F.concat(number, letter)).otherwise(number)
 
 
-def house_number(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
-    return df, F.when(ctx.value(name).isNotNull(), house_number_from(ctx.row_digest(name, p), p))
+def house_number(name: str, p: dict, ctx: MaskContext) -> Column:
+    return F.when(ctx.value(name).isNotNull(), house_number_from(ctx.row_digest(name, p), p))
 
 
-def hash_columns(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def hash_columns(name: str, p: dict, ctx: MaskContext) -> Column:
     """SHA-256 of the named columns: those before this one as masked, the others as they came in."""
     read_input = p.get("read") == "input"
     place = ctx.order.index(name)
@@ -276,17 +288,17 @@ def hash_columns(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
             parts.append(F.lit(p["separator"]))
         masked = not read_input and ctx.order.index(c) < place
         parts.append(draws.text(ctx.output(c) if masked else named(c)))
-    return df, F.sha2(F.concat(*parts), 256)
+    return F.sha2(F.concat(*parts), 256)
 
 
-def fill_with_random_distribution(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def fill_with_random_distribution(name: str, p: dict, ctx: MaskContext) -> Column:
     """Normal numbers with the column's own mean and standard deviation."""
     number = to_double(ctx.value(name))
-    moments = ctx.source.select(number.alias("x")).agg(F.struct(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).alias("moments"))
+    moments = ctx.source.select(to_double(ctx.source_value(name)).alias("x")).agg(F.struct(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).alias("moments"))
     both = moments.scalar()
     dg = ctx.row_digest(name, p)
     drawn = both["m"] + both["s"] * draws.standard_normal(dg)
-    return df, F.when(number.isNotNull(), F.round(drawn, int(p.get("decimals", 2))))
+    return F.when(number.isNotNull(), F.round(drawn, int(p.get("decimals", 2))))
 
 
 def _area(p: dict, ctx: MaskContext) -> tuple[str | None, Column | None]:
@@ -307,51 +319,48 @@ def address_text(a: Column) -> Column:
     return F.concat(a["str_name"], F.lit(" "), a["hausnr"].cast("string"), F.coalesce(a["hausnr_zus"], F.lit("")))
 
 
-def streetname_housenumber(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def streetname_housenumber(name: str, p: dict, ctx: MaskContext) -> Column:
     value = ctx.value(name)
     code, area = _area(p, ctx)
     if p.get("source", OGD) != OGD or code is None:
-        return df, F.when(value.isNotNull(), library_street_address(ctx.digest(name, p, value)))
+        return F.when(value.isNotNull(), library_street_address(ctx.digest(name, p, value)))
     dg = ctx.digest(name, p, value, area)
-    into = f"__address_{len(ctx.outputs)}"
-    df = pick(df, ctx.lookups.address_slots(code), draws.draw(dg), into, group=area)
-    return df, F.when(value.isNotNull(), F.coalesce(address_text(F.col(into)), library_street_address(dg)))
+    picked = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg), group=area)
+    return F.when(value.isNotNull(), F.coalesce(address_text(picked), library_street_address(dg)))
 
 
-def street(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def street(name: str, p: dict, ctx: MaskContext) -> Column:
     """Picked from address rows, so streets with many addresses weigh more."""
     value = ctx.value(name)
     code, area = _area(p, ctx)
     if p.get("source", OGD) != OGD or code is None:
-        return df, F.when(value.isNotNull(), library_street(ctx.digest(name, p, value)))
+        return F.when(value.isNotNull(), library_street(ctx.digest(name, p, value)))
     dg = ctx.digest(name, p, value, area)
-    into = f"__street_{len(ctx.outputs)}"
-    df = pick(df, ctx.lookups.address_slots(code), draws.draw(dg), into, group=area)
-    return df, F.when(value.isNotNull(), F.coalesce(F.col(into)["str_name"], library_street(dg)))
+    picked = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg), group=area)
+    return F.when(value.isNotNull(), F.coalesce(picked["str_name"], library_street(dg)))
 
 
-def blur_address(df: DataFrame, name: str, p: dict, ctx: MaskContext) -> Masked:
+def blur_address(name: str, p: dict, ctx: MaskContext) -> Column:
     """Another number in the same street and area; with one address or none there, another address."""
     value = ctx.value(name).cast("string")
     code, area = _area(p, ctx)
     if code is None:
         raise ValueError(f"{name}: blur_address needs location_code_col and location_data_col")
-    road, number = split_street(value)
+    road, number = ctx.stage.keep_all(list(split_street(value)))
     dg = ctx.digest(name, p, value, area)
-    n = len(ctx.outputs)
-    near, far = f"__blur_street_{n}", f"__blur_area_{n}"
     streets = ctx.lookups.address_slots(code, "str_name")
-    df = df.withColumn(f"__blur_key_{n}", F.concat(road, F.lit("|"), area))
-    sizes = streets.totals.select(F.col("__slot_group").alias("__blur_group"), F.col("__slot_total").alias(f"__blur_total_{n}"))
-    df = df.join(streets.hint(sizes), F.col(f"__blur_key_{n}") == F.col("__blur_group"), "left").drop("__blur_group")
-    df = pick(df, streets, draws.draw(dg, 0), near, group=F.col(f"__blur_key_{n}"))
-    df = pick(df, ctx.lookups.address_slots(code), draws.draw(dg, 1), far, group=area)
-    elsewhere = F.coalesce(address_text(F.col(far)), library_street_address(dg))
-    moved = F.when(F.col(f"__blur_total_{n}") > 1, address_text(F.col(near))).otherwise(elsewhere)
-    return df, F.when(number.isNull(), value).otherwise(moved)
-
-
-Mask = Callable[[DataFrame, str, dict[str, Any], MaskContext], Masked]
+    key = ctx.stage.keep(F.concat(road, F.lit("|"), area))
+    total = ctx.stage.name()
+    sizes = streets.totals.select(F.col("__slot_group").alias("__blur_group"), F.col("__slot_total").alias(total))
+    ctx.stage.df = ctx.stage.df.join(streets.hint(sizes), key == F.col("__blur_group"), "left").drop("__blur_group")
+    near = ctx.pick(streets, draws.draw(dg, 0), key)
+    far = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg, 1), area)
+    elsewhere = F.coalesce(address_text(far), library_street_address(dg))
+    moved = F.when(F.col(total) > 1, address_text(near)).otherwise(elsewhere)
+    return F.when(number.isNull(), value).otherwise(moved)
+
+
+Mask = Callable[[str, dict[str, Any], MaskContext], Column]
 
 MASKS: dict[str, Mask] = {
     "first_name": first_name,

@@ -148,17 +148,19 @@ def redact_table(
     missing = [c for c in columns or [] if c not in df.columns]
     if missing and errors == "raise":
         raise ValueError(f"no such columns: {missing}")
+    rule = rule or Redaction()
     chosen = set(df.columns if columns is None else columns)
-    out = []
-    for f in df.schema.fields:
-        c = named(f.name)
-        if f.name in chosen:
-            if isinstance(f.dataType, T.StringType):
-                c = redact_text(c, rule)
-            elif not keep_types:
-                c = redact_text(c.cast("string"), rule)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    texts = [
+        f.name for f in df.schema.fields if f.name in chosen and (isinstance(f.dataType, T.StringType) or not keep_types)
+    ]
+    if not keep_types:
+        df = df.select(*[(named(c).cast("string") if c in texts else named(c)).alias(c) for c in df.columns])
+    # One projection per entity, so that each pattern reads a column and not the work of the one before it.
+    for entity in rule.active():
+        df = df.select(
+            *[(_redact_entity(named(c), entity, rule) if c in texts else named(c)).alias(c) for c in df.columns]
+        )
+    return df
 
 
 def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redaction | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.draws import fresh_key
 from maskflow.functions.names import column as named
+from maskflow.functions.stage import Stage
 from maskflow.operators.generators import GENERATORS, GenerateContext, with_nulls
 from maskflow.sources.lookups import Lookups
 
@@ -37,8 +38,9 @@ def generate_table(
         kept = [ids.columns[0]]
         count = rows if rows is not None else ids.count()
         base = ids.select(named(kept[0]).cast("bigint").alias(ROW_ID))
-    ctx = GenerateContext(key or fresh_key(), count, base, ROW_ID, lookups or Lookups(spark))
-    df, names = base, []
+    stage = Stage(base)
+    ctx = GenerateContext(key or fresh_key(), count, base, ROW_ID, lookups or Lookups(spark), stage)
+    names: list[str] = []
     _check_names([c for c, s in config["columns"].items() if s.get("function") in GENERATORS and s["function"] != "address"])
     for name, settings in config["columns"].items():
         function = settings.get("function")
@@ -46,12 +48,12 @@ def generate_table(
             if function:
                 warnings.warn(f"{function!r} is not a known function; column {name!r} is left out", stacklevel=2)
             continue
-        df, made = GENERATORS[function](df, name, settings, ctx)
+        made = GENERATORS[function](name, settings, ctx)
         for label, value in made.items():
-            df = df.withColumn(label, with_nulls(ctx, label, settings, value))
+            stage.df = stage.df.withColumn(label, with_nulls(ctx, label, settings, value))
             names.append(label)
     _check_names([*kept, *names])
-    return df.select(*[F.col(ROW_ID).alias(k) for k in kept], *[named(n) for n in names])
+    return stage.df.select(*[F.col(ROW_ID).alias(k) for k in kept], *[named(n) for n in names])
 
 
 def _check_names(names: list[str]) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.draws import fresh_key
 from maskflow.functions.names import column as named
+from maskflow.functions.stage import Stage
 from maskflow.operators.masks import MASKS, WHOLE_TABLE, MaskContext, masked_digits
 from maskflow.sources.lookups import Lookups
 
@@ -104,12 +105,12 @@ def plan_masks(
         key=key or fresh_key(),
         lookups=lookups,
         source=df,
+        stage=Stage(df),
         fields={f.name: f.dataType for f in df.schema.fields},
         whole_number=declared,
         row_key=row_key,
         order=present,
     )
-    working = df
     masked: dict[str, tuple[str, Column]] = {}
     dropped: list[str] = []
     unknown: dict[str, str] = {}
@@ -127,12 +128,13 @@ def plan_masks(
             warnings.warn(f"{function!r} is not a known function; column {c!r} is kept", stacklevel=2)
             unknown[c] = function
         else:
-            working, out = MASKS[function](working, c, settings[c], ctx)
+            # Kept as a column, since e-mails, hashes and the status read it again.
+            out = ctx.stage.keep(MASKS[function](c, settings[c], ctx))
             ctx.outputs[c] = out
             masked[c] = (function, out)
     keep = [(c, ctx.outputs.get(c, named(c))) for c in present if c not in dropped]
     ordered = {c: masked[c] for c in present if c in masked}
-    return MaskPlan(working, keep, ordered, dropped, unknown)
+    return MaskPlan(ctx.stage.df, keep, ordered, dropped, unknown)
 
 
 def mask_table(
