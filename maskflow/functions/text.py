@@ -44,7 +44,9 @@ def normalise_name(stage: Stage, value: Column) -> Column:
     rest = {c: "".join(kept.get(x, x) for x in f) for c, f in several.items()}
     spread = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
     letters = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c))
-    expanded = F.when(folded.rlike("[" + "".join(rest) + "]"), F.array_join(letters, "")).otherwise(folded)
+    # Deleting them tells whether there are any: a pattern of so many characters is slow.
+    has_several = F.length(F.translate(folded, "".join(rest), "")) < F.length(folded)
+    expanded = F.when(has_several, F.array_join(letters, "")).otherwise(folded)
     return F.when(folded.rlike("[^a-z0-9.]"), F.regexp_replace(expanded, "[^a-z0-9.]+", "")).otherwise(folded)
 
 
