@@ -166,7 +166,7 @@ def redact_table(
 def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redaction | None = None) -> DataFrame:
     """One row per entity: id, entity, zero-based start and end, text, score.
 
-    `id_column` must identify a row. Only hits are shuffled, never texts.
+    `id_column` must identify a row, so a group is the hits of one text. Only hits are shuffled, never texts.
     """
     rule = rule or Redaction()
     found = None

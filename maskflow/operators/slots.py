@@ -89,9 +89,7 @@ def _from_intervals(
     blocks = placed.withColumn(
         _BLOCK,
         F.explode(
-            F.sequence(
-                F.floor(F.col(_LO) / width).cast("bigint"), F.floor((F.col("__slot_hi") - 1) / width).cast("bigint")
-            )
+            F.sequence(F.expr(f"{_LO} div {width}"), F.expr(f"(__slot_hi - 1) div {width}"))
         ),
     )
     if width == 1:
@@ -132,7 +130,7 @@ def pick(
     else:
         total = F.lit(slots.total if slots.total else None).cast("bigint")
     d = d.withColumn("__pick_at", draw if position else draw % total)
-    d = d.withColumn("__pick_block", F.floor(F.col("__pick_at") / slots.width).cast("bigint") if slots.width > 1 else F.col("__pick_at"))
+    d = d.withColumn("__pick_block", F.expr(f"__pick_at div {slots.width}"))
     table = slots.table.withColumnRenamed(_BLOCK, "__pick_table_block")
     condition = F.col("__pick_block") == F.col("__pick_table_block")
     if group is not None:

@@ -122,19 +122,24 @@ def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False) -
     Every column stays text, so leading zeros of postcodes and phone numbers survive; `detect_types` types it.
     """
     facts = file_facts(spark, path)
-    other = facts.filter(F.col("extension") != ".csv").select("path").first()
-    if other:
-        raise ValueError(f"unsupported file extension: {other['path']}")
-    # One group per layout; paths come to the driver as in any file listing.
-    layouts = facts.groupBy("separator", "encoding", "header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header", "separator", "encoding").collect()
+    layout = ["header", "separator", "encoding"]
+    layouts = facts.groupBy("extension", *layout).agg(F.min("path").alias("path")).orderBy(*layout).collect()
     if not layouts:
         raise FileNotFoundError(path)
+    for found in layouts:
+        if found["extension"] != ".csv":
+            raise ValueError(f"unsupported file extension: {found['path']}")
+    # Files of one layout are read as the caller named them; only a mixed folder needs its paths, as a listing does.
+    members: dict[tuple, list[str]] = {}
+    if len(layouts) > 1:
+        for row in facts.select("path", *layout).toLocalIterator():
+            members.setdefault(tuple(row[c] for c in layout), []).append(row["path"])
     tables = []
-    for layout in layouts:
-        source = path if len(layouts) == 1 else layout["paths"]
+    for found in layouts:
+        source = path if len(layouts) == 1 else sorted(members[tuple(found[c] for c in layout)])
         raw = (
             spark.read.option("header", True)
-            .option("sep", layout["separator"])
+            .option("sep", found["separator"])
             .option("encoding", "ISO-8859-1")
             .option("multiLine", False)
             .option("escape", '"')
@@ -144,9 +149,9 @@ def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False) -
         columns = []
         for f in raw.schema.fields:
             header = f.name.encode("iso-8859-1", "replace")
-            shown = header.decode("utf-8", "replace") if layout["encoding"] == "utf-8" else f.name
+            shown = header.decode("utf-8", "replace") if found["encoding"] == "utf-8" else f.name
             c = named(f.name)
-            c = repair_cell(c) if layout["encoding"] == "utf-8" else c
+            c = repair_cell(c) if found["encoding"] == "utf-8" else c
             columns.append((c if keep_missing_texts else missing_to_null(c)).alias(shown.lstrip(BOM)))
         tables.append(raw.select(*columns))
     table = tables[0]
