@@ -325,11 +325,15 @@ def location_by_postcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Without any place in the wanted cantons, every place will do.
+KNOWN_OR_ALL = f"SELECT * FROM k UNION ALL SELECT * FROM ({PLACES_SQL}) WHERE NOT EXISTS (SELECT 1 FROM k)"
+
+
 @register(
     "generate_location_by_canton",
     f"""
 WITH r AS (SELECT *, {draw(digest('x', 'id'))} AS d FROM ({IDS})),
-s AS ({slots(f"SELECT * FROM ({PLACES_SQL}) WHERE kanton_name_kurz IN ('K1', 'K2')", PLACE_COLUMNS)})
+k AS (SELECT * FROM ({PLACES_SQL}) WHERE kanton_name_kurz IN ('K1', 'K2')), s AS ({slots(KNOWN_OR_ALL, PLACE_COLUMNS)})
 SELECT id, gemeinde_name AS x FROM r JOIN s ON d % total >= lo AND d % total < hi
 """,
 )

@@ -16,7 +16,7 @@ from maskflow.checks.tables import (
     people,
     table_lookups,
 )
-from maskflow.functions.draws import digest as spark_digest
+from maskflow.functions import draws
 from maskflow.functions.stage import Stage
 from maskflow.functions.text import normalise_name, split_street
 from maskflow.operators.masks import HOUSE_LETTERS, MaskContext, blank_to_null, gender_of, spread_factors
@@ -590,12 +590,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, {draw('h', 0)} AS d0, {draw('h', 3)}
 """,
 )
 def keyed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from maskflow.functions import draws
-
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    df = table(spark, sf_dir, "lineitem", keys)
-    h = spark_digest(KEY, "draw", *[F.col(k) for k in keys])
-    return df.select(
+    stage = Stage(table(spark, sf_dir, "lineitem", keys))
+    h = stage.keep(draws.digest(KEY, "draw", *[F.col(k) for k in keys]))
+    return stage.df.select(
         *keys,
         draws.draw(h, 0).alias("d0"),
         draws.draw(h, 3).alias("d3"),

@@ -102,28 +102,36 @@ def _typed_bits(c: Column, kind: T.DataType) -> Column:
 def detect_types(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, values that are not null, rows.
 
-    The first type that fits every value wins, in the order boolean, date, integer, float, string. Cells
-    become rows of (position, text or bits), so one small expression serves a table of any width, and the
-    aggregation keeps one row per column in each task.
+    The first type that fits every value wins, in the order boolean, date, integer, float, string. Text cells
+    become rows of (position, text), so one small expression serves a table of any width, and the aggregation
+    keeps one row per column in each task.
     """
     if not df.columns:
         raise ValueError("the table has no columns")
-    cells = []
-    for i, f in enumerate(df.schema.fields):
-        c = named(f.name)
-        is_text = isinstance(f.dataType, TEXTS)
-        cells.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                (F.trim(c) if is_text else F.lit(None).cast("string")).alias("text"),
-                (F.lit(None).cast("int") if is_text else _typed_bits(c, f.dataType)).alias("bits"),
+    texts = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, TEXTS)]
+    others = [(i, f) for i, f in enumerate(df.schema.fields) if not isinstance(f.dataType, TEXTS)]
+    parts = []
+    if texts:
+        cells = [F.struct(F.lit(i).alias("position"), F.trim(named(f.name)).alias("text")) for i, f in texts]
+        long = df.select(F.inline(F.array(*cells)))
+        bits = F.when(F.col("text").isNotNull(), text_bits(F.col("text")))
+        parts.append(
+            long.select("position", bits.alias("bits")).groupBy("position").agg(
+                F.bit_or("bits").alias("bits"), F.count("bits").alias("filled"), F.count("*").alias("rows")
             )
         )
-    long = df.select(F.inline(F.array(*cells)))
-    bits = F.when(F.col("text").isNotNull(), text_bits(F.col("text"))).otherwise(F.col("bits"))
-    seen = long.select("position", bits.alias("bits")).groupBy("position").agg(
-        F.bit_or("bits").alias("bits"), F.count("bits").alias("filled"), F.count("*").alias("rows")
-    )
+    if others:
+        # Declared types leave little to look at; both parts read their own columns only.
+        bits_of = df.select(*[_typed_bits(named(f.name), f.dataType).alias(f"b{i}") for i, f in others])
+        aggregates = [F.count("*").alias("rows")]
+        for i, _ in others:
+            aggregates += [F.bit_or(f"b{i}").alias(f"b{i}"), F.count(f"b{i}").alias(f"n{i}")]
+        rows = [
+            F.struct(F.lit(i).alias("position"), F.col(f"b{i}").alias("bits"), F.col(f"n{i}").alias("filled"), "rows")
+            for i, _ in others
+        ]
+        parts.append(bits_of.agg(*aggregates).select(F.inline(F.array(*rows))))
+    seen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = F.array(*[F.lit(c) for c in df.columns])
     # A table without rows still has columns.
     blank = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("position"))
