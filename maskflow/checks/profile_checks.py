@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.checks.base import quote, register, table
-from maskflow.operators.profile import detect_types, is_date, is_number, is_whole, word_bit
+from maskflow.operators.profile import NO_FLOAT, detect_types, is_date, number_bits, word_bit
 from maskflow.plans.suggest import SETTINGS, suggest_config, suggest_functions
 
 WORDS = "('true', 'false', '1', '0', 'yes', 'no', 't', 'f', 'y', 'n')"
@@ -118,14 +118,15 @@ def value_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 9 THEN '1f' WHEN 10 THEN NULL ELSE substr(cast(o_orderdate AS string), 1, 10) END AS v"
     )
     df = table(spark, sf_dir, "orders", ["o_orderkey", v])
-    c = F.col("v")
+    c = F.trim("v")
+    bits = number_bits(c)
     return df.select(
         "o_orderkey",
         "v",
         (c.isNotNull() & (word_bit(c) != 0)).alias("boolean_word"),
         is_date(c).alias("date"),
-        is_whole(c).alias("whole"),
-        is_number(c).alias("number"),
+        F.coalesce(c.isNotNull() & (bits == 0), F.lit(False)).alias("whole"),
+        F.coalesce(c.isNotNull() & (bits.bitwiseAND(F.lit(NO_FLOAT)) == 0), F.lit(False)).alias("number"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskflow.functions.names import column as named
-from maskflow.functions.numbers import NUMBER_SHAPE, to_double
+from maskflow.functions.numbers import NUMBER_SHAPE
 
 # Spellings of a truth value, the order of the types, the shapes of a date.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no", "t", "f", "y", "n"]
@@ -18,6 +18,8 @@ YEAR_LAST = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}|^[0-9]{2}-[0-9]{2}-[0-9]{4}"
 TIME_PART = r"^.{10}([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?[ ]*(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 
 
+INTEGER_SHAPE = "^[+-]?[0-9]+$"
+
 # Bits of a value: ten for the truth words, then one for each type it does not fit.
 NO_BOOLEAN, NO_DATE, NO_INTEGER, NO_FLOAT = 1 << 10, 1 << 11, 1 << 12, 1 << 13
 WORD_BITS = NO_BOOLEAN - 1
@@ -29,54 +31,61 @@ DAYS = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TEXTS = (T.StringType, T.CharType, T.VarcharType)
 
 
-def word_bit(value: Column) -> Column:
+def word_bit(text: Column) -> Column:
     """One bit per truth word, so that a bitwise or counts the distinct words; 0 for other values."""
-    word = F.lower(F.trim(value.cast("string")))
+    word = F.lower(text)
     bits = F.when(word == BOOLEAN_WORDS[0], F.lit(1))
     for i, w in enumerate(BOOLEAN_WORDS[1:], start=1):
         bits = bits.when(word == w, F.lit(1 << i))
     return bits.otherwise(F.lit(0))
 
 
-def is_date(value: Column) -> Column:
-    """A calendar day in one of four shapes, day and month in either order where the year comes last."""
-    shown = F.trim(value.cast("string"))
-    first, last = shown.rlike(YEAR_FIRST), shown.rlike(YEAR_LAST)
+def is_date(text: Column) -> Column:
+    """A calendar day in one of four shapes, day and month in either order where the year comes last.
+
+    This and the other tests take text without blanks around it.
+    """
+    def at(start: int, length: int) -> Column:
+        return F.substring(text, start, length)
 
     def day(year: Column, month: Column, date: Column) -> Column:
         return F.concat(year, F.lit("-"), month, F.lit("-"), date).try_cast("date").isNotNull()
 
-    a, b = F.substring(shown, 1, 2), F.substring(shown, 4, 2)
-    y = F.substring(shown, 7, 4)
-    real = F.when(first, day(F.substring(shown, 1, 4), F.substring(shown, 6, 2), F.substring(shown, 9, 2))).when(
-        last, day(y, a, b) | day(y, b, a)
+    # Looking at two characters spares most values the patterns.
+    first = at(5, 1).isin("-", "/") & text.rlike(YEAR_FIRST)
+    last = at(3, 1).isin("-", "/") & text.rlike(YEAR_LAST)
+    real = F.when(first, day(at(1, 4), at(6, 2), at(9, 2))).when(
+        last, day(at(7, 4), at(1, 2), at(4, 2)) | day(at(7, 4), at(4, 2), at(1, 2))
+    )
+    plain = (F.length(text) == 10) | text.rlike(TIME_PART)
+    return F.coalesce(real & plain, F.lit(False))
+
+
+def number_bits(text: Column) -> Column:
+    """0 for a whole number, else what the value does not fit."""
+    number = text.try_cast("double")
+    whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < F.lit(1e300)), F.lit(False))
+    # Numbers begin with one of the characters from `+` to `9`.
+    starts = F.substring(text, 1, 1).between("+", "9")
+    return (
+        F.when(~starts, F.lit(NO_INTEGER | NO_FLOAT))
+        .when(text.rlike(INTEGER_SHAPE), F.lit(0))
+        .when(text.rlike(NUMBER_SHAPE), F.when(whole, F.lit(0)).otherwise(F.lit(NO_INTEGER)))
+        .otherwise(F.lit(NO_INTEGER | NO_FLOAT))
     )
-    return F.coalesce(real & shown.rlike(TIME_PART), F.lit(False))
-
-
-def is_number(value: Column) -> Column:
-    return F.coalesce(F.trim(value.cast("string")).rlike(NUMBER_SHAPE), F.lit(False))
-
-
-def is_whole(value: Column) -> Column:
-    number = to_double(value)
-    return F.coalesce((number == F.floor(number)) & (F.abs(number) < F.lit(1e300)), F.lit(False))
 
 
 def _bit(fits: Column, bit: int) -> Column:
     return F.when(fits, F.lit(0)).otherwise(F.lit(bit))
 
 
-def text_bits(value: Column) -> Column:
+def text_bits(text: Column) -> Column:
     """The bits of a text value."""
     # No truth word is longer than five letters, no date shorter than ten characters.
-    words = F.when(F.length(value) <= 5, word_bit(value)).otherwise(F.lit(0))
+    words = F.when(F.length(text) <= 5, word_bit(text)).otherwise(F.lit(0))
     words = F.when(words == 0, F.lit(NO_BOOLEAN)).otherwise(words)
-    date = F.when(F.length(value) >= 10, _bit(is_date(value), NO_DATE)).otherwise(F.lit(NO_DATE))
-    number = F.when(
-        is_number(value), _bit(is_whole(value), NO_INTEGER)
-    ).otherwise(F.lit(NO_INTEGER | NO_FLOAT))
-    return words.bitwiseOR(date).bitwiseOR(number)
+    date = F.when(F.length(text) >= 10, _bit(is_date(text), NO_DATE)).otherwise(F.lit(NO_DATE))
+    return words.bitwiseOR(date).bitwiseOR(number_bits(text))
 
 
 def _typed_bits(c: Column, kind: T.DataType) -> Column:
