@@ -2,12 +2,14 @@
 
 from maskflow.plans.generate import generate_table
 from maskflow.plans.mask import mask_table
+from maskflow.plans.spec import check_config
 from maskflow.plans.suggest import suggest_config
 from maskflow.operators.redact import redact_table, redact_text
 from maskflow.sources.lookups import Lookups
 
 __all__ = [
     "Lookups",
+    "check_config",
     "generate_table",
     "mask_table",
     "redact_table",

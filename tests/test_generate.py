@@ -122,3 +122,20 @@ def test_unknown_function_is_left_out(spark):
     with pytest.warns(UserWarning):
         df = generate_table(spark, {"rows": 2, "columns": {"a": {"function": "nothing"}, "b": {"function": "ahv_nr"}}})
     assert df.columns == ["b"]
+
+
+def test_check_config():
+    from maskflow import check_config
+    from maskflow.checks.generate_checks import WHOLE as GENERATED
+    from maskflow.checks.mask_checks import WHOLE as MASKED
+
+    assert check_config({"columns": GENERATED}) == []
+    assert check_config({"columns": MASKED}, list(MASKED)) == []
+    bad = {
+        "a": {"function": "nothing"},
+        "b": {"function": "hash"},
+        "c": {"function": "first_name", "gender_field": "zz"},
+        "d": {"function": "list_string", "list": ["x"], "weights": [1, 2]},
+    }
+    assert len(check_config({"columns": bad}, ["a", "b", "c"])) == 5
+    assert check_config({}) == ["the configuration has no columns"]
