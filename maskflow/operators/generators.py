@@ -340,7 +340,7 @@ def address(name: str, p: dict, ctx: GenerateContext) -> Generated:
     columns = list(ADDRESS_FIELDS.values())
     slots = ctx.lookups.address_slots(None)
     key = draws.digest(ctx.key, f"{name}#order", row_digest(columns))
-    ranked = positions(ctx.lookups.address, key, "__address_rank", digits=bucket_digits(slots.total))
+    ranked = positions(ctx.lookups.address, key, "__address_rank", digits=bucket_digits(slots.total), rows=slots.total)
     kept = ranked.select("__address_rank", *[F.col(c).alias(f"__{name}_{c}") for c in fields])
     joined = ctx.stage.df.join(slots.hint(kept), (ctx.row % slots.total) == F.col("__address_rank"), "left")
     ctx.stage.df = joined.drop("__address_rank")

@@ -228,7 +228,7 @@ def unique_int(name: str, p: dict, ctx: MaskContext, value: Column, low: int, hi
     if width > 3_000_000_000:
         raise ValueError(f"{name}: unique ranges hold at most 3,000,000,000 integers")
     dg = draws.digest(ctx.key, p.get("scope", name), F.col("old"))
-    ranked = positions(stored, dg, "r", digits=bucket_digits(count))
+    ranked = positions(stored, dg, "r", digits=bucket_digits(count), rows=count)
     shift = F.lit(low).cast("bigint")
     mapping = ranked.select("old", (shift + (F.col("r") * spread_factors(width)) % width).alias("new"), "n")
     return ctx.map_back(value, mapping, rows, small)
@@ -237,12 +237,12 @@ def unique_int(name: str, p: dict, ctx: MaskContext, value: Column, low: int, hi
 def shuffle_codes(name: str, p: dict, ctx: MaskContext) -> Column:
     """A random bijection among the distinct codes: two independent ranks, joined."""
     stored, count, rows, small = _counted_values(ctx.source, ctx.source_value(name))
-    digits = bucket_digits(count)
+    size = {"digits": bucket_digits(count), "rows": count}
     scope = p.get("scope", name)
     first = draws.digest(ctx.key, scope, F.lit("from"), F.col("old"))
     second = draws.digest(ctx.key, scope, F.lit("to"), F.col("new"))
-    source = positions(stored, first, "r", digits=digits)
-    target = positions(stored.select(F.col("old").alias("new")), second, "r", digits=digits)
+    source = positions(stored, first, "r", **size)
+    target = positions(stored.select(F.col("old").alias("new")), second, "r", **size)
     mapping = source.join(target, "r").select("old", "new", "n")
     return ctx.map_back(ctx.value(name), mapping, rows, small)
 

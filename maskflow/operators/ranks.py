@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A measured table of this size is ranked in one task.
+SMALL_ROWS = 100_000
+
 _BUCKET = "__rank_bucket"
 _SHIFT = "__rank_shift"
 _WEIGHT = "__rank_weight"
@@ -29,11 +32,17 @@ def positions(
     weight: Column | None = None,
     groups: tuple[str, ...] = (),
     digits: int = 2,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add `name`: the total weight of the rows that sort before this one by digest, within its group.
 
-    With weight 1 this is the zero-based rank.
+    With weight 1 this is the zero-based rank. `rows` is the measured size of `df`, if known: up to
+    `SMALL_ROWS` one window per group is enough.
     """
+    if rows is not None and rows <= SMALL_ROWS:
+        own = F.lit(1) if weight is None else weight
+        window = Window.partitionBy(*(groups or (F.lit(0),))).orderBy(dg).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(own.cast("bigint")).over(window), F.lit(0)))
     d = df.withColumn(_BUCKET, F.substring(dg, 1, digits)).withColumn(
         _WEIGHT, F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     )

@@ -76,7 +76,7 @@ def build_slots(
     count, total = int(size["n"]), int(size["total"])
     groups = (_GROUP,) if group is not None else ()
     placed = positions(
-        lookup, row_digest(values), _LO, F.col("__slot_weight"), groups, bucket_digits(count)
+        lookup, row_digest(values), _LO, F.col("__slot_weight"), groups, bucket_digits(count), count
     ).withColumn("__slot_hi", F.col(_LO) + F.col("__slot_weight"))
     totals = None if group is None else lookup.groupBy(_GROUP).agg(F.sum("__slot_weight").alias(_TOTAL))
     return _from_intervals(placed, values, totals, count, total, float(size["chars"]), max_blocks)
@@ -108,7 +108,7 @@ def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: in
     """Intervals as long as `n`, laid out in ascending order of the integers `value` in [0, values)."""
     shown = max(2, len(f"{max(values - 1, 1):x}"))
     order = F.lpad(F.hex(F.col(value)), shown, "0")
-    placed = positions(counts, order, _LO, F.col(n), (), min(3, shown)).select(
+    placed = positions(counts, order, _LO, F.col(n), (), min(3, shown), values).select(
         value, F.lit(None).cast("string").alias(_GROUP), _LO, (F.col(_LO) + F.col(n)).alias("__slot_hi")
     )
     return _from_intervals(placed, [value], None, min(values, total), total, 8.0, MAX_BLOCKS)

@@ -59,24 +59,34 @@ PLACES = [
 ]
 
 
+def _literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that lives in the plan."""
+    shown = ", ".join(
+        "(" + ", ".join("'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows
+    )
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    table = spark.sql(f"SELECT * FROM VALUES {shown} AS t({', '.join(n for n, _ in fields)})")
+    return table.select(*[F.col(n).cast(t).alias(n) for n, t in fields])
+
+
 def sample_first_names(spark: SparkSession) -> DataFrame:
     rows = [(n, "M", 5 + (7 * i) % 40) for i, n in enumerate(MALE_NAMES)]
     rows += [(n, "W", 5 + (11 * i) % 40) for i, n in enumerate(FEMALE_NAMES)]
-    return spark.createDataFrame(rows, FIRST_NAME_SCHEMA)
+    return _literal_rows(spark, rows, FIRST_NAME_SCHEMA)
 
 
 def sample_last_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, 3 + (13 * i) % 60) for i, n in enumerate(LAST_NAMES)], LAST_NAME_SCHEMA)
+    return _literal_rows(spark, [(n, 3 + (13 * i) % 60) for i, n in enumerate(LAST_NAMES)], LAST_NAME_SCHEMA)
 
 
 def sample_postcodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*row, i) for i, row in enumerate(PLACES)], POSTCODE_SCHEMA)
+    return _literal_rows(spark, [(*row, i) for i, row in enumerate(PLACES)], POSTCODE_SCHEMA)
 
 
 def sample_addresses(spark: SparkSession) -> DataFrame:
     """Every sample street in every sample place, five numbers each, some with a letter."""
-    places = spark.createDataFrame(
-        [(s, plz, ort) for plz, ort, _, _ in PLACES for s in STREETS], "str_name string, plz int, ort string"
+    places = _literal_rows(
+        spark, [(s, plz, ort) for plz, ort, _, _ in PLACES for s in STREETS], "str_name string, plz int, ort string"
     )
     numbered = places.withColumn("hausnr", F.explode(F.sequence(F.lit(1), F.lit(5))))
     letter = F.when(F.col("hausnr") == 5, F.lit("a")).when(F.col("hausnr") == 4, F.lit(""))
