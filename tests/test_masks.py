@@ -284,3 +284,36 @@ def test_hot_values_are_mapped_without_a_shuffle(spark):
         got = map_back(df, F.col("v"), mapping, 6000, small, "m")
         assert got.columns == ["id", "v", "m"]
         assert {(r["id"], r["m"]) for r in got.collect()} == want
+
+
+def test_large_lookups_and_mappings_give_the_same_rows(spark, sf_dir, monkeypatch):
+    """The ways beyond the size limits: shuffle joins, blocks of several integers, ranks by bucket."""
+    from maskflow.checks.mask_checks import WHOLE
+    from maskflow.checks.tables import people, table_lookups
+    from maskflow.operators import masks, ranks, slots
+
+    df = people(spark, sf_dir)
+    columns = WHOLE | {
+        "code": {"data_type": "string", "function": "shuffle_codes"},
+        "nummer": {"data_type": "integer", "function": "random_int", "min": 0, "max": 9999, "unique": True},
+    }
+
+    def run():
+        return mask_table(df, {"columns": columns}, table_lookups(spark, sf_dir), KEY, ["id"])
+
+    want = sorted(map(str, run().collect()))
+    monkeypatch.setattr(slots, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(masks, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+    monkeypatch.setattr(slots.build_slots, "__defaults__", (None, None, 50))
+    assert sorted(map(str, run().collect())) == want
+
+
+def test_expression_masks_and_redaction_do_not_shuffle(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    for name in ("mask_phone_nr", "mask_ahv_nr", "mask_date_text", "mask_email_library", "redact_documents", "mask_phones", "generate_random_int_unique"):
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan, name
+    plan = queries()["mask_table"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
