@@ -29,12 +29,15 @@ _BLANK = r"[\s\p{Z}]"
 _NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 
-SIMPLE_PERSON = f"{_NOT_AFTER_WORD}{NAME_WORD}(?:{_BLANK}+{NAME_WORD})+{_NOT_BEFORE_WORD}"
+# A look at the first character rules out most places at once.
+_CAPITAL, _PHONE_START = "(?=[A-ZÄÖÜ])", "(?=[0+])"
+
+SIMPLE_PERSON = f"{_CAPITAL}{_NOT_AFTER_WORD}{NAME_WORD}(?:{_BLANK}+{NAME_WORD})+{_NOT_BEFORE_WORD}"
 PERSON = (
-    f"{_NOT_AFTER_WORD}{NAME_WORD}"
+    f"{_CAPITAL}{_NOT_AFTER_WORD}{NAME_WORD}"
     f"(?:{_BLANK}+(?:(?:{'|'.join(PARTICLES)}){_BLANK}+)*{NAME_WORD})+{_NOT_BEFORE_WORD}"
 )
-PHONE = f"{PHONE_BODY}{_NOT_BEFORE_WORD}"
+PHONE = f"{_PHONE_START}{PHONE_BODY}{_NOT_BEFORE_WORD}"
 PATTERNS = {"PERSON": PERSON, "PERSON_SIMPLE": SIMPLE_PERSON, "PHONE_NUMBER": PHONE}
 
 
