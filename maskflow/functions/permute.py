@@ -1,4 +1,4 @@
-"""A keyed permutation of the integers [0, n), as one expression.
+"""A keyed permutation of the integers [0, n).
 
 The swap-or-not shuffle (Hoang, Morris, Rogaway 2012) permutes a domain of any size exactly, one value
 at a time. Unique random integers therefore need neither a sort nor a shuffle nor a table of used values.
@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskflow.functions.stage import Stage
+
 PRIME = 2_147_483_647
 
 
@@ -25,18 +27,12 @@ def rounds(key: str, scope: str, n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def permute(value: Column, n: int, key: str, scope: str) -> Column:
-    """Where `value` in [0, n) goes."""
-    table = F.array(
-        *[
-            F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-            for k, a, b in rounds(key, scope, n)
-        ]
-    )
-
-    def step(x: Column, r: Column) -> Column:
-        partner = F.pmod(r["k"] - x, F.lit(n).cast("bigint"))
-        coin = ((F.greatest(x, partner) % PRIME) * r["a"] + r["b"]) % PRIME
-        return F.when((coin.bitwiseAND(F.lit(1 << 15).cast("bigint"))) != 0, partner).otherwise(x)
-
-    return F.aggregate(table, value.cast("bigint"), step)
+def permute(stage: Stage, value: Column, n: int, key: str, scope: str) -> Column:
+    """Where `value` in [0, n) goes; each round is plain arithmetic on the column of the one before."""
+    x = value.cast("bigint")
+    for k, a, b in rounds(key, scope, n):
+        k, a, b = (F.lit(v).cast("bigint") for v in (k, a, b))
+        partner = stage.keep(F.pmod(k - x, F.lit(n).cast("bigint")))
+        coin = ((F.greatest(x, partner) % PRIME) * a + b) % PRIME
+        x = stage.keep(F.when(coin.bitwiseAND(F.lit(1 << 15).cast("bigint")) != 0, partner).otherwise(x))
+    return x

@@ -128,7 +128,7 @@ def random_int(name: str, p: dict, ctx: GenerateContext) -> Generated:
     if p.get("unique"):
         if ctx.rows > high - low:
             raise ValueError(f"{name}: {ctx.rows} rows do not fit into {high - low} integers")
-        return single(name, F.lit(low).cast("bigint") + permute(ctx.row, high - low, ctx.key, name))
+        return single(name, F.lit(low).cast("bigint") + permute(ctx.stage, ctx.row, high - low, ctx.key, name))
     return single(name, F.lit(low).cast("bigint") + draws.below(ctx.digest(name), high - low))
 
 
