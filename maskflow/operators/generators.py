@@ -27,7 +27,6 @@ from maskflow.operators.ranks import bucket_digits, nth_digest, positions
 from maskflow.operators.slots import Slots, build_slots, pick, row_digest, slots_in_order
 from maskflow.sources.lookups import (
     Lookups,
-    library_any_first_name,
     library_email,
     library_first_name,
     library_last_name,

@@ -6,9 +6,8 @@ fit the encoding of its file never loses a whole file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,16 +49,21 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(plain, f"^{BOM}", "")
 
 
-def _read_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _prefix_reader(size: int) -> Callable:
+    """A function that tasks can run without having this package installed."""
 
-    for batch in batches:
-        heads = []
-        for uri in batch["path"]:
-            store, path = fs.FileSystem.from_uri(uri)
-            with store.open_input_stream(path) as stream:
-                heads.append(stream.read(PREFIX_BYTES))
-        yield batch.assign(prefix=heads)
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            heads = []
+            for uri in batch["path"]:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path) as stream:
+                    heads.append(stream.read(size))
+            yield batch.assign(prefix=heads)
+
+    return read
 
 
 def file_facts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -74,7 +78,7 @@ def file_facts(spark: SparkSession, path: str, recursive: bool = False) -> DataF
         .select("path", "length", "modificationTime")
     )
     schema = T.StructType([*listed.schema.fields, T.StructField("prefix", T.BinaryType())])
-    read = listed.mapInPandas(_read_prefixes, schema)
+    read = listed.mapInPandas(_prefix_reader(PREFIX_BYTES), schema)
     # A prefix may end inside a character of up to four bytes.
     cut = F.length("prefix") == PREFIX_BYTES
     valid = F.is_valid_utf8(F.col("prefix").cast("string"))

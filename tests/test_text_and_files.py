@@ -1,13 +1,12 @@
 """Profiling, redaction and files on hand-written input."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from maskflow import redact_table
 from maskflow.operators.profile import detect_types
 from maskflow.operators.redact import Operator, Redaction, entity_spans
 from maskflow.sources.files import file_facts, read_csv, read_delimited_documents, read_text_documents
-from maskflow.sources.lookups import read_lookup, read_postcodes
+from maskflow.sources.lookups import read_postcodes
 from maskflow.sources.sinks import read_config, write_config, write_table
 
 
