@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, simhash
+from maskflow.llm import compression, secrets, simhash
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -22,7 +26,7 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op6_simhash_near_dedup, op7_compression_quality]
+    found = [op2_linked_secrets, op6_simhash_near_dedup, op7_compression_quality]
     return {query.__name__: query for query in found}
 
 
