@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, secrets, simhash
+from maskflow.llm import compression, mixing, packing, secrets, simhash
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).drop("text")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,8 +30,18 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classify(docs.select("doc_id", "text"), labels).drop("text")
 
 
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def llm_queries() -> dict[str, Query]:
-    found = [op2_linked_secrets, op6_simhash_near_dedup, op7_compression_quality]
+    found = [
+        op2_linked_secrets,
+        op3_temperature_mixing,
+        op6_simhash_near_dedup,
+        op7_compression_quality,
+        op9_mixture_packing,
+    ]
     return {query.__name__: query for query in found}
 
 

@@ -12,6 +12,8 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # runs are taken whole, so that shorter ones need not be listed
 )
 # Weak candidates: the role of the part, and a pattern that looks at each run of characters once.
+# A text without the literal of a kind cannot match it; finding that out is much cheaper than the pattern.
+LITERAL = {"access": "AKIA", "user": "@", "endpoint": "://"}
 WEAK = (
     ("user", "id", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"),
     ("login", "id", r"""(?i)\b(?:user|username|user_?id|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""),
@@ -27,6 +29,10 @@ WINDOW = 200  # code points between the parts of one credential
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def holds(text: Column, kind: str, pattern: str) -> Column:
+    return text.contains(LITERAL[kind]) & text.rlike(pattern) if kind in LITERAL else text.rlike(pattern)
+
+
 def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
     """Spans (start, kind, end) of all matches, in code points; a match stands between two pieces of the split text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -47,7 +53,7 @@ def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int =
 
     none = F.array().cast(SPAN)
     zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, add, lambda s: s["spans"])).otherwise(none)
+    return F.when(holds(text, kind, pattern), F.aggregate(parts, zero, add, lambda s: s["spans"])).otherwise(none)
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,7 +65,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _holds(text: Column, role: str) -> Column:
-    tests = [text.rlike(pattern) for _, of, pattern in WEAK if of == role]
+    tests = [holds(text, kind, pattern) for kind, of, pattern in WEAK if of == role]
     return tests[0] | tests[1]
 
 
