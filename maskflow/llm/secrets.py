@@ -167,3 +167,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     whole = F.aggregate("spans", zero, cut, lambda s: F.concat(s["out"], F.substr(column, s["at"] + 1, F.length(column))))
     found = scan(docs, text).withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(column))
     return found.select(*docs.columns)
+
+
+def length_of(text: str, kind) -> Column:
+    """Code points of a text, as the type of the column that holds them; null texts stay null."""
+    return F.length(F.col(text)).cast(kind)
