@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -49,7 +51,9 @@ def majority(hashes: Iterable[np.ndarray]) -> int:
     total, counts = 0, np.zeros(64, dtype=np.int64)
     for h in hashes:
         total += len(h)
-        counts += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8))
+        bits = np.concatenate([bits, np.zeros(-len(bits) % (64 * 255), dtype=np.uint8)]).reshape(-1, 255, 64)
+        counts += bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 ones fit into a byte
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
@@ -153,59 +157,122 @@ def cluster(bits: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links(cells: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that hold the rows of each cell together: `cells` has cell, node and bits (binary of whole words).
+    """Links (a, b) that hold the fingerprints of each cell together: `cells` has cell and bits (whole words, binary).
 
     Rows are sorted by cell within the shuffled partitions and read as a stream, so that a task holds one cell at a
-    time. A cell of n nodes gives n - 1 links at most, never all pairs.
+    time. A cell of n fingerprints gives n - 1 links at most, never all pairs.
     """
-    kind = cells.schema["node"].dataType.simpleString()
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(group: pd.DataFrame) -> pd.DataFrame:
-            words = len(group.bits.iloc[0]) // 8
-            bits = np.frombuffer(b"".join(group.bits), dtype=">u8").astype(np.uint64).reshape(-1, words)
-            first = cluster(bits, radius)
+        def of(bits: np.ndarray) -> pd.DataFrame:
+            words = np.frombuffer(b"".join(bits), dtype=">u8").astype(np.uint64).reshape(len(bits), -1)
+            first = cluster(words, radius)
             moved = np.flatnonzero(first != np.arange(len(first)))
-            nodes = group.node.to_numpy()
-            return pd.DataFrame({"a": nodes[moved], "b": nodes[first[moved]]})
+            return pd.DataFrame({"a": bits[moved], "b": bits[first[moved]]})
 
-        left: pd.DataFrame | None = None
+        cell, bits = np.array([], dtype=np.int64), np.array([], dtype=object)
         for batch in batches:
-            if left is not None:
-                batch = pd.concat([left, batch], ignore_index=True)
-            cell = batch.cell.to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1]) if len(cell) else np.array([0])
-            sizes = np.diff(np.append(starts, len(cell)))
-            left = batch.iloc[starts[-1] :].reset_index(drop=True)  # may go on in the next batch
-            for start, size in zip(starts[:-1].tolist(), sizes[:-1].tolist(), strict=True):
-                if size > 1:
-                    yield of(batch.iloc[start : start + size])
-        if left is not None and len(left) > 1:
-            yield of(left)
-
-    dealt = cells.select("cell", "node", "bits").repartition("cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInPandas(linked, f"a {kind}, b {kind}")
-
-
-def near_components(values: DataFrame, value: str) -> DataFrame:
-    """`value` and `root` of all distinct 64-bit fingerprints that are linked with another one at 3 bits or fewer."""
-    counted = values.select(F.col(value).alias("node"), segment_counts(value).alias("counts"))
-    cells = counted.select(F.explode(grid_cells("counts")).alias("cell"), "node")
-    cells = cells.withColumn("bits", F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")))
-    return components(links(cells, 3))
+            cell, bits = np.concatenate([cell, batch.cell.to_numpy()]), np.concatenate([bits, batch.bits.to_numpy()])
+            starts = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if end - start > 1:
+                    yield of(bits[start:end])
+            cell, bits = cell[starts[-1] :], bits[starts[-1] :]  # may go on in the next batch
+        if len(bits) > 1:
+            yield of(bits)
+
+    dealt = cells.select("cell", "bits").repartition("cell").sortWithinPartitions("cell", "bits")
+    return dealt.mapInPandas(linked, "a binary, b binary")
+
+
+def placed(values: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
+    """`values` (distinct bits and more columns) with `root`, the same for all that are linked over any number of links."""
+    roots = components(links(cells, radius)).withColumnRenamed("node", "bits")
+    return values.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
 
 
 def label(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """Per row of `docs`: doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links.
 
-    Exact copies share a fingerprint, so that links are sought among distinct fingerprints only. Null and blank texts
-    have fingerprint 0 and are linked like any other. Rows with a null id take part; a component of null ids only has
-    a null id. Repeated rows give repeated rows. An empty table gives none.
+    Fingerprints are linked at 3 differing bits or fewer. Exact copies share a fingerprint, so that links are sought
+    among distinct fingerprints only. Null and blank texts have fingerprint 0 and are linked like any other. Rows with
+    a null id take part; a component of null ids only has a null id. Repeated rows give repeated rows. An empty table
+    gives none.
     """
     marked = materialise(docs.select("doc_id", fingerprint("text", size, seed).alias("value")), "fingerprints")
-    values = materialise(marked.groupBy("value").agg(F.min("doc_id").alias("least")), "values")
-    roots = near_components(values, "value").withColumnRenamed("node", "value")
-    placed = values.join(roots, "value", "left").withColumn("root", F.coalesce("root", "value"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(smallest, "root").select("value", "component_id")
+    values = marked.groupBy("value").agg(F.min("doc_id").alias("least"))
+    values = materialise(values.withColumn("bits", F.to_binary(hex_digits("value"), F.lit("hex"))), "values")
+    counted = values.withColumn("counts", segment_counts("value"))
+    tops = placed(values, counted.select(F.explode(grid_cells("counts")).alias("cell"), "bits"), 3)
+    smallest = tops.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = tops.join(smallest, "root").select("value", "component_id")
     return marked.join(ids, "value", "left").select("doc_id", hex_digits("value").alias("fingerprint"), "component_id")
+
+
+# Documents alike by a share of their shingles
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """How documents are linked by the Jaccard likeness of their shingle sets."""
+
+    shingle: int = 5
+    least: float = 0.8
+    words: int = 16  # 64-bit words of the wide fingerprint; its Hamming distance measures the likeness
+    samples: int = 8  # sampled fingerprints; documents meet where one of them is equal
+    drawn: int = 3  # shingles in each: two documents of likeness s meet with 1 - (1 - s^3)^8, 0.997 at 0.8
+
+    @property
+    def radius(self) -> int:
+        """Differing bits at `least`: the angle between two sets of equal size, as a share of a half turn."""
+        return round(64 * self.words * math.acos(2 * self.least / (1 + self.least)) / math.pi)
+
+
+def mixed(h: np.ndarray, number: int) -> np.ndarray:
+    """Another hash of each hash (the finaliser of splitmix64 over a numbered step)."""
+    h = h + np.uint64((0x9E3779B97F4A7C15 * (number + 1)) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: str | None, how: Likeness) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of the set of shingles, and the sampled fingerprints as the cells it is sought in."""
+    parts = list(shingle_hashes(words_of(text), how.shingle, 42))
+    if not parts:
+        return bytes(8 * how.words), [0]
+    h = np.unique(np.concatenate(parts))
+    wide = b"".join(majority(mixed(h[at : at + 65536], w) for at in range(0, len(h), 65536)).to_bytes(8, "big") for w in range(how.words))
+    drawn = [h[np.argmin(mixed(h, how.words + k))] for k in range(how.samples * how.drawn)]
+    cells = []
+    for sample in range(how.samples):
+        three = np.array(drawn[sample * how.drawn : (sample + 1) * how.drawn], dtype=np.uint64)
+        cells.append(xxhash.xxh64_intdigest(mixed(np.sort(three), sample).tobytes(), sample) - (1 << 63))
+    return wide, cells
+
+
+def sketched(text: str | Column, how: Likeness) -> Column:
+    """(bits, cells) of a text."""
+
+    @F.pandas_udf("bits binary, cells array<long>")
+    def computed(texts: pd.Series) -> pd.DataFrame:
+        found = [sketch(t, how) for t in texts]
+        return pd.DataFrame({"bits": [f[0] for f in found], "cells": [f[1] for f in found]})
+
+    return computed(F.col(text) if isinstance(text, str) else text)
+
+
+def deduplicate(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """One row of `docs` for each group of alike documents, the one with the smallest doc_id; all columns are kept.
+
+    Groups hang together over links of at least `how.least`. Null and blank texts are one group. Rows with a null id
+    stay only where no row of their group has one. Repeated rows, and rows that agree in doc_id and text, count once.
+    """
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    marked = docs.select("doc_id", key.alias("key"), sketched("text", how).alias("s")).select("doc_id", "key", "s.*")
+    marked = materialise(marked, "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    values = materialise(marked.groupBy("bits").agg(F.min(order).alias("least"), F.first("cells").alias("cells")), "values")
+    tops = placed(values.select("bits", "least"), values.select(F.explode(F.array_distinct("cells")).alias("cell"), "bits"), how.radius)
+    kept = tops.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
