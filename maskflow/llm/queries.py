@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, mixing, packing, secrets, simhash
+from maskflow.llm import compression, html, mixing, multiset, packing, secrets, simhash
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op5_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,6 +34,10 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classify(docs.select("doc_id", "text"), labels).drop("text")
 
 
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -38,8 +46,10 @@ def llm_queries() -> dict[str, Query]:
     found = [
         op2_linked_secrets,
         op3_temperature_mixing,
+        op5_nearest_url_differencing,
         op6_simhash_near_dedup,
         op7_compression_quality,
+        op8_multiset_hash,
         op9_mixture_packing,
     ]
     return {query.__name__: query for query in found}
