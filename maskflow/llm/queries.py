@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, html, mixing, multiset, packing, secrets, simhash
+from maskflow.llm import compression, html, mixing, multiset, neighbours, packing, secrets, simhash
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def llm_queries() -> dict[str, Query]:
     found = [
         op2_linked_secrets,
         op3_temperature_mixing,
+        op4_nn_descent,
         op5_nearest_url_differencing,
         op6_simhash_near_dedup,
         op7_compression_quality,
