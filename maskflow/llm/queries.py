@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, html, mixing, multiset, neighbours, packing, secrets, simhash
+from maskflow.llm import compression, html, mixing, multiset, neighbours, packing, secrets, simhash, urls
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Fixed values of the query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +56,7 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     found = [
+        op1_path_template_tree,
         op2_linked_secrets,
         op3_temperature_mixing,
         op4_nn_descent,
