@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, html, mixing, multiset, neighbours, packing, secrets, simhash, urls
+from maskflow.llm import compression, html, lm, mixing, multiset, neighbours, packing, secrets, simhash, urls
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def llm_queries() -> dict[str, Query]:
     found = [
         op1_path_template_tree,
@@ -65,6 +69,7 @@ def llm_queries() -> dict[str, Query]:
         op7_compression_quality,
         op8_multiset_hash,
         op9_mixture_packing,
+        op10_log_bilinear,
     ]
     return {query.__name__: query for query in found}
 
