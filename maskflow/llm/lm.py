@@ -23,7 +23,7 @@ class Settings:
     held_out: int = 1  # fold that is not learned from
     own: int = 704  # classes: the end, and the most frequent words, one class for each
     endings: int = 64  # classes of all other words, by their last two bytes
-    listed: int = 32768  # most frequent words whose counts are sent to all tasks; the others are joined
+    listed: int = 32768  # at most so many words, the most frequent, are sent to all tasks; the others are joined
     width: int = 24
     noise: int = 64  # noise words, shared by a batch
     batch: int = 2048
@@ -190,7 +190,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
     """What all tasks need: a list of bounded length, and sums over all other words."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    listed = counts.orderBy(F.desc("c"), "word").limit(settings.listed).toPandas()
+    # Counts from 4096 on share steps of an eighth of a doubling, so that this histogram is short at any size.
+    step = F.when(F.col("c") < 4096, F.col("c").cast("double")).otherwise(F.pow(F.lit(2.0), F.floor(8 * F.log2("c")) / 8))
+    above, least = 0, float("inf")
+    for row in sorted(counts.groupBy(step.alias("from")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["from"]):
+        above += row.n
+        if above > settings.listed:
+            break
+        least = row["from"]
+    listed = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     words = [w.encode("utf-8", "surrogatepass") for w in listed.word]
     own = words[: settings.own - 1]
     group = np.array([k + 1 for k in range(len(own))] + [ending(w, settings) for w in words[len(own) :]], dtype=np.int64)

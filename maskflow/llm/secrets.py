@@ -165,8 +165,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate("spans", zero, cut, lambda s: F.concat(s["out"], F.substr(column, s["at"] + 1, F.length(column))))
-    found = scan(docs, text).withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(column))
-    return found.select(*docs.columns)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text))  # no name can clash
+    found = scan(kept, text).withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(column))
+    return found.select(*[column if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def length_of(text: str, kind) -> Column:
