@@ -182,7 +182,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 counts: Counter = Counter()
                 for text in batch.text.iloc[at : at + 2000]:
                     counts.update(words_of(text))
-                yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in counts], "c": list(counts.values())})
+                if counts:
+                    yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in counts], "c": list(counts.values())})
 
     return docs.select("text").mapInPandas(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
