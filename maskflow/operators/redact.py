@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,10 +166,18 @@ def redact_table(
     return df
 
 
+def _place(state: Column, pair: Column) -> Column:
+    """The hits so far with the next one, which follows its gap; the last gap has none."""
+    start = state["at"] + pair["gap"]
+    hit = F.struct(start.alias("start"), pair["hit"].alias("text"))
+    listed = F.when(pair["hit"].isNull(), state["hits"]).otherwise(F.array_append(state["hits"], hit))
+    return F.struct((start + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("at"), listed.alias("hits"))
+
+
 def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redaction | None = None) -> DataFrame:
     """One row per entity: id, entity, zero-based start and end, text, score.
 
-    `id_column` must identify a row, so a group is the hits of one text. Only hits are shuffled, never texts.
+    Places are summed inside each row, so that nothing is shuffled and ids may repeat.
     """
     rule = rule or Redaction()
     found = None
@@ -178,14 +186,11 @@ def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redactio
         value = named(text_column)
         gaps = F.transform(F.split(value, pattern, -1), F.length)
         pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(value, F.lit(pattern), F.lit(0)).alias("hit"))
-        exploded = df.filter(value.rlike(pattern)).select(
-            named(id_column).alias(id_column), F.posexplode(pairs).alias("pos", "pair")
-        )
-        hits = exploded.select(id_column, "pos", F.col("pair.gap").alias("gap"), F.col("pair.hit").alias("text"))
-        before = Window.partitionBy(named(id_column)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        skipped = F.coalesce(F.sum(F.col("gap") + F.coalesce(F.length("text"), F.lit(0))).over(before), F.lit(0))
-        placed = hits.withColumn("start", (skipped + F.col("gap")).cast("int"))
-        spans = placed.filter(F.col("text").isNotNull() & _keep_span(entity, F.col("text"), rule)).select(
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("hits"))
+        hits = F.aggregate(pairs, start, _place, lambda state: state["hits"])
+        placed = df.filter(value.rlike(pattern)).select(named(id_column).alias(id_column), F.explode(hits).alias("hit"))
+        placed = placed.select(named(id_column), F.col("hit.start").alias("start"), F.col("hit.text").alias("text"))
+        spans = placed.filter(_keep_span(entity, F.col("text"), rule)).select(
             named(id_column).alias(id_column),
             F.lit("PERSON" if entity == "PERSON_SIMPLE" else entity).alias("entity"),
             "start",

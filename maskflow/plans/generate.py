@@ -36,8 +36,10 @@ def generate_table(
         kept: list[str] = []
     else:
         kept = [ids.columns[0]]
-        count = rows if rows is not None else ids.count()
         base = ids.select(named(kept[0]).cast("bigint").alias(ROW_ID))
+        if any(s.get("unique") for s in config["columns"].values()):
+            _check_dense(base)
+        count = rows if rows is not None else ids.count()
     stage = Stage(base)
     ctx = GenerateContext(key or fresh_key(), count, base, ROW_ID, lookups or Lookups(spark), stage)
     names: list[str] = []
@@ -56,6 +58,14 @@ def generate_table(
     return stage.df.select(*[F.col(ROW_ID).alias(k) for k in kept], *[named(n) for n in names])
 
 
+def _check_dense(ids: DataFrame) -> None:
+    """Unique numbers are a permutation of the row ids, so ids that are not exactly 0 .. n - 1 would give repeats."""
+    found = ids.agg(F.count("*"), F.count(ROW_ID), F.min(ROW_ID), F.max(ROW_ID), F.count_distinct(ROW_ID)).first()
+    n = found[0]
+    if n and tuple(found) != (n, n, 0, n - 1, n):
+        raise ValueError("unique numbers need ids from 0 to the number of rows less one, each once")
+
+
 def _check_names(names: list[str]) -> None:
     """Spark does not tell names apart by case, so such a pair would silently be one column."""
     seen: dict[str, str] = {}

@@ -44,11 +44,11 @@ def test_unique_needs_room(spark):
 
 
 def test_normal_bounds(spark):
-    p = {"function": "normal_float", "mean": 1.75, "std": 0.2, "min": 1.7, "max": 1.8, "digits": 2}
+    p = {"function": "normal_float", "mean": 5.5, "std": 0.2, "min": 5.45, "max": 5.55, "digits": 2}
     clipped, redrawn = column(spark, p), column(spark, p | {"bounds": "redraw"})
     for got in (clipped, redrawn):
-        assert min(got) >= 1.7 and max(got) <= 1.8
-    assert redrawn.count(1.7) < clipped.count(1.7)
+        assert min(got) >= 5.45 and max(got) <= 5.55
+    assert redrawn.count(5.45) < clipped.count(5.45)
     assert set(column(spark, {"function": "normal_float", "mean": 3, "std": 0, "digits": 1}, 10)) == {3.0}
     assert set(column(spark, {"function": "normal_date", "average_date": "2000-01-01", "std_days": 0}, 10)) == {"2000-01-01"}
 
@@ -139,3 +139,12 @@ def test_check_config():
     }
     assert len(check_config({"columns": bad}, ["a", "b", "c"])) == 5
     assert check_config({}) == ["the configuration has no columns"]
+
+
+def test_unique_needs_dense_ids(spark):
+    config = {"columns": {"x": {"function": "random_int", "min": 0, "max": 1000, "unique": True}}}
+    sparse = spark.range(0, 4000, 4).withColumnRenamed("id", "i")
+    with pytest.raises(ValueError, match="each once"):
+        generate_table(spark, config, key=KEY, ids=sparse)
+    dense = generate_table(spark, config, key=KEY, ids=spark.range(1000).withColumnRenamed("id", "i"))
+    assert dense.select("x").distinct().count() == 1000

@@ -144,3 +144,10 @@ def test_lookup_files(spark, tmp_path):
     columns = {"n": {"data_type": "string", "function": "last_name", "source": "ogd-bs"}, "v": {"data_type": "string", "function": "first_name", "source": "ogd-bs"}}
     assert [tuple(r) for r in mask_table(df, {"columns": columns}, lookups).collect()] == [("Meier", "Anna"), ("Meier", "Max")]
     assert read_postcodes(spark, f"{tmp_path}/postcodes.csv").orderBy("ord").first()["gemeinde_name"] == "B"
+
+
+def test_spans_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "Dr Hans Huber ruft an"), (1, "an Hans Huber und Eva Frei")], "i int, t string")
+    rows = entity_spans(df, "i", "t", Redaction(("PERSON",)))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.start, r.end, r.text) for r in rows.collect() if r.text != "Dr Hans Huber")[:1] == [(3, 13, "Hans Huber")]
