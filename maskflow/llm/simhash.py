@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.llm.common import ship, words_of
+from maskflow.llm.common import ship
 from maskflow.llm.components import components
+from maskflow.llm.hashing import CHUNK, shingle_hashes
 from maskflow.session import materialise
 
 ship(__name__)
@@ -24,37 +25,20 @@ SEGMENT = 0x5555555555555555
 GROUPS = 6
 BLOCK = 1024  # rows that are compared at once
 LARGE = 4096  # buckets above this size are cut further before rows are compared
+SMALL = 8  # buckets up to this size are compared all at once, by their distance in the sorted rows
 
 
 # Fingerprints
 
 
-def shingle_hashes(words: list[bytes], size: int, seed: int) -> Iterator[np.ndarray]:
-    """XXH64 of the space-joined shingles, repeats included, in arrays of bounded length."""
-    if not words:
-        return
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) < size:
-        starts, ends = starts[:1], ends[-1:]
-    else:
-        starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), 65536):
-        pairs = zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist(), strict=True)
-        yield np.array([digest(joined[i:j], seed) for i, j in pairs], dtype=np.uint64)
-
-
-def majority(hashes: Iterable[np.ndarray]) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bit set if it is set in over half of the hashes; 0 without any."""
-    total, counts = 0, np.zeros(64, dtype=np.int64)
-    for h in hashes:
-        total += len(h)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8))
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8))
         bits = np.concatenate([bits, np.zeros(-len(bits) % (64 * 255), dtype=np.uint8)]).reshape(-1, 255, 64)
         counts += bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 ones fit into a byte
-    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
 
 def fingerprint(text: str | Column, size: int = 3, seed: int = 42) -> Column:
@@ -62,7 +46,7 @@ def fingerprint(text: str | Column, size: int = 3, seed: int = 42) -> Column:
 
     @F.pandas_udf("long")
     def computed(texts: pd.Series) -> pd.Series:
-        found = np.array([majority(shingle_hashes(words_of(t), size, seed)) for t in texts], dtype=np.uint64)
+        found = np.array([majority(h) for h in shingle_hashes(texts, size, seed)], dtype=np.uint64)
         return pd.Series(found.view(np.int64))
 
     return computed(F.col(text) if isinstance(text, str) else text)
@@ -160,26 +144,43 @@ def links(cells: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that hold the fingerprints of each cell together: `cells` has cell and bits (whole words, binary).
 
     Rows are sorted by cell within the shuffled partitions and read as a stream, so that a task holds one cell at a
-    time. A cell of n fingerprints gives n - 1 links at most, never all pairs.
+    time. A cell of n fingerprints gives n - 1 links at most, never all pairs (at most SMALL: the links there are).
     """
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(bits: np.ndarray) -> pd.DataFrame:
+        def of(cell: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
             words = np.frombuffer(b"".join(bits), dtype=">u8").astype(np.uint64).reshape(len(bits), -1)
-            first = cluster(words, radius)
-            moved = np.flatnonzero(first != np.arange(len(first)))
-            return pd.DataFrame({"a": bits[moved], "b": bits[first[moved]]})
+            starts = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+            sizes = np.diff(np.append(starts, len(cell)))
+            rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+            moved, kept = [], []
+            for step in range(1, SMALL):
+                left, right = rows[:-step], rows[step:]
+                same = cell[left] == cell[right]
+                left, right = left[same], right[same]
+                if not len(left):
+                    break
+                near = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64) <= radius
+                moved.append(right[near])
+                kept.append(left[near])
+            for at in np.flatnonzero(sizes > SMALL).tolist():
+                first = cluster(words[starts[at] : starts[at] + sizes[at]], radius)
+                hung = np.flatnonzero(first != np.arange(len(first)))
+                moved.append(starts[at] + hung)
+                kept.append(starts[at] + first[hung])
+            if not moved:
+                return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": bits[np.concatenate(moved)], "b": bits[np.concatenate(kept)]})
 
         cell, bits = np.array([], dtype=np.int64), np.array([], dtype=object)
         for batch in batches:
             cell, bits = np.concatenate([cell, batch.cell.to_numpy()]), np.concatenate([bits, batch.bits.to_numpy()])
-            starts = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
-            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if end - start > 1:
-                    yield of(bits[start:end])
-            cell, bits = cell[starts[-1] :], bits[starts[-1] :]  # may go on in the next batch
+            last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # may go on in the next batch
+            if last:
+                yield of(cell[:last], bits[:last])
+            cell, bits = cell[last:], bits[last:]
         if len(bits) > 1:
-            yield of(bits)
+            yield of(cell, bits)
 
     dealt = cells.select("cell", "bits").repartition("cell").sortWithinPartitions("cell", "bits")
     return dealt.mapInPandas(linked, "a binary, b binary")
@@ -236,13 +237,12 @@ def mixed(h: np.ndarray, number: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, how: Likeness) -> tuple[bytes, list[int]]:
+def sketch(hashes: np.ndarray, how: Likeness) -> tuple[bytes, list[int]]:
     """The wide fingerprint of the set of shingles, and the sampled fingerprints as the cells it is sought in."""
-    parts = list(shingle_hashes(words_of(text), how.shingle, 42))
-    if not parts:
+    if not len(hashes):
         return bytes(8 * how.words), [0]
-    h = np.unique(np.concatenate(parts))
-    wide = b"".join(majority(mixed(h[at : at + 65536], w) for at in range(0, len(h), 65536)).to_bytes(8, "big") for w in range(how.words))
+    h = np.unique(hashes)
+    wide = b"".join(majority(mixed(h, w)).to_bytes(8, "big") for w in range(how.words))
     drawn = [h[np.argmin(mixed(h, how.words + k))] for k in range(how.samples * how.drawn)]
     cells = []
     for sample in range(how.samples):
@@ -256,7 +256,7 @@ def sketched(text: str | Column, how: Likeness) -> Column:
 
     @F.pandas_udf("bits binary, cells array<long>")
     def computed(texts: pd.Series) -> pd.DataFrame:
-        found = [sketch(t, how) for t in texts]
+        found = [sketch(h, how) for h in shingle_hashes(texts, how.shingle, 42)]
         return pd.DataFrame({"bits": [f[0] for f in found], "cells": [f[1] for f in found]})
 
     return computed(F.col(text) if isinstance(text, str) else text)
