@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskflow.checks.base import quote, register, select, table
 from maskflow.operators.redact import (
+    CANDIDATE_WORD,
     DENY_START,
     NAME_WORD,
     PARTICLES,
@@ -23,25 +24,32 @@ from maskflow.operators.redact import (
 BLANK = r"[\t\n\f\r \x0B\p{Z}]"
 # Word edges become characters of their own, since \b knows ASCII letters only.
 OPEN, CLOSE = "", ""
-WORD = f"{OPEN}{NAME_WORD}{CLOSE}"
-PERSON_SQL = f"{WORD}(?:{BLANK}+(?:{OPEN}(?:{'|'.join(PARTICLES)}){CLOSE}{BLANK}+)*{WORD})+"
-SIMPLE_SQL = f"{WORD}(?:{BLANK}+{WORD})+"
+# Words that no candidate begins with open with another one.
+DENIED = "\ue002"
+ANY_OPEN = f"[{OPEN}{DENIED}]"
+TAIL = f"(?:-{ANY_OPEN}{CANDIDATE_WORD}{CLOSE})*"
+PERSON_SQL = (
+    f"{OPEN}{CANDIDATE_WORD}{CLOSE}{TAIL}"
+    f"(?:{BLANK}+(?:{OPEN}(?:{'|'.join(PARTICLES)}){CLOSE}{BLANK}+)*{ANY_OPEN}{CANDIDATE_WORD}{CLOSE}{TAIL})+"
+)
+SIMPLE_SQL = f"{ANY_OPEN}{NAME_WORD}{CLOSE}(?:{BLANK}+{ANY_OPEN}{NAME_WORD}{CLOSE})+"
 
 LETTER = [
     "doc_id",
     "CASE doc_id % 8 WHEN 0 THEN 'Frau Anna Meier, Tel. +41 79 123 45 67, und Hans von Allmen. ' WHEN 1 THEN 'Der Kunde Max ruft 061 267 87 27 an. ' "
     "WHEN 2 THEN 'Anna Meier2 und Anne-Marie Keller; CHF Franken ' WHEN 3 THEN '0041791234567 oder +41 (61) 267-87-27x oder +41 (61) 267-87-27. ' "
-    "WHEN 4 THEN NULL WHEN 5 THEN 'Ein Haus. Éva Müller Zoë Öhri ' ELSE '' END || text AS text",
+    "WHEN 4 THEN NULL WHEN 5 THEN 'Ein Haus. Éva Müller Zoë Öhri ' WHEN 6 THEN 'Der Anna Meier dankt René Müller, Den Haag und Meier-Huber Zoë. ' ELSE '' END || text AS text",
 ]
 LETTER_SQL = select("documents", LETTER)
 
 
 def edges(text: str) -> str:
-    return f"regexp_replace({text}, '([\\p{{L}}\\p{{N}}_]+)', '{OPEN}\\1{CLOSE}', 'g')"
+    marked = f"regexp_replace({text}, '([\\p{{L}}\\p{{N}}_]+)', '{OPEN}\\1{CLOSE}', 'g')"
+    return f"regexp_replace({marked}, '{OPEN}({'|'.join(DENY_START)}){CLOSE}', '{DENIED}\\1{CLOSE}', 'g')"
 
 
 def unmark(text: str) -> str:
-    return f"translate({text}, '{OPEN}{CLOSE}', '')"
+    return f"translate({text}, '{OPEN}{CLOSE}{DENIED}', '')"
 
 
 PARTICLES_SQL = ", ".join(quote(p) for p in PARTICLES)

@@ -61,6 +61,7 @@ class GenerateContext:
     id: str
     lookups: Lookups
     stage: Stage
+    last_id: int
 
     @property
     def row(self) -> Column:
@@ -347,11 +348,12 @@ def address(name: str, p: dict, ctx: GenerateContext) -> Generated:
 
 
 def incremental_date(name: str, p: dict, ctx: GenerateContext) -> Generated:
-    """A date per row, one step apart; null after the year 9999."""
+    """A date per row, one step apart. Dates after the year 9999 are refused, or null with `"overflow": "null"`."""
     start = dt.date.fromisoformat(p.get("start_date", "2025-01-01"))
     period, step = p.get("step_period", "day"), int(p.get("delta_days", p.get("step", 1)))
     first = F.lit(start.isoformat()).cast("date")
-    offset = ctx.row * F.lit(step * {"week": 7, "year": 12}.get(period, 1)).cast("bigint")
+    apart = step * {"week": 7, "year": 12}.get(period, 1)
+    offset = ctx.row * F.lit(apart).cast("bigint")
     if period in ("month", "year"):
         last = (9999 - start.year) * 12 + 12 - start.month
         stepped = F.add_months(first, F.when(offset <= last, offset).cast("int"))
@@ -360,6 +362,8 @@ def incremental_date(name: str, p: dict, ctx: GenerateContext) -> Generated:
         stepped = F.date_add(first, F.when(offset <= last, offset).cast("int"))
     else:
         raise ValueError(f"{name}: unknown step_period {period!r}")
+    if ctx.last_id * apart > last and p.get("overflow") != "null":
+        raise ValueError(f"{name}: {ctx.last_id + 1} rows pass the year 9999")
     return single(name, F.date_format(stepped, DATE_TEXT))
 
 

@@ -6,25 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 2000
+ROWS_PER_TASK = 4_000_000
+NULL_SALTS = 4096
 
 
 def map_back(df: DataFrame, value: Column, mapping: DataFrame, rows: int, small: bool, into: str) -> DataFrame:
     """Add `into`: the `new` of the `mapping(old, new, n)` row whose `old` equals `value`.
 
-    `n` is how many of the `rows` table rows hold `old`. A small mapping is broadcast. Otherwise the values
-    that hold more than 1/2000 of the rows, of which there are fewer than 2000, are broadcast and only the
-    rows with other values are shuffled, so no value makes a large partition.
+    `n` is how many of the `rows` table rows hold `old`. A small mapping is broadcast. Otherwise both sides are
+    shuffled once by value and salt: a value that holds more than 1/2000 of the rows, or more than a task should
+    read, gets as many salts as it has such shares. The table itself is read in a single branch, so that several
+    such columns do not multiply its scans. Only the salts of those hot values are broadcast. Nulls are spread.
     """
     d = df.withColumn("__map_key", value)
     pairs = mapping.select(F.col("old").alias("__map_old"), F.col("new").alias(into), "n")
     if small:
         joined = d.join(F.broadcast(pairs.drop("n")), F.col("__map_key") == F.col("__map_old"), "left")
         return joined.drop("__map_key", "__map_old")
-    limit = max(1, rows // HOT_SHARE)
-    hot = pairs.filter(F.col("n") > limit).drop("n")
-    cold = pairs.filter(F.col("n") <= limit).drop("n")
-    marked = d.join(F.broadcast(hot), F.col("__map_key") == F.col("__map_old"), "left")
-    settled = marked.filter(F.col("__map_old").isNotNull() | F.col("__map_key").isNull())
-    rest = marked.filter(F.col("__map_old").isNull() & F.col("__map_key").isNotNull()).drop("__map_old", into)
-    shuffled = rest.join(cold, F.col("__map_key") == F.col("__map_old"), "left")
-    return settled.unionByName(shuffled).drop("__map_key", "__map_old")
+    limit = max(1, min(rows // HOT_SHARE, ROWS_PER_TASK))
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    hot = mapping.filter(F.col("n") > limit).select(F.col("old").alias("__map_hot"), salts.alias("__map_salts"))
+    # Of equal rows all get one salt; types without a hash take no part in it.
+    fields = [f.name for f in d.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    spread = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in fields])
+    number = F.when(F.col("__map_key").isNull(), NULL_SALTS).otherwise(F.coalesce("__map_salts", F.lit(1)))
+    d = d.join(F.broadcast(hot), F.col("__map_key") == F.col("__map_hot"), "left")
+    d = d.withColumn("__map_salt", F.pmod(spread, number).cast("int")).drop("__map_hot", "__map_salts")
+    dealt = pairs.withColumn("__map_place", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    same = (F.col("__map_key") == F.col("__map_old")) & (F.col("__map_salt") == F.col("__map_place"))
+    return d.join(dealt, same, "left").drop("__map_key", "__map_salt", "__map_old", "__map_place")

@@ -6,7 +6,6 @@ column; helper columns and lookup joins go onto the context's stage. Nulls stay
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,6 +18,7 @@ from maskflow.functions import draws
 from maskflow.functions.dates import add_days
 from maskflow.functions.names import column as named
 from maskflow.functions.numbers import social_security_number, to_double, to_whole
+from maskflow.functions.permute import permute
 from maskflow.functions.stage import Stage
 from maskflow.functions.text import (
     digits_of,
@@ -198,14 +198,6 @@ def list_string(name: str, p: dict, ctx: MaskContext) -> Column:
     return F.when(shown.isNotNull(), chosen)
 
 
-def spread_factors(n: int) -> int:
-    """A multiplier without common divisor with `n`, near the golden section of it."""
-    a = max(1, int(n * 0.6180339887))
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
-
-
 def _counted_values(source: DataFrame, value: Column) -> tuple[DataFrame, int, int, bool]:
     """Distinct values with their counts, written once; number of values, of rows, and whether they fit a broadcast."""
     counted = source.select(value.alias("old")).filter(F.col("old").isNotNull()).groupBy("old").agg(F.count("*").alias("n"))
@@ -220,18 +212,23 @@ def _counted_values(source: DataFrame, value: Column) -> tuple[DataFrame, int, i
 
 
 def unique_int(name: str, p: dict, ctx: MaskContext, value: Column, low: int, high: int) -> Column:
-    """Distinct values get distinct integers: a random rank, spread over the whole range."""
-    stored, count, rows, small = _counted_values(ctx.source, _text_or_null(ctx.source_value(name)))
+    """Distinct values get distinct integers: a random rank, permuted over the whole range; both depend on the key.
+
+    Only digests of the values are written to the shared folder, never the values.
+    """
+    scope = p.get("scope", name)
+
+    def hidden(shown: Column) -> Column:
+        return F.when(shown.isNotNull(), draws.digest(ctx.key, scope, shown))
+
+    stored, count, rows, small = _counted_values(ctx.source, hidden(_text_or_null(ctx.source_value(name))))
     width = high - low + 1
     if count > width:
         raise ValueError(f"{name}: {count} distinct values do not fit into {width} integers")
-    if width > 3_000_000_000:
-        raise ValueError(f"{name}: unique ranges hold at most 3,000,000,000 integers")
-    dg = draws.digest(ctx.key, p.get("scope", name), F.col("old"))
-    ranked = positions(stored, dg, "r", digits=bucket_digits(count), rows=count)
-    shift = F.lit(low).cast("bigint")
-    mapping = ranked.select("old", (shift + (F.col("r") * spread_factors(width)) % width).alias("new"), "n")
-    return ctx.map_back(value, mapping, rows, small)
+    stage = Stage(positions(stored, F.col("old"), "r", digits=bucket_digits(count), rows=count))
+    placed = permute(stage, F.col("r"), width, ctx.key, scope)
+    mapping = stage.df.select("old", (F.lit(low).cast("bigint") + placed).alias("new"), "n")
+    return ctx.map_back(ctx.stage.keep(hidden(value)), mapping, rows, small)
 
 
 def shuffle_codes(name: str, p: dict, ctx: MaskContext) -> Column:

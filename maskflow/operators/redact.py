@@ -32,10 +32,15 @@ _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 # A look at the first character rules out most places at once.
 _CAPITAL, _PHONE_START = "(?=[A-ZÄÖÜ])", "(?=[0+])"
 
+# A word of a candidate is any capitalised word, hyphenated ones as a whole; no candidate begins with a denied word.
+CANDIDATE_WORD = r"\p{Lu}\p{Ll}+"
+_WORD = f"{CANDIDATE_WORD}(?:-{CANDIDATE_WORD})*"
+_NOT_DENIED = f"(?!(?:{'|'.join(DENY_START)}){_NOT_BEFORE_WORD})"
+
 SIMPLE_PERSON = f"{_CAPITAL}{_NOT_AFTER_WORD}{NAME_WORD}(?:{_BLANK}+{NAME_WORD})+{_NOT_BEFORE_WORD}"
 PERSON = (
-    f"{_CAPITAL}{_NOT_AFTER_WORD}{NAME_WORD}"
-    f"(?:{_BLANK}+(?:(?:{'|'.join(PARTICLES)}){_BLANK}+)*{NAME_WORD})+{_NOT_BEFORE_WORD}"
+    rf"(?=\p{{Lu}}){_NOT_AFTER_WORD}{_NOT_DENIED}{_WORD}"
+    f"(?:{_BLANK}+(?:(?:{'|'.join(PARTICLES)}){_BLANK}+)*{_WORD})+{_NOT_BEFORE_WORD}"
 )
 PHONE = f"{_PHONE_START}{PHONE_BODY}{_NOT_BEFORE_WORD}"
 PATTERNS = {"PERSON": PERSON, "PERSON_SIMPLE": SIMPLE_PERSON, "PHONE_NUMBER": PHONE}
@@ -106,7 +111,8 @@ def plausible_person(span: Column) -> Column:
 def _keep_span(entity: str, span: Column, rule: Redaction) -> Column:
     if entity == "PHONE_NUMBER":
         return F.lit(True)
-    good = plausible_person(span)
+    # The parts of a hyphenated name count as one word.
+    good = plausible_person(F.regexp_replace(span, r"-\p{Lu}", "") if entity == "PERSON" else span)
     return good & ~span.isin(list(rule.deny)) if rule.deny else good
 
 

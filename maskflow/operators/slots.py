@@ -124,7 +124,8 @@ def pick(
     d = df
     if group is not None:
         totals = slots.totals.select(F.col(_GROUP).alias("__pick_total_group"), F.col(_TOTAL).alias("__pick_total"))
-        d = d.withColumn("__pick_group", group.cast("string"))
+        # Tied to the draw: a constant group would be folded away and leave a join without a key.
+        d = d.withColumn("__pick_group", F.when(draw >= 0, group.cast("string")))
         d = d.join(slots.hint(totals), F.col("__pick_group") == F.col("__pick_total_group"), "left")
         total: Column = F.col("__pick_total")
     else:

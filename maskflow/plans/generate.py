@@ -32,16 +32,17 @@ def generate_table(
     """
     count = rows if rows is not None else int(config.get("rows", DEFAULT_ROWS))
     if ids is None:
-        base = spark.range(count).withColumnRenamed("id", ROW_ID)
+        base, last_id = spark.range(count).withColumnRenamed("id", ROW_ID), count - 1
         kept: list[str] = []
     else:
         kept = [ids.columns[0]]
         base = ids.select(named(kept[0]).cast("bigint").alias(ROW_ID))
         if any(s.get("unique") for s in config["columns"].values()):
             _check_dense(base)
-        count = rows if rows is not None else ids.count()
+        found = base.agg(F.count("*"), F.coalesce(F.max(ROW_ID), F.lit(-1))).first()
+        count, last_id = rows if rows is not None else int(found[0]), int(found[1])
     stage = Stage(base)
-    ctx = GenerateContext(key or fresh_key(), count, base, ROW_ID, lookups or Lookups(spark), stage)
+    ctx = GenerateContext(key or fresh_key(), count, base, ROW_ID, lookups or Lookups(spark), stage, last_id)
     names: list[str] = []
     _check_names([c for c, s in config["columns"].items() if s.get("function") in GENERATORS and s["function"] != "address"])
     for name, settings in config["columns"].items():

@@ -28,7 +28,10 @@ def test_incremental(spark):
         "2025-01-31", "2025-02-28", "2025-03-31", "2025-04-30",
     ]
     assert column(spark, {"function": "incremental_date", "start_date": "2025-12-30", "delta_days": 2}, 3) == ["2025-12-30", "2026-01-01", "2026-01-03"]
-    assert column(spark, {"function": "incremental_date", "start_date": "9999-12-30"}, 3) == ["9999-12-30", "9999-12-31", None]
+    late = {"function": "incremental_date", "start_date": "9999-12-30"}
+    assert column(spark, late | {"overflow": "null"}, 3) == ["9999-12-30", "9999-12-31", None]
+    with pytest.raises(ValueError, match="9999"):
+        column(spark, late, 3)
 
 
 @pytest.mark.parametrize("width", [1000, 1001, 4096, 999_999_937])

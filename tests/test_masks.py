@@ -317,3 +317,35 @@ def test_expression_masks_and_redaction_do_not_shuffle(spark, sf_dir):
         assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan, name
     plan = queries()["mask_table"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_unique_integers_depend_on_the_key_and_know_no_widest_range(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(200)], "c string")
+    settings = {"data_type": "string", "function": "random_int", "min": 0, "max": 10**12, "unique": True}
+    sets = [{r["c"] for r in mask_table(df, {"columns": {"c": settings}}, key=key).collect()} for key in ("k1", "k2")]
+    assert len(sets[0]) == len(sets[1]) == 200 and len(sets[0] & sets[1]) < 5
+
+
+def test_large_mappings_scan_the_table_once(spark, tmp_path, monkeypatch):
+    from maskflow.operators import masks
+
+    monkeypatch.setattr(masks, "BROADCAST_BYTES", -1)
+    rows = [(f"v{i % 7}" if i % 3 else "hot", None if i % 2 else f"w{i % 50}", i) for i in range(6000)]
+    spark.createDataFrame(rows, "a string, b string, i int").write.parquet(f"{tmp_path}/t")
+    codes = {c: {"data_type": "string", "function": "shuffle_codes"} for c in ("a", "b")}
+    masked = mask_table(spark.read.parquet(f"{tmp_path}/t"), {"columns": codes}, key=KEY)
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [a#") == 1
+    got = {r.i: (r.a, r.b) for r in masked.collect()}
+    assert len(got) == 6000
+    for place in (0, 1):
+        pairs = {(r[place], got[r[2]][place]) for r in rows}
+        assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs}) and {p[0] for p in pairs} == {p[1] for p in pairs}
+
+
+def test_constant_groups_join_by_key(spark):
+    config = {"columns": {"area": {"function": "list_string", "list": ["K2"]}, "plz": {"function": "plz4", "canton_field": "area", "canton_field_version": "kanton_name_kurz"}}}
+    from maskflow.plans.generate import generate_table
+
+    plan = generate_table(spark, config, key=KEY, rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

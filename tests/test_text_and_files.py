@@ -151,3 +151,12 @@ def test_spans_of_repeated_ids(spark):
     rows = entity_spans(df, "i", "t", Redaction(("PERSON",)))
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.start, r.end, r.text) for r in rows.collect() if r.text != "Dr Hans Huber")[:1] == [(3, 13, "Hans Huber")]
+
+
+def test_no_name_slips_through(spark):
+    cases = [
+        ("Der Anna Meier dankt", "Der <PERSON> dankt"), ("mit René Müller und Zoë Öhri", "mit <PERSON> und <PERSON>"),
+        ("Anne-Marie Keller ruft an", "<PERSON> ruft an"), ("Anna Meier-Huber, Bern", "<PERSON>, Bern"), ("Die Stadt", "Die Stadt"),
+    ]
+    rows = redact_table(spark.createDataFrame(cases, "t string, want string"), ["t"]).collect()
+    assert [r.t for r in rows] == [want for _, want in cases]
