@@ -18,15 +18,17 @@ ship(__name__)
 
 @dataclass(frozen=True)
 class Settings:
-    neighbours: int = 32  # kept for each node
-    reverse: int = 32  # nodes that point at a node, drawn by a hash, which join its neighbourhood
-    propose: int = 6  # best new pairs that one neighbourhood gives each of its members
-    starts: int = 3  # random groupings whose members are compared with each other at first
-    group: int = 1024  # rows of such a group, on average
-    rounds: int = 6  # of NN-descent, unless fewer than 1 % of the links still change
-    pivots: int = 1024  # a bounded sample of nodes where searches begin
-    beam: int = 320  # best nodes that a search keeps; it ends when all of them have been expanded
-    expand: int = 48  # of them in one round
+    neighbours: int = 24  # kept for each node
+    reverse: int = 24  # nodes that point at a node, drawn by a hash, which join its neighbourhood
+    propose: int = 4  # best new pairs that one neighbourhood gives each of its members
+    starts: int = 8  # groupings by the nearest of some sampled nodes, whose members are compared with each other at first
+    group: int = 1024  # rows of such a group, on average; larger groups are split
+    first: int = 8  # nearest members of its group that a node takes from each grouping
+    rounds: int = 12  # of NN-descent, unless fewer than `still` of the links are new
+    still: float = 0.03
+    pivots: int = 1024  # a bounded sample of nodes where groups gather, in each grouping, and where searches begin
+    beam: int = 160  # best nodes that a search keeps; it ends when all of them have been expanded
+    expand: int = 64  # of them in one round
     rerank: int = 48  # best nodes that are scored exactly
 
 
@@ -68,23 +70,27 @@ def directions(short) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def grouped(df: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """`work` on the rows of each key, read as a stream of sorted rows; keys have a bounded number of rows each."""
+Work = Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
+
+
+def grouped(df: DataFrame, key: str, order: list[str], work: Work, schema: str) -> DataFrame:
+    """`work` on whole groups of sorted rows and where each begins, a batch of groups at a time.
+
+    Keys have a bounded number of rows each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: pd.DataFrame | None = None
         for batch in batches:
             batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
-            keys = batch[key].to_numpy()
-            cuts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
-            done = [work(batch.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            cuts = np.append(0, np.flatnonzero(np.diff(batch[key].to_numpy())) + 1)
             left = batch.iloc[cuts[-1] :].reset_index(drop=True)
-            if done:
-                yield pd.concat(done, ignore_index=True)
+            if len(cuts) > 1:
+                yield work(batch.iloc[: cuts[-1]], cuts[:-1])
         if left is not None and len(left):
-            yield work(left)
+            yield work(left, np.zeros(1, dtype=np.int64))
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def best(graph: DataFrame, k: int) -> DataFrame:
@@ -101,53 +107,93 @@ def reversed_links(graph: DataFrame, slots: int, seed: int) -> DataFrame:
     return drawn.select("v", F.col("x.a").alias("u"), F.col("x.new").alias("new"))
 
 
+def first_groups(nodes: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """(g, id, short): every node once in each grouping, with nodes near the same pivot; a large group is split by a hash."""
+    per_start = min(settings.pivots, -(-n // settings.group))
+    starts = settings.starts if per_start > 1 else 1
+    sample = nodes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(per_start * starts).select("short").toPandas()
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = directions(sample.short)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = directions(batch.short)
+            for start in range(starts):
+                near = np.argmax(x @ pivots[start::starts].T, axis=1)
+                yield pd.DataFrame({"cell": start * per_start + near, "id": batch.id, "short": batch.short})
+
+    dealt = nodes.mapInPandas(deal, "cell long, id long, short binary")
+    # At most pivots * starts rows.
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * settings.group)).alias("parts"))
+    part = F.pmod(F.xxhash64("cell", "id"), F.col("parts"))
+    return dealt.join(F.broadcast(parts), "cell").select(F.xxhash64("cell", part).alias("g"), "id", "short")
+
+
 def neighbour_graph(nodes: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b, s) from each node (id, short) to its nearest known ones, by NN-descent."""
     n = nodes.count()
-    groups = max(1, -(-n // settings.group))
+    alone = n <= settings.group
     k, m = settings.neighbours, settings.propose
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = rows.id.to_numpy(), directions(rows.short)
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
-        top = np.argpartition(-s, min(k, len(ids) - 1), axis=1)[:, :k]
-        a = np.repeat(np.arange(len(ids)), top.shape[1])
-        b = top.ravel()
-        kept = a != b
-        return pd.DataFrame({"a": ids[a[kept]], "b": ids[b[kept]], "s": s[a[kept], b[kept]]})
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, first = np.unique(rows.u.to_numpy(), return_index=True)
-        new = pd.Series(rows.new.to_numpy()).groupby(rows.u.to_numpy()).max().to_numpy(dtype=bool)
-        rows = rows.iloc[first]
-        x, least = directions(rows.short), rows.least.to_numpy()
-        s = x @ x.T
-        s[~(new[:, None] | new[None, :])] = -2
-        np.fill_diagonal(s, -2)
-        s[s <= least[:, None]] = -2
-        top = np.argpartition(-s, min(m, len(ids) - 1), axis=1)[:, :m]
-        a, b = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
-        kept = s[a, b] > -2
-        return pd.DataFrame({"a": ids[a[kept]], "b": ids[b[kept]], "s": s[a[kept], b[kept]]})
-
-    dealt = nodes.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(settings.starts if groups > 1 else 1))))
-    dealt = dealt.withColumn("g", F.col("start") * groups + F.pmod(F.xxhash64("start", "id"), F.lit(groups)))
-    begun = grouped(dealt.select("g", "id", "short"), "g", compare, "a long, b long, s float")
+    first = k if alone else settings.first
+
+    def compare(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        """The nearest members of its group for each row."""
+        out = []
+        for at, end in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+            ids, x = rows.id.to_numpy()[at:end], directions(rows.short.iloc[at:end])
+            s = x @ x.T
+            np.fill_diagonal(s, -2)
+            top = np.argpartition(-s, min(first, len(ids) - 1), axis=1)[:, :first]
+            a, b = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
+            kept = a != b
+            out.append(pd.DataFrame({"a": ids[a[kept]], "b": ids[b[kept]], "s": s[a[kept], b[kept]]}))
+        return pd.concat(out, ignore_index=True)
+
+    def join(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        """The best new pairs for each member of a neighbourhood; all neighbourhoods of a batch are one stack of matrices."""
+        v, u = rows.v.to_numpy(), rows.u.to_numpy()
+        again = np.append(False, (v[1:] == v[:-1]) & (u[1:] == u[:-1]))
+        at = np.flatnonzero(~again)
+        new = np.logical_or.reduceat(rows.new.to_numpy(dtype=bool), at)
+        v, u, least = v[at], u[at], rows.least.to_numpy()[at]
+        begin = np.append(True, v[1:] != v[:-1])
+        group = np.cumsum(begin) - 1
+        place = np.arange(len(v)) - np.flatnonzero(begin)[group]
+        shape = (group[-1] + 1, place.max() + 1)
+        x = directions(rows.short.iloc[at])
+        stack = np.zeros((*shape, x.shape[1]), dtype=np.float32)
+        ids, fresh, bar = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=bool), np.full(shape, 2, dtype=np.float32)
+        real = np.zeros(shape, dtype=bool)
+        stack[group, place], ids[group, place], fresh[group, place], bar[group, place], real[group, place] = x, u, new, least, True
+        s = stack @ stack.transpose(0, 2, 1)
+        s[~((fresh[:, :, None] | fresh[:, None, :]) & real[:, :, None] & real[:, None, :] & (s > bar[:, :, None]))] = -2
+        s[:, np.arange(shape[1]), np.arange(shape[1])] = -2
+        top = np.argpartition(-s, min(m, shape[1] - 1), axis=2)[:, :, :m]
+        best_ = np.take_along_axis(s, top, axis=2)
+        g, a, t = np.nonzero(best_ > -2)
+        return pd.DataFrame({"a": ids[g, a], "b": ids[g, top[g, a, t]], "s": best_[g, a, t]})
+
+    link = "a long, b long, s float"
+    dealt = nodes.withColumn("g", F.lit(0).cast("long")) if alone else first_groups(nodes, n, settings)
+    begun = grouped(dealt.select("g", "id", "short"), "g", [], compare, link)
     graph = materialise(best(begun.withColumn("new", F.lit(True)), k), "graph")
-    for number in range(settings.rounds if groups > 1 else 0):
+    for number in range(0 if alone else settings.rounds):
         members = graph.select(F.col("a").alias("v"), F.col("b").alias("u"), "new").unionByName(reversed_links(graph, settings.reverse, number))
         least = graph.groupBy("a").agg(F.when(F.count("*") < k, -1.0).otherwise(F.min("s")).cast("float").alias("least"))
-        vectors = nodes.join(least, nodes.id == least.a, "left").select(F.col("id").alias("u"), "short", F.coalesce("least", F.lit(-1.0)).alias("least"))
-        proposed = grouped(members.join(vectors, "u"), "v", join, "a long, b long, s float").withColumn("new", F.lit(True))
+        vectors = nodes.join(least, nodes.id == least.a, "left").select(F.col("id").alias("u"), "short", F.coalesce("least", F.lit(-1.0)).cast("float").alias("least"))
+        proposed = grouped(members.join(vectors, "u"), "v", ["u"], join, link).withColumn("new", F.lit(True))
         graph = materialise(best(graph.withColumn("new", F.lit(False)).unionByName(proposed), k), "graph")
-        if graph.where("new").count() < 0.01 * k * n:
+        if graph.where("new").count() < settings.still * k * n:
             break
     return graph.select("a", "b", "s")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame:
-    """(q, c) of the best nodes that greedy searches find for queries (q, short), in rounds of joins."""
+    """(q, c) of the best nodes that greedy searches find for queries (q, short), in rounds of joins.
+
+    A query is a node itself: its search begins there and at the nearest pivots.
+    """
     slot = F.pmod(F.xxhash64(F.lit(-1), "a", "b"), F.lit(settings.reverse))
     back = graph.groupBy("b", slot.alias("slot")).agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("c"))
     links = graph.select(F.col("a").alias("node"), F.col("b").alias("c")).unionByName(back).distinct()
@@ -155,54 +201,62 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, settings: Set
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(settings.pivots).select("id", "short").toPandas()
     beam, expand = settings.beam, settings.expand
 
-    def chosen(row: dict) -> dict:
-        order = np.lexsort((row["ids"], -row["sims"]))[:beam]
-        ids, sims, done = row["ids"][order], row["sims"][order], row["done"][order]
+    def chosen(q: int, short: bytes, ids: np.ndarray, sims: np.ndarray, done: np.ndarray, seen: np.ndarray) -> dict:
+        order = np.lexsort((ids, -sims))[:beam]
+        ids, sims, done = ids[order], sims[order], done[order]
         ask = np.flatnonzero(~done)[:expand]
         done[ask] = True
         return {
-            "q": row["q"],
-            "short": row["short"],
+            "q": q,
+            "short": short,
             "ids": ids.tobytes(),
             "sims": sims.astype(np.float32).tobytes(),
             "done": done.tobytes(),
-            "seen": row["seen"].tobytes(),
+            "seen": seen.tobytes(),
             "ask": ids[ask].tolist(),
         }
 
     state_schema = "q long, short binary, ids binary, sims binary, done binary, seen binary, ask array<long>"
+    columns = ["q", "short", "ids", "sims", "done", "seen", "ask"]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = sample.id.to_numpy(), directions(sample.short)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                sims = directions(part.short) @ x.T
-                rows = zip(part.q, part.short, sims, strict=True)
-                yield pd.DataFrame([chosen({"q": q, "short": b, "ids": ids, "sims": s, "done": np.zeros(len(ids), bool), "seen": np.sort(ids)}) for q, b, s in rows])
-
-    def step(old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(old):
-            return pd.DataFrame({c: [] for c in ("q", "short", "ids", "sims", "done", "seen", "ask")})
-        row = old.iloc[0]
-        seen = np.frombuffer(row.seen, dtype=np.int64)
-        ids, sims = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.sims, dtype=np.float32)
-        done = np.frombuffer(row.done, dtype=bool)
-        if len(found):
-            fresh = found[~np.isin(found.c.to_numpy(), seen)]
-            if len(fresh):
-                c = fresh.c.to_numpy()
-                s = (directions(fresh.short) @ directions([row.short]).T)[:, 0]
-                ids, sims, done = np.concatenate([ids, c]), np.concatenate([sims, s]), np.concatenate([done, np.zeros(len(c), bool)])
-                seen = np.union1d(seen, c)
-        return pd.DataFrame([chosen({"q": row.q, "short": row.short, "ids": ids, "sims": sims, "done": done, "seen": seen})])
+            out = []
+            for q, short in zip(batch.q, batch.short, strict=True):
+                own, others = np.int64(q), ids != q
+                sims = x[others] @ directions([short])[0]
+                known = np.append(own, ids[others])
+                out.append(chosen(q, short, known, np.append(np.float32(1), sims), np.zeros(len(known), bool), np.sort(known)))
+            yield pd.DataFrame(out, columns=columns)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                seen = np.frombuffer(row.seen, dtype=np.int64)
+                ids, sims = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.sims, dtype=np.float32)
+                done = np.frombuffer(row.done, dtype=bool).copy()
+                if row.cs is not None and len(row.cs):
+                    c = np.asarray(row.cs, dtype=np.int64)
+                    fresh = np.flatnonzero(~np.isin(c, seen))
+                    if len(fresh):
+                        c = c[fresh]
+                        s = directions([row.shorts[i] for i in fresh]) @ directions([row.short])[0]
+                        ids, sims, done = np.append(ids, c), np.append(sims, s), np.append(done, np.zeros(len(c), bool))
+                        seen = np.union1d(seen, c)
+                out.append(chosen(row.q, row.short, ids, sims, done, seen))
+            yield pd.DataFrame(out, columns=columns)
 
     state = materialise(queries.select("q", "short").mapInPandas(begin, state_schema), "searches")
     while state.where(F.size("ask") > 0).head(1):
         requests = state.select("q", F.explode("ask").alias("node")).join(links, "node")
         pairs = requests.select("q", F.explode("cs").alias("c")).distinct()
-        found = pairs.join(nodes.select(F.col("id").alias("c"), "short"), "c").select(F.col("q").alias("asker"), "c", "short")
-        state = materialise(state.groupBy("q").cogroup(found.groupBy("asker")).applyInPandas(step, state_schema), "searches")
+        found = pairs.join(nodes.select(F.col("id").alias("c"), F.col("short").alias("x")), "c")
+        # At most expand * (neighbours + reverse) rows of a query.
+        found = found.groupBy("q").agg(F.collect_list(F.struct("c", "x")).alias("f"))
+        asked = state.join(found, "q", "left").withColumns({"cs": F.col("f.c"), "shorts": F.col("f.x")}).drop("f")
+        state = materialise(asked.mapInPandas(step, state_schema), "searches")
 
     def ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
