@@ -49,6 +49,38 @@ def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, write_people(spark, sf_dir)).select(*PEOPLE_COLUMNS)
 
 
+@register(
+    "source_csv_multiline",
+    """
+SELECT cast(doc_id AS varchar) AS doc_id, nullif('"' || text || chr(10) || '; , ' || lang, '') AS text, nullif(lang, '') AS lang FROM documents
+""",
+)
+def source_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with quotes, separators and a line break in each, written as CSV and read back cell by cell."""
+    path = scratch_path(spark, "letters")
+    text = "'\"' || text || '\\n; , ' || lang AS text"
+    write_table(table(spark, sf_dir, "documents", ["doc_id", text, "lang"]), path, {"separator": ","})
+    return read_csv(spark, f"{path}/*.csv", keep_missing_texts=True)
+
+
+WIDE_COLUMNS = [f"{i:02d}_" + "a measurement of the part in its long form " * 60 + "end" for i in range(30)]
+
+
+@register(
+    "source_csv_wide",
+    "SELECT cast(p_partkey AS varchar) AS p_partkey, nullif(p_name, '') AS p_name, nullif(p_brand, '') AS p_brand, 30 AS filled FROM part",
+)
+def source_csv_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose headers agree for more than 64 KiB and then list the same columns in another order."""
+    root = scratch_path(spark, "wide")
+    df = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
+    filler = [F.lit("1").alias(c) for c in WIDE_COLUMNS]
+    for rest, order in ((0, ["p_partkey", "p_name", "p_brand"]), (1, ["p_brand", "p_partkey", "p_name"])):
+        write_table(df.where(F.col("p_partkey") % 2 == rest).select(*filler, *order), f"{root}/{rest}", {"separator": ","})
+    filled = F.length(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in WIDE_COLUMNS]))
+    return read_csv(spark, f"{root}/*/*.csv").select("p_partkey", "p_name", "p_brand", filled.alias("filled"))
+
+
 @register(
     "file_facts",
     """

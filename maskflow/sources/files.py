@@ -1,7 +1,7 @@
 """CSV, text and delimited documents; separator and encoding are found per file.
 
-Only the first bytes of a file are read to find them. Cells are decoded one by one, so a byte that does not
-fit the encoding of its file never loses a whole file.
+One pass over the lines tells the encoding of each file and whether quotes hold line breaks; header and separator come
+from its beginning. Cells are decoded one by one, so a byte that does not fit the encoding never loses a whole file.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-PREFIX_BYTES = 64 * 1024
+CHUNK_BYTES = 64 * 1024
+HEADER_BYTES = 64 * 1024 * 1024
+SURPLUS = "_surplus_cells"
 BOM = "﻿"
 
 
@@ -49,63 +51,87 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(plain, f"^{BOM}", "")
 
 
-def _prefix_reader(size: int) -> Callable:
-    """A function that tasks can run without having this package installed."""
+def _head_reader(chunk: int, most: int) -> Callable:
+    """A function that tasks can run without having this package installed.
+
+    It adds the header, which ends at the first line end outside quotes, and a sample of at least that.
+    """
 
     def read(batches):
+        import re
+
         from pyarrow import fs
 
+        # A cell in quotes, a character outside them, or the line end looked for.
+        header = re.compile(rb'(?:"[^"]*"|[^"\r\n])*')
+
         for batch in batches:
-            heads = []
+            headers, heads = [], []
             for uri in batch["path"]:
                 store, path = fs.FileSystem.from_uri(uri)
+                head, more = b"", True
                 with store.open_input_stream(path) as stream:
-                    heads.append(stream.read(size))
-            yield batch.assign(prefix=heads)
+                    while more:
+                        part = stream.read(max(chunk, len(head)))  # twice as much each time
+                        head, more = head + part, len(part) > 0
+                        end = header.match(head).end()
+                        if more and (end < len(head) and head[end : end + 1] != b'"'):
+                            break
+                        if len(head) > most:
+                            raise ValueError(f"no end of the header within {most} bytes: {uri}")
+                if head[end : end + 1] == b'"':  # never closed: the first line
+                    end = re.match(rb"[^\r\n]*", head).end()
+                headers.append(head[:end])
+                heads.append(head[: max(end, chunk)])
+            yield batch.assign(first=headers, prefix=heads)
 
     return read
 
 
+def line_facts(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """One row per file with lines: valid (all of it is UTF-8) and breaks (a line has an odd number of quotes)."""
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    # No character of UTF-8 contains a line end, so the lines may be looked at one by one, wherever files are split.
+    return lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("breaks")
+    )
+
+
 def file_facts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """One row per file: path, name, extension, size, encoding, separator, header line.
+    """One row per file: path, name, extension, size, encoding, separator, header line, and whether lines go on in quotes.
 
-    Files are listed without their content; tasks read 64 KiB of each.
+    The encoding is that of the whole file; the header ends at the first line end outside quotes, however long it is.
     """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
-        .select("path", "length", "modificationTime")
+        .select("path", "length", "modificationTime", F.col("_metadata.file_path").alias("file"))
     )
-    schema = T.StructType([*listed.schema.fields, T.StructField("prefix", T.BinaryType())])
-    read = listed.mapInPandas(_prefix_reader(PREFIX_BYTES), schema)
-    # A prefix may end inside a character of up to four bytes.
-    cut = F.length("prefix") == PREFIX_BYTES
-    valid = F.is_valid_utf8(F.col("prefix").cast("string"))
-    for missing in (1, 2, 3):
-        shorter = F.substring(F.col("prefix"), 1, PREFIX_BYTES - missing)
-        valid = valid | (cut & F.is_valid_utf8(shorter.cast("string")))
-    encoding = F.when(valid, F.lit("utf-8")).otherwise(F.lit("latin-1"))
-    sample = F.when(
-        valid, F.regexp_replace(F.make_valid_utf8(F.col("prefix").cast("string")), f"^{BOM}", "")
-    ).otherwise(F.decode(F.col("prefix"), "ISO-8859-1"))
+    schema = T.StructType([*listed.schema.fields, T.StructField("first", T.BinaryType()), T.StructField("prefix", T.BinaryType())])
+    read = listed.mapInPandas(_head_reader(CHUNK_BYTES, HEADER_BYTES), schema)
+    read = read.join(line_facts(spark, path, recursive), "file", "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
+
+    def shown(content: Column) -> Column:
+        # A sample may end inside a character.
+        text = F.when(F.col("valid"), F.make_valid_utf8(content.cast("string"))).otherwise(F.decode(content, "ISO-8859-1"))
+        return F.regexp_replace(text, f"^{BOM}", "")
+
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     extension = F.lower(F.when(name.contains("."), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit("")))
     separator = separator_of(F.col("sample"))
-    return (
-        read.withColumn("encoding", encoding)
-        .withColumn("sample", sample)
-        .select(
-            "path",
-            name.alias("name"),
-            extension.alias("extension"),
-            F.col("length").alias("size"),
-            "modificationTime",
-            "encoding",
-            separator.alias("separator"),
-            F.when(separator == "\t", F.lit("tab")).otherwise(separator).alias("separator_name"),
-            F.regexp_extract("sample", r"^([^\r\n]*)", 1).alias("header"),
-        )
+    return read.withColumns({"sample": shown(F.col("prefix")), "header": shown(F.col("first"))}).select(
+        "path",
+        name.alias("name"),
+        extension.alias("extension"),
+        F.col("length").alias("size"),
+        "modificationTime",
+        F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"),
+        separator.alias("separator"),
+        F.when(separator == "\t", F.lit("tab")).otherwise(separator).alias("separator_name"),
+        "header",
+        F.coalesce("breaks", F.lit(False)).alias("breaks"),
     )
 
 
@@ -120,14 +146,46 @@ def missing_to_null(value: Column) -> Column:
     return F.when(~value.isin(MISSING_TEXTS), value)
 
 
-def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False) -> DataFrame:
+def _raw_cells(spark: SparkSession, source: str | list[str], separator: str, multi_line: bool) -> DataFrame:
+    """Cells read as latin-1, and the whole record in `_surplus_cells` where it has more cells than the header."""
+    reader = (
+        spark.read.option("header", True)
+        .option("sep", separator)
+        .option("encoding", "ISO-8859-1")
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", SURPLUS)
+        .option("columnPruning", False)  # the cells of a record are counted only if all are parsed
+    )
+    cells = reader.csv(source).schema
+    raw = reader.schema(T.StructType([*cells.fields, T.StructField(SURPLUS, T.StringType())])).csv(source)
+    # Spark marks short records too; separators outside quotes tell which ones are long.
+    bare = F.regexp_replace(SURPLUS, '"[^"]*"', "")
+    more = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) >= len(cells)
+    return raw.withColumn(SURPLUS, F.when(more, F.col(SURPLUS)))
+
+
+def _no_surplus(raw: DataFrame) -> DataFrame:
+    """`raw` without that column; a record with more cells than the header is an error."""
+    # The first cell is named so that Spark reads more than the marked record, also for a count.
+    said = F.concat(F.lit("more cells than the header: "), F.col(SURPLUS), F.lit(" / "), F.coalesce(named(raw.columns[0]), F.lit("")))
+    checked = F.when(F.col(SURPLUS).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return raw.where(checked).drop(SURPLUS)
+
+
+def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False, multi_line: bool | None = None, surplus: str | None = None) -> DataFrame:
     """A CSV file, folder or glob as text columns; files may differ in separator, encoding and column order.
 
     Every column stays text, so leading zeros of postcodes and phone numbers survive; `detect_types` types it.
+    `multi_line` says whether cells in quotes may hold line breaks; by default files with an odd number of quotes in
+    a line are read so (whole, not split), the others in splits. A record with more cells than its header is an error,
+    unless `surplus` names a text column for such records, which is null for all others; missing cells are null.
     """
     facts = file_facts(spark, path)
-    layout = ["header", "separator", "encoding"]
-    layouts = facts.groupBy("extension", *layout).agg(F.min("path").alias("path")).orderBy(*layout).collect()
+    facts = facts.withColumn("breaks", F.lit(multi_line) if multi_line is not None else F.col("breaks")).withColumn("layout", F.sha2("header", 256))
+    layout = ["layout", "separator", "breaks"]
+    layouts = facts.groupBy("extension", *layout).agg(F.min("path").alias("path")).orderBy("path").collect()
     if not layouts:
         raise FileNotFoundError(path)
     for found in layouts:
@@ -141,21 +199,19 @@ def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False) -
     tables = []
     for found in layouts:
         source = path if len(layouts) == 1 else sorted(members[tuple(found[c] for c in layout)])
-        raw = (
-            spark.read.option("header", True)
-            .option("sep", found["separator"])
-            .option("encoding", "ISO-8859-1")
-            .option("multiLine", False)
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(source)
-        )
+        raw = _raw_cells(spark, source, found["separator"], found["breaks"])
+        raw = raw if surplus else _no_surplus(raw)
+        # Cells and names are UTF-8 where their bytes are that, else latin-1, whatever the rest of the file is.
         columns = []
-        for f in raw.schema.fields:
-            header = f.name.encode("iso-8859-1", "replace")
-            shown = header.decode("utf-8", "replace") if found["encoding"] == "utf-8" else f.name
-            c = named(f.name)
-            c = repair_cell(c) if found["encoding"] == "utf-8" else c
+        for name in raw.columns:
+            c = repair_cell(named(name))
+            if name == SURPLUS:
+                columns.append(c.alias(surplus))
+                continue
+            try:
+                shown = name.encode("iso-8859-1").decode("utf-8")
+            except UnicodeError:
+                shown = name
             columns.append((c if keep_missing_texts else missing_to_null(c)).alias(shown.lstrip(BOM)))
         tables.append(raw.select(*columns))
     table = tables[0]
@@ -171,13 +227,11 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited_documents(spark: SparkSession, path: str, tab: bool = False) -> DataFrame:
-    """One row per table row: `text` holds its cells, joined by a blank; commas separate, or tabs."""
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", "\t" if tab else ",")
-        .option("encoding", "ISO-8859-1")
-        .option("escape", '"')
-        .csv(path)
-    )
+    """One row per table row: `text` holds its cells, joined by a blank; commas separate, or tabs.
+
+    Line breaks in quotes stay; a row with more cells than the header is an error.
+    """
+    breaks = line_facts(spark, path).agg(F.bool_or("breaks")).first()[0]
+    raw = _no_surplus(_raw_cells(spark, path, "\t" if tab else ",", bool(breaks)))
     cells = [F.coalesce(repair_cell(named(c)), F.lit("NaN")) for c in raw.columns]
     return raw.select(F.concat_ws(" ", *cells).alias("text"))

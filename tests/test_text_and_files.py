@@ -160,3 +160,35 @@ def test_no_name_slips_through(spark):
     ]
     rows = redact_table(spark.createDataFrame(cases, "t string, want string"), ["t"]).collect()
     assert [r.t for r in rows] == [want for _, want in cases]
+
+
+def test_csv_keeps_line_breaks_and_long_headers(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.csv").write_text('id,text\n1,"line one\nline ""two"", ü"\n2,plain\n', encoding="utf-8")
+    got = {(r["id"], r["text"]) for r in read_csv(spark, f"{tmp_path}/a").collect()}
+    assert got == {("1", 'line one\nline "two", ü'), ("2", "plain")}
+    (tmp_path / "a/y.tab").write_text('id\ttext\n1\t"one\ntwo"\n', encoding="utf-8")
+    assert [r["text"] for r in read_delimited_documents(spark, f"{tmp_path}/a/y.tab", tab=True).collect()] == ["1 one\ntwo"]
+    # Headers that differ only beyond 64 KiB are two layouts.
+    (tmp_path / "b").mkdir()
+    wide = [f"{i:02d}" + "x" * 2500 for i in range(30)]
+    cells = ["v"] * len(wide)
+    for name, last in (("x", ["first", "last"]), ("y", ["last", "first"])):
+        (tmp_path / f"b/{name}.csv").write_text("\n".join(",".join(r) for r in ([*wide, *last], [*cells, *last])) + "\n")
+    got = read_csv(spark, f"{tmp_path}/b").select("first", "last").collect()
+    assert [tuple(r) for r in got] == [("first", "last")] * 2
+
+
+def test_csv_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b"a,b\n" + b"x,y\n" * 30_000 + "Zoë,z\n".encode("latin-1"))
+    assert [r["encoding"] for r in file_facts(spark, str(tmp_path)).collect()] == ["latin-1"]
+    assert read_csv(spark, str(tmp_path)).where("b = 'z'").first()["a"] == "Zoë"
+
+
+def test_csv_surplus_cells_are_not_dropped(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,x\n2\n3,y,extra\n4,"p,q"\n5,,,z\n')
+    for action in (lambda t: t.count(), lambda t: t.select("a").collect()):
+        with pytest.raises(Exception, match="more cells than the header"):
+            action(read_csv(spark, str(tmp_path)))
+    got = {(r["a"], r["b"], r["rest"]) for r in read_csv(spark, str(tmp_path), surplus="rest").collect()}
+    assert got == {("1", "x", None), ("2", None, None), ("3", "y", "3,y,extra"), ("4", "p,q", None), ("5", None, "5,,,z")}
