@@ -25,6 +25,8 @@ SEGMENT = 0x5555555555555555
 GROUPS = 6
 BLOCK = 1024  # rows that are compared at once
 LARGE = 4096  # buckets above this size are cut further before rows are compared
+SAMPLE = 512  # about so many rows of a larger cell, of which its representatives are chosen
+CHOSEN = 16  # representatives of a larger cell at most
 SMALL = 8  # buckets up to this size are compared all at once, by their distance in the sorted rows
 
 
@@ -122,13 +124,22 @@ def _compare(bits: np.ndarray, rows: np.ndarray, radius: int, parent: np.ndarray
     return parent
 
 
-def cluster(bits: np.ndarray, radius: int) -> np.ndarray:
+def cluster(bits: np.ndarray, radius: int, split: int = 0) -> np.ndarray:
     """For each row the first row that it is linked with, over any number of links; without listing the links.
 
+    With `split`, only the rows before it are compared with those from it on.
+
     A large bucket of single-word rows is cut by the four 16-bit quarters first: with at most 3 differing bits one
     quarter is equal, so that nothing is lost.
     """
     parent = np.arange(len(bits))
+    if split:
+        for at in range(0, split, BLOCK):
+            for to in range(split, len(bits), BLOCK):
+                left, right = np.arange(at, min(at + BLOCK, split)), np.arange(to, min(to + BLOCK, len(bits)))
+                i, j = _within(bits[left], bits[right], radius)
+                parent = _hang(parent, left[i], right[j])
+        return parent
     if len(bits) > LARGE and bits.shape[1] == 1 and radius <= 3:
         for quarter in range(4):
             value = (bits[:, 0] >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
@@ -140,8 +151,17 @@ def cluster(bits: np.ndarray, radius: int) -> np.ndarray:
     return _compare(bits, parent.copy(), radius, parent)
 
 
-def links(cells: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that hold the fingerprints of each cell together: `cells` has cell and bits (whole words, binary).
+def _words(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), dtype=">u8").astype(np.uint64).reshape(len(bits), -1)
+
+
+def _distances(words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits of each row to one other row."""
+    return np.bitwise_count(words ^ other).sum(1, dtype=np.int64)
+
+
+def _within_cells(cells: DataFrame, radius: int) -> DataFrame:
+    """Links of cells of at most LARGE fingerprints.
 
     Rows are sorted by cell within the shuffled partitions and read as a stream, so that a task holds one cell at a
     time. A cell of n fingerprints gives n - 1 links at most, never all pairs (at most SMALL: the links there are).
@@ -149,7 +169,7 @@ def links(cells: DataFrame, radius: int) -> DataFrame:
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(cell: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
-            words = np.frombuffer(b"".join(bits), dtype=">u8").astype(np.uint64).reshape(len(bits), -1)
+            words = _words(bits)
             starts = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
             sizes = np.diff(np.append(starts, len(cell)))
             rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
@@ -186,6 +206,113 @@ def links(cells: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInPandas(linked, "a binary, b binary")
 
 
+def representatives(bits: list[bytes], radius: int) -> list[bytes]:
+    """At most CHOSEN rows of a sample of a cell: each time the one with most rows within the radius that no other has."""
+    words = _words(bits)
+    near = np.array([_distances(words, w) <= radius for w in words])
+    open_, chosen = np.ones(len(bits), dtype=bool), []
+    while len(chosen) < CHOSEN:
+        gain = (near & open_).sum(1)
+        best = int(np.argmax(gain))
+        if gain[best] < 2:  # it would hold itself only
+            break
+        chosen.append(bits[best])
+        open_ &= ~near[best]
+    return chosen
+
+
+def _between_blocks(cells: DataFrame, radius: int) -> DataFrame:
+    """Links of cells of any size: `cells` has cell, bits and n, the fingerprints of the cell.
+
+    Rows within the radius of a representative hang on it, and representatives that share a row are one group: rows of
+    a group need no comparison. The rest is compared by pairs of blocks of about LARGE rows, each pair a group of its
+    own: rows on no representative with each other and, if within twice the radius of a representative (else no row on
+    one can be near), with all groups; groups with each other. Dense cells shrink to little; a cell whose rows are all
+    far apart takes the square of its blocks, dealt over all tasks.
+    """
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": rows.cell[:1], "chosen": [representatives(sorted(rows.bits), radius)]})
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            words, held, close, first = _words(rows.bits) if len(rows) else None, np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=bool), np.full(len(rows), None, dtype=object)
+            for at in rows.groupby("cell").indices.values():
+                for number, bits in enumerate(() if rows.chosen.iat[at[0]] is None else rows.chosen.iat[at[0]]):
+                    apart = _distances(words[at], _words([bits])[0])
+                    new = at[(apart <= radius) & (held[at] == 0)]
+                    first[new] = np.array([bits], dtype=object)
+                    held[at[apart <= radius]] |= 1 << number
+                    close[at] |= apart <= 2 * radius
+            yield pd.DataFrame({"cell": rows.cell, "bits": rows.bits, "held": held, "close": close, "first": first})
+
+    def merge(masks: pd.DataFrame) -> pd.DataFrame:
+        """The group of each set of representatives that some row is near to: the first one of all linked with it."""
+        parent = np.arange(CHOSEN)
+        sets = [[k for k in range(CHOSEN) if held >> k & 1] for held in masks.held]
+        for s in sets:
+            parent = _hang(parent, np.full(len(s), s[0]), np.array(s))
+        others = [[masks.chosen.iat[0][k] for k in s] for s in sets]
+        return pd.DataFrame({"cell": masks.cell, "held": masks.held, "part": [int(parent[s[0]]) for s in sets], "others": others})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["right", "bits"], kind="stable")
+        bits = rows.bits.to_numpy()
+        split = int((~rows.right).sum())
+        first = cluster(_words(bits), radius, 0 if split == len(bits) else split)
+        hung = np.flatnonzero(first != np.arange(len(first)))
+        return pd.DataFrame({"a": bits[hung], "b": bits[first[hung]]})
+
+    drawn = cells.where(F.pmod(F.xxhash64(F.lit("sample"), "bits"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE))) == 0)
+    chosen = materialise(drawn.select("cell", "bits").groupBy("cell").applyInPandas(choose, "cell long, chosen array<binary>"), "representatives")
+    asked = cells.select("cell", "bits").join(F.broadcast(chosen), "cell", "left")
+    marked = materialise(asked.mapInPandas(mark, "cell long, bits binary, held long, close boolean, first binary"), "marked")
+
+    sets = marked.where("held <> 0").select("cell", "held").distinct().join(F.broadcast(chosen), "cell")
+    sets = materialise(sets.groupBy("cell").applyInPandas(merge, "cell long, held long, part int, others array<binary>"), "groups")
+    apart = F.when(F.col("close"), -1).otherwise(-2)
+    parts = marked.join(F.broadcast(sets.drop("others")), ["cell", "held"], "left").withColumn("part", F.coalesce("part", apart))
+    sizes = parts.groupBy("cell", "part").agg(F.ceil(F.count("*") / LARGE).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "blocks")
+    block = F.pmod(F.xxhash64(F.lit("block"), "bits"), F.col("blocks")).cast("int").alias("block")
+    rows = parts.join(F.broadcast(sizes), ["cell", "part"]).select("cell", "part", block, "bits")
+
+    blocks = sizes.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one, two = blocks.select("cell", F.struct("part", "block").alias("x")), blocks.select("cell", F.struct("part", "block").alias("y"))
+    of_one_group = (F.col("x.part") >= 0) & (F.col("x.part") == F.col("y.part"))
+    too_far = (F.col("x.part") == -2) & (F.col("y.part") >= 0)
+    pairs = one.join(two, "cell").where((F.col("x") <= F.col("y")) & ~of_one_group & ~too_far)
+    pairs = materialise(pairs, "block-pairs")
+    sides = pairs.select("cell", "x", "y", F.col("x.part").alias("part"), F.col("x.block").alias("block"), F.lit(False).alias("right")).unionByName(
+        pairs.where("x <> y").select("cell", "x", "y", F.col("y.part").alias("part"), F.col("y.block").alias("block"), F.lit(True).alias("right"))
+    )
+    met = rows.join(sides, ["cell", "part", "block"]).select("cell", "x", "y", "right", "bits")
+    compared = met.groupBy("cell", "x", "y").applyInPandas(compare, "a binary, b binary")
+    hung = marked.where("held <> 0 and bits <> first").select(F.col("bits").alias("a"), F.col("first").alias("b"))
+    joined = sets.select(F.explode("others").alias("a"), F.col("others")[0].alias("b")).where("a <> b")
+    return compared.unionByName(hung).unionByName(joined)
+
+
+def links(cells: DataFrame, radius: int, cut: bool = False) -> DataFrame:
+    """Links (a, b) that hold the fingerprints of each cell together: `cells` has cell and bits (whole words, binary).
+
+    Cells are counted first. Those above LARGE never meet in one task: at a radius of 3 or less they are cut by the
+    four quarters of the fingerprint (one is equal, so that nothing is lost), and what stays large is compared by
+    pairs of blocks.
+    """
+    large = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
+    large = materialise(large, "large-cells")
+    if large.isEmpty():
+        return _within_cells(cells, radius)
+    rest = _within_cells(cells.join(F.broadcast(large.select("cell")), "cell", "left_anti"), radius)
+    above = cells.select("cell", "bits").join(F.broadcast(large), "cell")
+    if radius > 3 or cut:
+        return rest.unionByName(_between_blocks(above, radius))
+    size = F.length("bits") / 4
+    quarters = [F.xxhash64("cell", F.lit(k), F.substring("bits", (k * size + 1).cast("int"), size.cast("int"))) for k in range(4)]
+    return rest.unionByName(links(above.select(F.explode(F.array(*quarters)).alias("cell"), "bits"), radius, True))
+
+
 def placed(values: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
     """`values` (distinct bits and more columns) with `root`, the same for all that are linked over any number of links."""
     roots = components(links(cells, radius)).withColumnRenamed("node", "bits")

@@ -220,6 +220,41 @@ def test_large_cells_are_cut_without_loss():
     assert all((first[k::1500] == first[k]).all() for k in range(1500))
 
 
+@pytest.mark.parametrize(("words", "radius"), [(16, 155), (1, 3)])
+def test_hot_cells_never_meet_in_one_task(spark, monkeypatch, words, radius):
+    draw = np.random.default_rng(8)
+
+    def copies(start, n, bits):  # n rows, each some bits away from an earlier one
+        rows = [start]
+        for _ in range(n - 1):
+            row = rows[draw.integers(0, len(rows))].copy()
+            for k in draw.integers(0, 64 * words, bits):
+                row[k // 64] ^= np.uint64(1 << int(k % 64))
+            rows.append(row)
+        return rows
+
+    start = draw.integers(0, 1 << 63, words).astype(np.uint64)
+    rows = copies(start, 900, 60 if words > 1 else 1) + copies(~start, 300, 110 if words > 1 else 3) + list(draw.integers(0, 1 << 63, (300, words)).astype(np.uint64))
+    rows = np.unique(np.array(rows), axis=0)
+    known = simhash.cluster(rows, radius)
+    real = simhash.cluster
+
+    def bounded(bits, radius, *more, real=real):
+        assert len(bits) <= 500, "a whole cell in one task"
+        return real(bits, radius, *more)
+
+    monkeypatch.setattr(simhash, "LARGE", 150)
+    monkeypatch.setattr(simhash, "cluster", bounded)
+    bits = [bytearray(r.astype(">u8").tobytes()) for r in rows]
+    cells = spark.createDataFrame([(1, b) for b in bits] + [(2, b) for b in bits[:40]], "cell long, bits binary").repartition(5)
+    roots = {bytes(r.node): bytes(r.root) for r in components(simhash.links(cells, radius)).collect()}
+    first = {}
+    for k, b in enumerate(bits):
+        b = bytes(b)
+        assert roots.get(b, b) == first.setdefault(known[k], roots.get(b, b))
+    assert len(set(first.values())) == len(first)
+
+
 def test_quality(spark, sf_dir, docs, odd):
     rows = found(spark, sf_dir, 7)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
