@@ -11,16 +11,17 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # runs are taken whole, so that shorter ones need not be listed
 )
-# Weak candidates: the role of the part, and a pattern that looks at each run of characters once.
+# Weak candidates: the role of the part, and a pattern that looks at each run of characters once and takes it whole:
+# possessive, so that a run of any length is read in linear time and leaves no tail.
 # A text without the literal of a kind cannot match it; finding that out is much cheaper than the pattern.
 LITERAL = {"access": "AKIA", "user": "@", "endpoint": "://"}
 WEAK = (
-    ("user", "id", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"),
-    ("login", "id", r"""(?i)\b(?:user|username|user_?id|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""),
-    ("pass", "secret", r"""(?i)\b(?:pass|pwd|pw|passphrase|auth|bearer|credential)["']?\x20*[:=]\x20*["']?[^\s"']{4,128}"""),
-    ("opaque", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}+[0-9])(?=[0-9+/_=-]{0,64}+[A-Za-z])[A-Za-z0-9+/_=-]{20,256}+"),
-    ("endpoint", "endpoint", r"""(?i)\b(?:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,256}"""),
-    ("host", "endpoint", r"""(?i)\b(?:host|hostname|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,253}"""),
+    ("user", "id", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("login", "id", r"""(?i)\b(?:user|username|user_?id|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+"""),
+    ("pass", "secret", r"""(?i)\b(?:pass|pwd|pw|passphrase|auth|bearer|credential)["']?\x20*[:=]\x20*["']?[^\s"']{4,}+"""),
+    ("opaque", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"),
+    ("endpoint", "endpoint", r"""(?i)\b(?:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}+"""),
+    ("host", "endpoint", r"""(?i)\b(?:host|hostname|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}+"""),
 )
 KINDS = [b[0] for b in BASE] + [w[0] for w in WEAK]
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {w[0]: w[1] for w in WEAK}

@@ -89,6 +89,13 @@ def test_weak_candidates_need_a_partner_in_their_scope(spark):
     assert shown == "a [SECRET] b [SECRET]"
 
 
+def test_weak_candidates_are_taken_whole(spark):
+    late = "x" * 100 + "7" * 20  # the first digit stands after position 64
+    texts = [f"login: anna\n{'aB3' * 100}\nend", f"login: anna\n{late}\nend", f"login: anna\npass: {'p!' * 100}\nend", "pass: hunter2\nhttps://h/" + "s%" * 300 + "\nend", "login: " + "n" * 90 + "\npass: hunter2\nend", "login: anna\n" + "z1" * 200_000 + "\nend"]
+    rows = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.text for r in rows.collect()} == {"[SECRET]\n[SECRET]\nend"}
+
+
 def test_mixing(spark, sf_dir, odd):
     rows = found(spark, sf_dir, 3)
     tokens, sent = Counter(), Counter()
