@@ -21,7 +21,7 @@ def op1_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), window=None)
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

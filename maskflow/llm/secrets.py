@@ -26,7 +26,7 @@ WEAK = (
 KINDS = [b[0] for b in BASE] + [w[0] for w in WEAK]
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {w[0]: w[1] for w in WEAK}
 BREAK = r"\n[ \t\r]*\n"  # an empty line ends a scope
-WINDOW = 200  # code points between the parts of one credential
+WINDOW = 200  # code points between the parts of one credential, where a caller wants less than the whole scope
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -78,12 +78,13 @@ def _of(spans: str, kinds: list[str]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(_code(kinds)))
 
 
-def linked_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def linked_spans(docs: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
     """Weak spans per `key` of `docs` (columns key, base and the text) that have their complement in the same scope.
 
     Scopes end at empty lines. An identifier or endpoint counts beside a secret, a secret beside an identifier or
-    endpoint, at most `window` code points away. Parts are joined on the key, the scope and bins of `window` code
-    points. Spans of one kind do not overlap, so that a part meets a bounded number of others in a bin.
+    endpoint anywhere in the scope: two flags of the scope decide, without pairs. With a `window`, only parts at most
+    so many code points away count, joined on the key, the scope and bins of `window` code points. Spans of one kind do
+    not overlap, so that a part meets a bounded number of others in a bin.
     """
     column = F.col(text)
     body = F.arrays_zip(
@@ -105,6 +106,15 @@ def linked_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
         lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["kind"].alias("kind"), (s["end"] + F.col("at")).alias("end")),
     )
     free = F.filter(weak, lambda s: ~F.exists("own", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    if window is None:
+        secrets = _code([k for k in KINDS if ROLES[k] == "secret"])
+        blocks = blocks.select("key", "own", free.alias("free")).withColumn("parts", F.concat("own", "free"))
+        blocks = blocks.withColumns({
+            "secret": F.exists("parts", lambda s: s["kind"].isin(secrets)), "other": F.exists("parts", lambda s: ~s["kind"].isin(secrets))
+        })
+        held = F.filter("free", lambda s: F.when(s["kind"].isin(secrets), F.col("other")).otherwise(F.col("secret")))
+        spans = blocks.where("secret and other").select("key", F.explode(held).alias("span"))
+        return spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("linked"))
     parts = blocks.select("key", "scope", F.explode(F.concat("own", free)).alias("s")).select("key", "scope", "s.*")
     secret = F.col("kind").isin(_code([k for k in KINDS if ROLES[k] == "secret"]))
     parts = parts.withColumn("secret", secret)
@@ -121,7 +131,7 @@ def linked_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
     return pairs.select("key", span.alias("span")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("linked"))
 
 
-def scan(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
     """`docs` with `base` and `spans` (base and linked weak spans), arrays of (start, kind, end), ends exclusive.
 
     Rows need no id: documents that can hold a pair are known by a digest of their text, so that repeated rows, null
@@ -147,9 +157,9 @@ def shown(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of the plain kinds, base_sha256 and spans of every row."""
-    found = scan(docs.select("doc_id", "text"))
+def digest(docs: DataFrame, window: int | None = WINDOW) -> DataFrame:
+    """doc_id, the counts of the plain kinds, base_sha256 and spans of every row; `window` as in `linked_spans`."""
+    found = scan(docs.select("doc_id", "text"), window=window)
     counts = [F.size(_of("base", [b[0]])).cast("long").alias(f"n_{b[0]}") for b in BASE]
     return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
