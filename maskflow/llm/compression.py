@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ class Settings:
     dict_bytes: int = 262_144  # each dictionary
     chunk: int = 1024  # bytes that are compressed at once, so that a long text does not become its own dictionary
     level: int = 5
+    segment: int = 64  # bytes of the segments that a dictionary is put together from
 
 
 @dataclass(frozen=True)
@@ -107,6 +109,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> t
     return joined.toPandas(), totals
 
 
+def dictionary(texts: list[bytes], size: int, settings: Settings) -> bytes:
+    """At most `size` bytes for texts: all of them, or the segments of them that hold most of what recurs, the best last.
+
+    Every run of 8 bytes anywhere in the texts counts as often as it occurs; a segment is worth the counts of the runs
+    that no chosen segment has. The best segment is taken each time; without recurrence they come from all over.
+    """
+    whole = b"\n".join(texts)
+    length, step = len(whole), settings.segment
+    if length <= size + len(texts):
+        return whole[:size]
+    padded = np.frombuffer(whole + bytes(8), dtype=np.uint8)
+    runs = np.zeros(length, dtype=np.uint64)
+    for k in range(8):
+        runs |= padded[k : k + length].astype(np.uint64) << np.uint64(8 * k)
+    _, known, counts = np.unique(runs, return_inverse=True, return_counts=True)
+    worth = counts - 1
+
+    def value(number: int) -> int:
+        return int(worth[np.unique(known[number * step : (number + 1) * step])].sum())
+
+    numbers = np.random.default_rng(0).permutation(-(-length // step)).tolist()
+    queue = [(-value(n), place, n) for place, n in enumerate(numbers)]
+    heapq.heapify(queue)
+    chosen, held = [], 0
+    while queue and held < size:
+        old, place, n = heapq.heappop(queue)
+        now = -value(n)
+        if now > old:  # others have taken runs of it since; worth only falls
+            heapq.heappush(queue, (now, place, n))
+            continue
+        worth[known[n * step : (n + 1) * step]] = 0
+        chosen.append(whole[n * step : (n + 1) * step])
+        held += len(chosen[-1])
+    return b"".join(reversed(chosen))[-size:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Dictionaries from half of the labelled sample, the logistic curve from the other half.
 
@@ -121,15 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not {0, 1} <= set(known.quality) or not {0, 1} <= set(sample[sample.half == 1].quality):
         return Model(b"", b"", (prior, 0.0, 0.0), settings)
 
-    def content(label: int) -> bytes:
-        # An equal share of every text, so that a few long ones do not fill the dictionary.
-        texts = [t.encode("utf-8", "surrogatepass") for t in known[known.quality == label].text if t]
-        share_each = max(64, settings.dict_bytes // max(1, len(texts)))
-        return b"\n".join(t[:share_each] for t in texts)[: settings.dict_bytes]
-
-    good, bad = content(1), content(0)
-    size = min(len(good), len(bad))  # a larger dictionary would win by its size
-    good, bad = good[:size], bad[:size]
+    texts = {q: [t.encode("utf-8", "surrogatepass") for t in known[known.quality == q].text if t] for q in (0, 1)}
+    size = min(settings.dict_bytes, *(sum(map(len, t)) for t in texts.values()))  # a larger dictionary would win by its size
+    good, bad = dictionary(texts[1], size, settings), dictionary(texts[0], size, settings)
+    size = min(len(good), len(bad))
+    good, bad = good[len(good) - size :], bad[len(bad) - size :]
     scorer = Scorer(good, bad, settings)
     rest = sample[sample.half == 1]
     x = scorer.table(rest.text)

@@ -283,6 +283,24 @@ def test_quality(spark, sf_dir, docs, odd):
     assert {round(r.score, 6) for r in compression.classify(odd, none).collect()} == {0.5}
 
 
+def test_dictionaries_see_whole_texts(spark):
+    draw = np.random.default_rng(4)
+
+    def text(tail):
+        return " ".join(f"w{k}" for k in draw.integers(0, 5000, 120)) + tail + " ".join(f"w{k}" for k in draw.integers(0, 5000, 120))
+
+    tails = [" win the casino jackpot now and click here to claim it ", " the committee published its annual report on tuesday "]
+    rows = [(k, text(tails[k % 2]), k % 2) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    settings = compression.Settings(dict_bytes=16_384)
+    model = compression.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), settings)
+    assert b"jackpot" in model.bad and b"committee" in model.good and b"jackpot" not in model.good
+    assert len(model.good) == len(model.bad) <= settings.dict_bytes
+    assert compression.dictionary([b"ab" * 9], 100, settings) == b"ab" * 9
+    few = compression.dictionary([b"x" * 3000 + b"y" * 3000], 512, settings)
+    assert len(few) == 512 and b"x" * 60 in few and b"y" * 60 in few
+
+
 def test_multiset_hash(spark, sf_dir, docs):
     ids = sorted(docs, reverse=True)
     by_text = {}
