@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, html, lm, mixing, multiset, neighbours, packing, secrets, simhash, urls
+from maskflow.llm import compression, html, lm, mixing, multiset, neighbours, oracles, packing, secrets, simhash, trie, urls
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def llm_queries() -> dict[str, Query]:
     found = [
         op1_path_template_tree,
@@ -70,9 +74,10 @@ def llm_queries() -> dict[str, Query]:
         op8_multiset_hash,
         op9_mixture_packing,
         op10_log_bilinear,
+        op11_conversation_trie,
     ]
     return {query.__name__: query for query in found}
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op11_conversation_trie": oracles.OP11}
