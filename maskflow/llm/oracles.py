@@ -39,3 +39,41 @@ WITH own AS (
 SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
 FROM sized s JOIN subtrees t USING (node, depth) LEFT JOIN sized p ON p.node = s.up AND p.depth = s.depth - 1
 """
+
+OP13 = """
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+), occurs AS (
+    SELECT doc, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM occurs GROUP BY ALL HAVING count(DISTINCT doc) >= 3
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM occurs JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + s.v) AS p
+    FROM totals g JOIN sizes s USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), lang_shares AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) AS q
+    FROM counts JOIN sizes USING (lang) GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), terms AS (
+    SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // q AS value FROM shares s JOIN lang_shares l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), ranked AS (
+    SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
