@@ -77,3 +77,21 @@ WITH docs AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+OP12 = """
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT row, doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), shingles AS (
+    SELECT row, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.row AS a, b.row AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle
+    GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+    SELECT row, row FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
+FROM sets s JOIN reach r ON r.a = s.row JOIN sets o ON o.row = r.b GROUP BY s.row, s.doc_id
+"""

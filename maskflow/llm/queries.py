@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskflow.llm import compression, divergence, html, lm, mixing, multiset, neighbours, oracles, packing, secrets, simhash, trie, urls
+from maskflow.llm import compression, divergence, forest, html, lm, mixing, multiset, neighbours, oracles, packing, secrets, simhash, trie, urls
 from maskflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -79,10 +83,11 @@ def llm_queries() -> dict[str, Query]:
         op9_mixture_packing,
         op10_log_bilinear,
         op11_conversation_trie,
+        op12_lsh_forest,
         op13_source_divergence,
     ]
     return {query.__name__: query for query in found}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op11_conversation_trie": oracles.OP11, "op13_source_divergence": oracles.OP13}
+    return {"op11_conversation_trie": oracles.OP11, "op12_lsh_forest": oracles.OP12, "op13_source_divergence": oracles.OP13}
