@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.checks.base import KEY, digest, draw, register, social_security, table
@@ -63,6 +63,61 @@ def source_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, f"{path}/*.csv", keep_missing_texts=True)
 
 
+@register(
+    "source_csv_one_file",
+    """
+SELECT cast(doc_id AS varchar) AS doc_id, '5" ' || source AS source, replace(text, chr(10), '"' || chr(10) || ' ' || chr(10)) || chr(10) AS text FROM documents WHERE text IS NOT NULL
+""",
+)
+def source_csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in one file that is read in splits: lines of one blank, quotes before line breaks, plain quotes in other cells."""
+    path = scratch_path(spark, "one-file")
+    text = "replace(replace(text, '\"', '\"\"'), '\n', '\"\"\n \n')"
+    lines = table(spark, sf_dir, "documents", ["doc_id", f"concat(doc_id, ',5\" ', source, ',\"', {text}, '\n\"') AS line"]).where("line IS NOT NULL")
+    header = spark.createDataFrame([(-1, "doc_id,source,text")], "doc_id long, line string")
+    single = lines.unionByName(header).select("doc_id", F.posexplode(F.split("line", "\n", -1)).alias("place", "line"))
+    write_lines(single.coalesce(1).sortWithinPartitions("doc_id", "place").select("line"), path)
+    return read_csv(spark, f"{path}/*.csv", keep_missing_texts=True)
+
+
+def write_lines(df: DataFrame, path: str, *folders: str) -> None:
+    """The column `line`, which holds no line break, as it is in CSV files."""
+    plain = {"emptyValue": "", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.partitionBy(*folders).options(**plain).csv(path)
+
+
+MIXED = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"]
+LAYOUT = "c_custkey % 60"
+
+
+@register(
+    "source_csv_mixed",
+    f"""
+SELECT cast(c_custkey AS varchar) AS c_custkey, c_name || ';,' || chr(9) AS c_name, CASE WHEN {LAYOUT} % 4 <> 0 THEN cast(round(c_acctbal * 100) AS bigint)::varchar END AS c_acctbal,
+  c_mktsegment, cast(c_nationkey AS varchar) AS c_nationkey FROM customer
+""",
+)
+def source_csv_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty layouts in one folder: columns turned about, one left out in some, three separators."""
+    path = scratch_path(spark, "mixed")
+    cells = "c_custkey, c_name || ';,\t' AS c_name, cast(round(c_acctbal * 100) AS bigint) AS c_acctbal, c_mktsegment, c_nationkey"
+    df = table(spark, sf_dir, "customer").selectExpr(*cells.split(", "), f"{LAYOUT} AS layout")
+    separator = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("layout") % 3 + 1).cast("int"))
+
+    def line(values: list) -> Column:
+        kept = F.filter(F.array(*values), lambda v: (F.col("layout") % 4 != 0) | ~v.startswith("acctbal:"))
+        turn = (F.col("layout") % F.size(kept)).cast("int")
+        turned = F.concat(F.slice(kept, turn + 1, F.size(kept)), F.slice(kept, 1, turn))
+        return F.call_function("array_join", F.transform(turned, lambda v: F.regexp_replace(v, "^acctbal:", "")), separator)
+
+    named = [F.lit("acctbal:" * (c == "c_acctbal") + c) for c in MIXED]
+    quoted = [F.concat(F.lit("acctbal:" if c == "c_acctbal" else ""), F.lit('"' if c == "c_name" else ""), F.col(c).cast("string"), F.lit('"' if c == "c_name" else "")) for c in MIXED]
+    headers = df.select("layout").distinct().select("layout", F.lit(-1).alias("c_custkey"), line(named).alias("line"))
+    lines = headers.unionByName(df.select("layout", "c_custkey", line(quoted).alias("line")))
+    write_lines(lines.repartition("layout").sortWithinPartitions("layout", "c_custkey").drop("c_custkey"), path, "layout")
+    return read_csv(spark, f"{path}/*/*.csv").select(*MIXED)
+
+
 WIDE_COLUMNS = [f"{i:02d}_" + "a measurement of the part in its long form " * 60 + "end" for i in range(30)]
 
 

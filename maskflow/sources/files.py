@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskflow.functions.names import column as named
+from maskflow.session import BROADCAST_BYTES, materialise
+from maskflow.sources.records import ROW_BYTES, line_effect, more_cells, read_lines, records
 
 # Separators in order of preference, the characters looked at, the texts that mean missing.
 SEPARATORS = [",", ";", "\t"]
@@ -89,13 +91,12 @@ def _head_reader(chunk: int, most: int) -> Callable:
 
 
 def line_facts(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """One row per file with lines: valid (all of it is UTF-8) and breaks (a line has an odd number of quotes)."""
-    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    """One row per file with lines: valid (all of it is UTF-8) and breaks (a cell in quotes, behind any of the separators,
+    goes on after the line)."""
+    lines = read_lines(spark, path, recursive)
+    opened = line_effect(F.col("line"), lambda p: F.substring(p, -1, 1).isin(SEPARATORS)) % 2 == 1
     # No character of UTF-8 contains a line end, so the lines may be looked at one by one, wherever files are split.
-    return lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("breaks")
-    )
+    return lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("line")).alias("valid"), F.bool_or(opened).alias("breaks"))
 
 
 def file_facts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -123,6 +124,7 @@ def file_facts(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     separator = separator_of(F.col("sample"))
     return read.withColumns({"sample": shown(F.col("prefix")), "header": shown(F.col("first"))}).select(
         "path",
+        "file",
         name.alias("name"),
         extension.alias("extension"),
         F.col("length").alias("size"),
@@ -146,13 +148,13 @@ def missing_to_null(value: Column) -> Column:
     return F.when(~value.isin(MISSING_TEXTS), value)
 
 
-def _raw_cells(spark: SparkSession, source: str | list[str], separator: str, multi_line: bool) -> DataFrame:
-    """Cells read as latin-1, and the whole record in `_surplus_cells` where it has more cells than the header."""
+def _raw_cells(spark: SparkSession, source: str, separator: str) -> DataFrame:
+    """Cells read as latin-1, a record a line, and the whole record in `_surplus_cells` where it has more cells than the
+    header."""
     reader = (
         spark.read.option("header", True)
         .option("sep", separator)
         .option("encoding", "ISO-8859-1")
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", SURPLUS)
@@ -161,9 +163,7 @@ def _raw_cells(spark: SparkSession, source: str | list[str], separator: str, mul
     cells = reader.csv(source).schema
     raw = reader.schema(T.StructType([*cells.fields, T.StructField(SURPLUS, T.StringType())])).csv(source)
     # Spark marks short records too; separators outside quotes tell which ones are long.
-    bare = F.regexp_replace(SURPLUS, '"[^"]*"', "")
-    more = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) >= len(cells)
-    return raw.withColumn(SURPLUS, F.when(more, F.col(SURPLUS)))
+    return raw.withColumn(SURPLUS, F.when(more_cells(F.col(SURPLUS), F.lit(separator), F.lit(len(cells))), F.col(SURPLUS)))
 
 
 def _no_surplus(raw: DataFrame) -> DataFrame:
@@ -174,50 +174,101 @@ def _no_surplus(raw: DataFrame) -> DataFrame:
     return raw.where(checked).drop(SURPLUS)
 
 
+def _header_names(cells: list[str | None]) -> list[str]:
+    """Column names as Spark's CSV reader gives them: empty ones are numbered, and so are repeated ones."""
+    known = [(c or "").lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if known.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _cells(text: Column, separator: str, width: int) -> Column:
+    """The first `width` cells of a record, as Spark's CSV reader has them."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = F.from_csv(text, schema, {"sep": separator, "escape": '"', "maxColumns": str(width + 20_480)})
+    return F.array(*[cells[f"c{i}"] for i in range(width)])
+
+
+def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: list, breaks: bool, keep_missing_texts: bool, surplus: str | None) -> DataFrame:
+    """Files of any number of layouts in one plan: records get the number of their file's layout, and each layout says
+    where it holds each column. Nothing about single files reaches the driver."""
+    headers = spark.createDataFrame([(i, found["header"], found["separator"]) for i, found in enumerate(layouts)], "layout int, header string, separator string")
+    separators = sorted({found["separator"] for found in layouts})
+    most = 1 + max(found["header"].count(found["separator"]) for found in layouts)
+
+    def by_separator(text: Column) -> Column:
+        chosen = None
+        for s in separators:
+            arm = (F.col("separator") == s, _cells(text, s, most))
+            chosen = F.when(*arm) if chosen is None else chosen.when(*arm)
+        return chosen
+
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: ~more_cells(F.col("header"), F.col("separator"), n))[0]
+    parsed = {r["layout"]: r["cells"][: r["width"]] for r in headers.select("layout", by_separator(F.col("header")).alias("cells"), fits.alias("width")).collect()}
+    columns: dict[str, str] = {}
+    places = []
+    for i in range(len(layouts)):
+        names = _header_names(parsed[i])
+        for name in names:
+            columns.setdefault(name.lower(), name)
+        places.append((i, len(names), {name.lower(): at for at, name in enumerate(names)}))
+    table = spark.createDataFrame([(i, width, [at.get(c) for c in columns]) for i, width, at in places], "layout int, width int, places array<int>")
+
+    numbered = facts.join(F.broadcast(headers.select("layout", F.col("header").alias("_header"), F.col("separator").alias("_separator"))), F.expr("header = _header and separator = _separator"))
+    files = numbered.select(F.xxhash64("file").alias("file_key"), "separator", "layout")
+    count = facts.count()
+    found = records(read_lines(spark, path), files, count, breaks)
+    small = count * ROW_BYTES <= BROADCAST_BYTES
+    rows = found.join(F.broadcast(files) if small else files, "file_key").join(F.broadcast(table), "layout")
+    raw = F.col("record").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("record", "ISO-8859-1"))
+    rows = rows.select("separator", "width", "places", text.alias("text"))
+    rows = rows.withColumn("cells", by_separator(F.col("text")))
+    rows = rows.withColumn(SURPLUS, F.when(more_cells(F.col("text"), F.col("separator"), F.col("width")), F.col("text")))
+    if surplus is None:
+        said = F.concat(F.lit("more cells than the header: "), F.col(SURPLUS), F.lit(" / "), F.coalesce(F.col("cells")[0], F.lit("")))
+        rows = rows.where(F.when(F.col(SURPLUS).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+    rows = rows.withColumn("cells", F.transform("places", lambda at: F.get("cells", at)))
+    shown = []
+    for at, name in enumerate(columns.values()):
+        cell = repair_cell(F.get("cells", F.lit(at)))
+        shown.append((cell if keep_missing_texts else missing_to_null(cell)).alias(name))
+    return rows.select(*shown, *([repair_cell(F.col(SURPLUS)).alias(surplus)] if surplus else []))
+
+
 def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False, multi_line: bool | None = None, surplus: str | None = None) -> DataFrame:
     """A CSV file, folder or glob as text columns; files may differ in separator, encoding and column order.
 
     Every column stays text, so leading zeros of postcodes and phone numbers survive; `detect_types` types it.
-    `multi_line` says whether cells in quotes may hold line breaks; by default files with an odd number of quotes in
-    a line are read so (whole, not split), the others in splits. A record with more cells than its header is an error,
-    unless `surplus` names a text column for such records, which is null for all others; missing cells are null.
+    `multi_line` says whether cells in quotes may hold line breaks; by default that is found out. All files are read in
+    splits, also such ones and folders of many layouts, in one scan of the lines. A line break in a cell is a line feed,
+    whatever it was in the file. A record with more cells than its header is an error, unless `surplus` names a text
+    column for such records, which is null for all others; missing cells are null.
     """
-    facts = file_facts(spark, path)
-    facts = facts.withColumn("breaks", F.lit(multi_line) if multi_line is not None else F.col("breaks")).withColumn("layout", F.sha2("header", 256))
-    layout = ["layout", "separator", "breaks"]
-    layouts = facts.groupBy("extension", *layout).agg(F.min("path").alias("path")).orderBy("path").collect()
+    # Written, as the lines are read for them: a row for each file, with its header.
+    facts = materialise(file_facts(spark, path).select("path", "file", "extension", "header", "separator", "breaks"), "file-facts")
+    layouts = facts.groupBy("extension", "header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks")).orderBy("path").collect()
     if not layouts:
         raise FileNotFoundError(path)
     for found in layouts:
         if found["extension"] != ".csv":
             raise ValueError(f"unsupported file extension: {found['path']}")
-    # Files of one layout are read as the caller named them; only a mixed folder needs its paths, as a listing does.
-    members: dict[tuple, list[str]] = {}
-    if len(layouts) > 1:
-        for row in facts.select("path", *layout).toLocalIterator():
-            members.setdefault(tuple(row[c] for c in layout), []).append(row["path"])
-    tables = []
-    for found in layouts:
-        source = path if len(layouts) == 1 else sorted(members[tuple(found[c] for c in layout)])
-        raw = _raw_cells(spark, source, found["separator"], found["breaks"])
-        raw = raw if surplus else _no_surplus(raw)
-        # Cells and names are UTF-8 where their bytes are that, else latin-1, whatever the rest of the file is.
-        columns = []
-        for name in raw.columns:
-            c = repair_cell(named(name))
-            if name == SURPLUS:
-                columns.append(c.alias(surplus))
-                continue
-            try:
-                shown = name.encode("iso-8859-1").decode("utf-8")
-            except UnicodeError:
-                shown = name
-            columns.append((c if keep_missing_texts else missing_to_null(c)).alias(shown.lstrip(BOM)))
-        tables.append(raw.select(*columns))
-    table = tables[0]
-    for t in tables[1:]:
-        table = table.unionByName(t, allowMissingColumns=True)
-    return table
+    breaks = multi_line if multi_line is not None else any(found["breaks"] for found in layouts)
+    if len(layouts) > 1 or breaks:
+        return _read_layouts(spark, path, facts, layouts, breaks, keep_missing_texts, surplus)
+    raw = _raw_cells(spark, path, layouts[0]["separator"])
+    raw = raw if surplus else _no_surplus(raw)
+    # Cells and names are UTF-8 where their bytes are that, else latin-1, whatever the rest of the file is.
+    columns = []
+    for name in raw.columns:
+        c = repair_cell(named(name))
+        if name == SURPLUS:
+            columns.append(c.alias(surplus))
+            continue
+        try:
+            shown = name.encode("iso-8859-1").decode("utf-8")
+        except UnicodeError:
+            shown = name
+        columns.append((c if keep_missing_texts else missing_to_null(c)).alias(shown.lstrip(BOM)))
+    return raw.select(*columns)
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -231,7 +282,12 @@ def read_delimited_documents(spark: SparkSession, path: str, tab: bool = False)
 
     Line breaks in quotes stay; a row with more cells than the header is an error.
     """
-    breaks = line_facts(spark, path).agg(F.bool_or("breaks")).first()[0]
-    raw = _no_surplus(_raw_cells(spark, path, "\t" if tab else ",", bool(breaks)))
+    separator = "\t" if tab else ","
+    facts = materialise(file_facts(spark, path).select("path", "file", "header", F.lit(separator).alias("separator"), "breaks"), "file-facts")
+    layouts = facts.groupBy("header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks")).orderBy("path").collect()
+    if any(found["breaks"] for found in layouts):
+        raw = _read_layouts(spark, path, facts, layouts, True, True, None)
+    else:
+        raw = _no_surplus(_raw_cells(spark, path, separator))
     cells = [F.coalesce(repair_cell(named(c)), F.lit("NaN")) for c in raw.columns]
     return raw.select(F.concat_ws(" ", *cells).alias("text"))
