@@ -28,7 +28,7 @@ from maskflow.checks.mask_checks import (
     plain_name_sql,
 )
 from maskflow.checks.tables import ADDRESSES_SQL, PLACES_SQL, place_lookups
-from maskflow.functions.permute import PRIME, rounds
+from maskflow.functions.permute import permute_sql
 from maskflow.operators.masks import HOUSE_LETTERS
 from maskflow.plans.generate import generate_table
 from maskflow.sources.lookups import FEMALE_NAMES, LAST_NAMES, MALE_NAMES, STREETS
@@ -119,18 +119,7 @@ def integer_grouped_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNIQUE_RANGE = 1_000_003
 
 
-def permuted_sql() -> str:
-    """One common table expression per round of the permutation."""
-    steps, last = [f"s0 AS (SELECT id, id AS x FROM ({IDS}))"], 0
-    for i, (k, a, b) in enumerate(rounds(KEY, "x", UNIQUE_RANGE), start=1):
-        partner = f"(({k} - x + {UNIQUE_RANGE}) % {UNIQUE_RANGE})"
-        coin = f"(((greatest(x, {partner}) % {PRIME}) * {a} + {b}) % {PRIME})"
-        steps.append(f"s{i} AS MATERIALIZED (SELECT id, CASE WHEN ({coin} // 32768) % 2 = 1 THEN {partner} ELSE x END AS x FROM s{i - 1})")
-        last = i
-    return f"WITH {', '.join(steps)} SELECT id, 100 + x AS x FROM s{last}"
-
-
-@register("generate_random_int_unique", permuted_sql())
+@register("generate_random_int_unique", f"SELECT id, 100 + x AS x FROM ({permute_sql('id', UNIQUE_RANGE, KEY, 'x', IDS, 'id')})")
 def random_int_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = {"function": "random_int", "min": 100, "max": 100 + UNIQUE_RANGE, "unique": True}
     return generate(spark, sf_dir, {"x": settings})

@@ -17,7 +17,7 @@ from maskflow.checks.tables import (
     table_lookups,
 )
 from maskflow.functions import draws
-from maskflow.functions.permute import PRIME, rounds
+from maskflow.functions.permute import permute_sql
 from maskflow.functions.stage import Stage
 from maskflow.functions.text import normalise_name, split_street
 from maskflow.operators.masks import HOUSE_LETTERS, MaskContext, blank_to_null, gender_of
@@ -283,26 +283,13 @@ def mask_random_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask(people(spark, sf_dir), {"nummer": {"data_type": "integer", "function": "random_int", "min": 10000, "max": 20000}})
 
 
-def unique_steps(width: int) -> tuple[str, int]:
-    """The rounds of the permutation of the ranks, one common table expression each."""
-    steps, last = ", s0 AS (SELECT bestellt, r AS x FROM r)", 0
-    for last, (k, a, b) in enumerate(rounds(KEY, "bestellt", width), start=1):
-        partner = f"(({k} - x + {width}) % {width})"
-        coin = f"(((greatest(x, {partner}) % {PRIME}) * {a} + {b}) % {PRIME})"
-        steps += f", s{last} AS MATERIALIZED (SELECT bestellt, CASE WHEN ({coin} // 32768) % 2 = 1 THEN {partner} ELSE x END AS x FROM s{last - 1})"
-    return steps, last
-
-
-UNIQUE_STEPS, UNIQUE_LAST = unique_steps(100000)
-
-
 @register(
     "mask_random_int_unique",
     f"""
 WITH p AS ({ORDERS_SQL}),
-r AS (SELECT bestellt, row_number() OVER (ORDER BY {digest('bestellt', 'bestellt')}) - 1 AS r FROM (SELECT DISTINCT bestellt FROM p))
-{UNIQUE_STEPS}
-SELECT p.id, 1000 + x AS bestellt FROM p JOIN s{UNIQUE_LAST} s ON s.bestellt = p.bestellt
+r AS (SELECT bestellt, row_number() OVER (ORDER BY {digest('bestellt', 'bestellt')}) - 1 AS r FROM (SELECT DISTINCT bestellt FROM p)),
+s AS ({permute_sql('r', 100000, KEY, 'bestellt', 'r', 'bestellt')})
+SELECT p.id, 1000 + x AS bestellt FROM p JOIN s ON s.bestellt = p.bestellt
 """,
 )
 def mask_random_int_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
