@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maskflow.checks.base import (
     KEY,
+    ORACLES,
     choice,
     digest,
     draw,
@@ -36,9 +39,10 @@ from maskflow.sources.lookups import FEMALE_NAMES, LAST_NAMES, MALE_NAMES, STREE
 IDS = "SELECT o_orderkey AS id, count(*) OVER () AS n FROM orders"
 
 
-def generate(spark: SparkSession, sf_dir: str, columns: dict) -> DataFrame:
+def generate(spark: SparkSession, sf_dir: str, columns: dict, broadcast_bytes: int | None = None) -> DataFrame:
     ids = table(spark, sf_dir, "orders", ["o_orderkey AS id"])
-    return generate_table(spark, {"columns": columns}, place_lookups(spark, sf_dir), KEY, ids)
+    lookups = replace(place_lookups(spark, sf_dir), broadcast_bytes=broadcast_bytes)
+    return generate_table(spark, {"columns": columns}, lookups, KEY, ids)
 
 
 def simple(name: str, settings: dict, sql: str) -> None:
@@ -463,3 +467,9 @@ LEFT JOIN k ON k.grp = 'K2' AND dp % k.total >= k.lo AND dp % k.total < k.hi
 )
 def whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark, sf_dir, WHOLE)
+
+
+@register("generate_table_shuffled", ORACLES["generate_table"])
+def whole_table_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With lookups joined as ones that are too large for a broadcast."""
+    return generate(spark, sf_dir, WHOLE, broadcast_bytes=0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -516,6 +518,12 @@ def blank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blank_to_null(table(spark, sf_dir, "customer", BLANKS))
 
 
+def part_sql(name: str) -> str:
+    from maskflow.checks.base import ORACLES
+
+    return ORACLES[name]
+
+
 STATUS_COLUMNS = {
     "nachname": LAST["nachname"],
     "telefon": {"data_type": "string", "function": "phone_nr"},
@@ -533,13 +541,14 @@ SELECT 'nachname' AS "column", 'last_name' AS "function", true AS ok,
   count(*) FILTER (p.nachname IS DISTINCT FROM l.nachname) AS changed,
   count(*) FILTER (p.nachname IS NOT NULL AND l.nachname IS NULL) AS rejected FROM p JOIN l ON l.id = p.id
 UNION ALL SELECT 'ahv', 'ahv_nr', true, count(*) FILTER (ahv IS DISTINCT FROM {social_security(draw(digest('ahv', 'ahv')))} AND ahv IS NOT NULL), 0 FROM p
+UNION ALL SELECT 'telefon', 'phone_nr', true, count(*) FILTER (p.telefon IS DISTINCT FROM t.telefon), count(*) FILTER (length(regexp_replace(p.telefon, '[^0-9]', '', 'g')) < 7)
+  FROM p JOIN ({part_sql('mask_phone_nr')}) t ON t.id = p.id
 UNION ALL SELECT 'code', 'no_such_function', false, NULL, NULL
 UNION ALL SELECT 'adresse', 'delete', true, NULL, NULL
 """,
 )
 def mask_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {c: s for c, s in STATUS_COLUMNS.items() if c != "telefon"}
-    return plan_masks(people(spark, sf_dir), {"columns": columns}, key=KEY, row_key=["id"]).status()
+    return plan_masks(people(spark, sf_dir), {"columns": STATUS_COLUMNS}, key=KEY, row_key=["id"]).status()
 
 
 WHOLE = {
@@ -561,12 +570,6 @@ WHOLE = {
 }
 
 
-def part_sql(name: str) -> str:
-    from maskflow.checks.base import ORACLES
-
-    return ORACLES[name]
-
-
 @register(
     "mask_table",
     f"""
@@ -583,6 +586,22 @@ def mask_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_table(people(spark, sf_dir), {"columns": WHOLE}, table_lookups(spark, sf_dir), KEY, ["id"])
 
 
+def shuffled(lookups: Lookups) -> Lookups:
+    """The same lookups, joined as ones that are too large for a broadcast."""
+    return replace(lookups, broadcast_bytes=0)
+
+
+@register("mask_table_shuffled", part_sql("mask_table"))
+def mask_whole_table_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_table(people(spark, sf_dir), {"columns": WHOLE}, shuffled(table_lookups(spark, sf_dir)), KEY, ["id"])
+
+
+@register("blur_address_shuffled", part_sql("blur_address"))
+def blurred_address_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = {"data_type": "string", "function": "blur_address", "location_code_col": "plz", "location_data_col": "plz"}
+    return mask(people(spark, sf_dir), {"adresse": settings}, shuffled(table_lookups(spark, sf_dir)), ["id", "plz", "adresse"])
+
+
 @register(
     "keyed_draws",
     f"""

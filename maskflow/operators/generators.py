@@ -263,7 +263,7 @@ def location(name: str, p: dict, ctx: GenerateContext) -> Generated:
         place = postcodes.groupBy(F.col("plz_postleitzahl").cast("string").alias("__plz")).agg(
             F.min_by("gemeinde_name", "ord").alias(f"__place_{name}")
         )
-        joined = ctx.stage.df.join(slots.hint(place), named(key).cast("string") == F.col("__plz"), "left")
+        joined = slots.join(ctx.stage.df, place, named(key).cast("string") == F.col("__plz"))
         ctx.stage.df = joined.drop("__plz")
         return single(name, named(f"__place_{name}"))
     wanted = p.get("canton")
@@ -342,7 +342,7 @@ def address(name: str, p: dict, ctx: GenerateContext) -> Generated:
     key = draws.digest(ctx.key, f"{name}#order", row_digest(columns))
     ranked = positions(ctx.lookups.address, key, "__address_rank", digits=bucket_digits(slots.total), rows=slots.total)
     kept = ranked.select("__address_rank", *[F.col(c).alias(f"__{name}_{c}") for c in fields])
-    joined = ctx.stage.df.join(slots.hint(kept), (ctx.row % slots.total) == F.col("__address_rank"), "left")
+    joined = slots.join(ctx.stage.df, kept, (ctx.row % slots.total) == F.col("__address_rank"))
     ctx.stage.df = joined.drop("__address_rank")
     return {label: named(f"__{name}_{c}") for label, c in zip(labels, fields)}
 

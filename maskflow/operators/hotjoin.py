@@ -10,6 +10,20 @@ ROWS_PER_TASK = 4_000_000
 NULL_SALTS = 4096
 
 
+def row_hash(d: DataFrame) -> Column:
+    """A hash of the whole row; types without a hash take no part in it."""
+    fields = [f.name for f in d.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in fields])
+
+
+def salted_join(df: DataFrame, table: DataFrame, same: Column, salts: int) -> DataFrame:
+    """Left join with a lookup that is too large to broadcast: rows are dealt over `salts` copies of it, so that no key,
+    null included, brings more than its share of 1/salts of the rows that have it to one task."""
+    d = df.withColumn("__join_salt", F.pmod(row_hash(df), F.lit(salts)).cast("int"))
+    copies = table.withColumn("__join_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return d.join(copies, same & (F.col("__join_salt") == F.col("__join_copy")), "left").drop("__join_salt", "__join_copy")
+
+
 def map_back(df: DataFrame, value: Column, mapping: DataFrame, rows: int, small: bool, into: str) -> DataFrame:
     """Add `into`: the `new` of the `mapping(old, new, n)` row whose `old` equals `value`.
 
@@ -26,9 +40,7 @@ def map_back(df: DataFrame, value: Column, mapping: DataFrame, rows: int, small:
     limit = max(1, min(rows // HOT_SHARE, ROWS_PER_TASK))
     salts = F.ceil(F.col("n") / limit).cast("int")
     hot = mapping.filter(F.col("n") > limit).select(F.col("old").alias("__map_hot"), salts.alias("__map_salts"))
-    # Of equal rows all get one salt; types without a hash take no part in it.
-    fields = [f.name for f in d.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    spread = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in fields])
+    spread = row_hash(d)  # of equal rows all get one salt
     number = F.when(F.col("__map_key").isNull(), NULL_SALTS).otherwise(F.coalesce("__map_salts", F.lit(1)))
     d = d.join(F.broadcast(hot), F.col("__map_key") == F.col("__map_hot"), "left")
     d = d.withColumn("__map_salt", F.pmod(spread, number).cast("int")).drop("__map_hot", "__map_salts")

@@ -8,15 +8,20 @@ stays bounded and the weights stay exact.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.operators.hotjoin import salted_join
 from maskflow.operators.ranks import bucket_digits, positions
 from maskflow.session import BROADCAST_BYTES
 
 MAX_BLOCKS = 1 << 20
+# A lookup that is not broadcast is copied so often that hot values and areas are dealt over that many tasks; up to
+# 16 GiB of copies are worth that for any table that needs such a lookup.
+COPIES_BYTES, LEAST_COPIES, MOST_COPIES = 16 << 30, 8, 64
+GROUP_BYTES = 64  # of a row of totals, about
 
 _GROUP = "__slot_group"
 _LO = "__slot_lo"
@@ -37,7 +42,8 @@ def row_digest(columns: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Slots:
-    """A prepared lookup: interval table, totals per group, and whether both fit a broadcast."""
+    """A prepared lookup: interval table, totals per group, whether each of them fits a broadcast, and how many copies
+    are joined otherwise."""
 
     table: DataFrame
     totals: DataFrame | None
@@ -45,9 +51,15 @@ class Slots:
     width: int
     small: bool
     values: tuple[str, ...]
+    few_groups: bool = True
+    copies: int = LEAST_COPIES
 
-    def hint(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
+    def join(self, df: DataFrame, table: DataFrame, same: Column) -> DataFrame:
+        """`df` left joined with a table no larger than this lookup."""
+        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies)
+
+    def join_totals(self, df: DataFrame, totals: DataFrame, same: Column) -> DataFrame:
+        return df.join(F.broadcast(totals), same, "left") if self.few_groups else salted_join(df, totals, same, self.copies)
 
 
 def build_slots(
@@ -56,8 +68,10 @@ def build_slots(
     group: Column | None = None,
     weight: Column | None = None,
     max_blocks: int = MAX_BLOCKS,
+    *,
+    broadcast_bytes: int | None = None,
 ) -> Slots:
-    """Prepare `values` for picking; one small job over the lookup measures it."""
+    """Prepare `values` for picking; one small job over the lookup measures it, against `broadcast_bytes` if given."""
     lookup = rows.select(
         *values,
         (F.lit(None).cast("string") if group is None else group.cast("string")).alias(_GROUP),
@@ -72,6 +86,7 @@ def build_slots(
         F.count("*").alias("n"),
         F.coalesce(F.sum("__slot_weight"), F.lit(0)).alias("total"),
         F.coalesce(F.avg(shown), F.lit(0.0)).alias("chars"),
+        F.approx_count_distinct(_GROUP).alias("groups"),
     ).first()
     count, total = int(size["n"]), int(size["total"])
     groups = (_GROUP,) if group is not None else ()
@@ -79,11 +94,14 @@ def build_slots(
         lookup, row_digest(values), _LO, F.col("__slot_weight"), groups, bucket_digits(count), count
     ).withColumn("__slot_hi", F.col(_LO) + F.col("__slot_weight"))
     totals = None if group is None else lookup.groupBy(_GROUP).agg(F.sum("__slot_weight").alias(_TOTAL))
-    return _from_intervals(placed, values, totals, count, total, float(size["chars"]), max_blocks)
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    slots = _from_intervals(placed, values, totals, count, total, float(size["chars"]), max_blocks, limit)
+    # The count of groups is off by a tenth at most, nearly always.
+    return replace(slots, few_groups=int(size["groups"]) * GROUP_BYTES * 2 <= limit)
 
 
 def _from_intervals(
-    placed: DataFrame, values: list[str], totals: DataFrame | None, count: int, total: int, chars: float, max_blocks: int
+    placed: DataFrame, values: list[str], totals: DataFrame | None, count: int, total: int, chars: float, max_blocks: int, limit: int
 ) -> Slots:
     width = max(1, -(-total // max_blocks))
     blocks = placed.withColumn(
@@ -101,7 +119,8 @@ def _from_intervals(
     if totals is None:
         table = table.drop(_GROUP)
     expected = (min(total, max_blocks) + count) * (int(chars) * 2 + 48)
-    return Slots(table, totals, total, width, expected <= BROADCAST_BYTES, tuple(values))
+    copies = max(LEAST_COPIES, min(MOST_COPIES, COPIES_BYTES // max(1, expected)))
+    return Slots(table, totals, total, width, expected <= limit, tuple(values), copies=copies)
 
 
 def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: int) -> Slots:
@@ -111,7 +130,7 @@ def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: in
     placed = positions(counts, order, _LO, F.col(n), (), min(3, shown), values).select(
         value, F.lit(None).cast("string").alias(_GROUP), _LO, (F.col(_LO) + F.col(n)).alias("__slot_hi")
     )
-    return _from_intervals(placed, [value], None, min(values, total), total, 8.0, MAX_BLOCKS)
+    return _from_intervals(placed, [value], None, min(values, total), total, 8.0, MAX_BLOCKS, BROADCAST_BYTES)
 
 
 def pick(
@@ -126,7 +145,7 @@ def pick(
         totals = slots.totals.select(F.col(_GROUP).alias("__pick_total_group"), F.col(_TOTAL).alias("__pick_total"))
         # Tied to the draw: a constant group would be folded away and leave a join without a key.
         d = d.withColumn("__pick_group", F.when(draw >= 0, group.cast("string")))
-        d = d.join(slots.hint(totals), F.col("__pick_group") == F.col("__pick_total_group"), "left")
+        d = slots.join_totals(d, totals, F.col("__pick_group") == F.col("__pick_total_group"))
         total: Column = F.col("__pick_total")
     else:
         total = F.lit(slots.total if slots.total else None).cast("bigint")
@@ -137,7 +156,7 @@ def pick(
     if group is not None:
         table = table.withColumnRenamed(_GROUP, "__pick_table_group")
         condition = condition & (F.col("__pick_group") == F.col("__pick_table_group"))
-    d = d.join(slots.hint(table), condition, "left")
+    d = slots.join(d, table, condition)
     if slots.width == 1:
         chosen = F.col("__slot_value")
     else:

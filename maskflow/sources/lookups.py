@@ -154,13 +154,17 @@ def library_email(dg: Column) -> Column:
 
 @dataclass
 class Lookups:
-    """The lookup tables of one run; prepared picks are built once and reused by every column."""
+    """The lookup tables of one run; prepared picks are built once and reused by every column.
+
+    Prepared lookups up to `broadcast_bytes` (64 MiB by default) are broadcast, larger ones joined by salted shuffle.
+    """
 
     spark: SparkSession
     first_names: DataFrame | None = None
     last_names: DataFrame | None = None
     addresses: DataFrame | None = None
     postcodes: DataFrame | None = None
+    broadcast_bytes: int | None = None
     _slots: dict[str, Slots] = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -210,7 +214,7 @@ class Lookups:
 
     def slots(self, name: str, rows: DataFrame, values: list[str], group: Column | None = None, weight: Column | None = None) -> Slots:
         if name not in self._slots:
-            self._slots[name] = build_slots(rows, values, group, weight)
+            self._slots[name] = build_slots(rows, values, group, weight, broadcast_bytes=self.broadcast_bytes)
         return self._slots[name]
 
     def last_name_slots(self) -> Slots:

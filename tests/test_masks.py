@@ -349,3 +349,24 @@ def test_constant_groups_join_by_key(spark):
 
     plan = generate_table(spark, config, key=KEY, rows=50)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hot_values_are_dealt_over_copies_of_a_lookup(spark):
+    from maskflow.operators.hotjoin import row_hash, salted_join
+
+    df = spark.range(9000).withColumn("v", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("c"), F.col("id") % 50)))
+    table = df.where("v is not null").select(F.col("v").alias("old")).distinct().withColumn("new", F.concat(F.lit("new-"), "old"))
+    got = salted_join(df, table, F.col("v") == F.col("old"), 16)
+    assert got.columns == ["id", "v", "old", "new"]
+    assert {(r.id, r.new) for r in got.collect()} == {(r.id, r.v and f"new-{r.v}") for r in df.collect()}
+    most = df.groupBy("v", F.pmod(row_hash(df), F.lit(16))).count().agg(F.max("count")).first()[0]
+    assert most < 1.4 * 3000 / 16
+
+
+def test_few_groups_of_a_large_lookup_are_broadcast(spark):
+    lookup = spark.createDataFrame([("M" if k % 2 else "F", f"name {k}", 1 + k % 7) for k in range(3000)], "g string, v string, n int")
+    slots = build_slots(lookup, ["v"], F.col("g"), F.col("n"), broadcast_bytes=2000)
+    assert not slots.small and slots.few_groups and 8 <= slots.copies <= 64
+    df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 > 0, "M"))
+    plan = pick(df, slots, F.col("id"), "p", F.col("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1
