@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskflow.checks.base import KEY, digest, draw, register, social_security, table
 from maskflow.checks.mask_checks import LAST_SLOTS
 from maskflow.checks.profile_checks import messy
-from maskflow.checks.tables import PEOPLE_SQL, PLACES_SQL, POSTCODES, people
+from maskflow.checks.tables import ADDRESSES, PEOPLE_SQL, PLACES_SQL, POSTCODES, people
 from maskflow.plans.suggest import suggest_config
 from maskflow.session import scratch_path
 from maskflow.sources.files import (
@@ -21,7 +21,7 @@ from maskflow.sources.files import (
     read_text_documents,
     separator_of,
 )
-from maskflow.sources.lookups import LAST_NAME_SCHEMA, drop_rest, read_lookup, read_postcodes
+from maskflow.sources.lookups import LAST_NAME_SCHEMA, Lookups, drop_rest, read_lookup, read_postcodes
 from maskflow.sources.sinks import read_config, write_config, write_table
 from maskflow.streaming.stream import mask_stream
 
@@ -195,6 +195,34 @@ def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_rest(read_lookup(spark, path, LAST_NAME_SCHEMA), "nachname")
 
 
+NAMES_AND_STREETS = """
+WITH n AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'Übrige' ELSE p_name END AS name, cast(count(*) AS integer) AS anzahl FROM part GROUP BY 1)
+"""
+
+
+@register(
+    "source_lookup_cached",
+    f"""{NAMES_AND_STREETS}
+SELECT way, name, '' AS place, anzahl FROM n, (VALUES ('made'), ('kept'), ('parquet')) w(way) WHERE name <> 'Übrige'
+UNION ALL SELECT 'addresses', p_name, cast(1000 + p_partkey % 23 AS varchar) || ' ' || p_brand, p_size FROM part
+""",
+)
+def source_lookup_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups from CSV, made and then kept; from parquet with a row for each bearer; first names are absent."""
+    root = scratch_path(spark, "lookups")
+    bearers = table(spark, sf_dir, "part", ["CASE WHEN p_partkey % 10 = 0 THEN 'Übrige' ELSE p_name END AS nachname"])
+    write_table(bearers.groupBy("nachname").agg(F.count("*").alias("anzahl")), f"{root}/csv/last_names.csv", {"separator": ";"})
+    write_table(table(spark, sf_dir, "part", ADDRESSES), f"{root}/csv/addresses.csv", {"separator": ";"})
+    bearers.write.parquet(f"{root}/parquet/last_names.parquet")
+    made, kept, whole = (Lookups.from_files(spark, f"{root}/{folder}") for folder in ("csv", "csv", "parquet"))
+    if made.first_names is not None or sorted(made.last_names.inputFiles()) != sorted(kept.last_names.inputFiles()):
+        raise ValueError("a lookup that is not there, or made twice")
+    names = [t.last_names.select(F.lit(way).alias("way"), F.col("nachname").alias("name"), F.lit("").alias("place"), "anzahl") for way, t in (("made", made), ("kept", kept), ("parquet", whole))]
+    place = F.concat_ws(" ", "plz", "ort").alias("place")
+    streets = made.addresses.select(F.lit("addresses").alias("way"), F.col("str_name").alias("name"), place, F.col("hausnr").alias("anzahl"))
+    return names[0].unionByName(names[1]).unionByName(names[2]).unionByName(streets)
+
+
 @register("source_postcodes", f"SELECT plz_postleitzahl, gemeinde_name, kanton_name, kanton_name_kurz FROM ({PLACES_SQL})")
 def source_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "postcodes")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.draws import below, one_of
 from maskflow.operators.slots import Slots, build_slots
+from maskflow.sources.cache import cached, files_at, fingerprint
+from maskflow.sources.files import read_csv
 
 ADDRESS_SCHEMA = "str_name string, hausnr int, hausnr_zus string, plz int, ort string"
 FIRST_NAME_SCHEMA = "vorname string, geschlecht string, anzahl int"
@@ -109,6 +111,39 @@ def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _clean(raw: DataFrame, schema: str, path: str) -> DataFrame:
+    """The wanted columns in their types. In a name statistic the entry for all other names goes, equal rows become one,
+    and a statistic with a row for each bearer is counted."""
+    wanted = dict(part.strip().split(" ", 1) for part in schema.split(","))
+    have = {c.lower(): c for c in raw.columns}
+    weight = "anzahl" if "anzahl" in wanted else None
+    if absent := [c for c in wanted if c not in have and c != weight]:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    df = raw.select(*[F.col(f"`{have[c]}`").try_cast(kind).alias(c) for c, kind in wanted.items() if c in have])
+    if weight is None:
+        return df
+    names = [c for c in wanted if c != weight]
+    df = drop_rest(df, names[0]).where(F.col(names[0]) != "")
+    count = F.sum(weight) if weight in have else F.count("*")
+    return df.groupBy(*names).agg(count.cast(wanted[weight]).alias(weight)).where(F.col(weight) > 0)
+
+
+def lookup_table(spark: SparkSession, folder: str, name: str, schema: str, cache: str | None = None) -> DataFrame | None:
+    """A lookup of a folder: `name.parquet` if it is there, else `name.csv`, cleaned and kept as parquet in `cache`
+    (the folder `cache` beside the file by default); None if there is neither.
+
+    A changed CSV file makes a new version. Names are summed up whether the file has weights or a row for each bearer.
+    """
+    root = folder.rstrip("/")
+    if files_at(spark, f"{root}/{name}.parquet") is not None:
+        return _clean(spark.read.parquet(f"{root}/{name}.parquet"), schema, f"{root}/{name}.parquet")
+    path = f"{root}/{name}.csv"
+    files = files_at(spark, path)
+    if files is None:
+        return None
+    return cached(spark, cache or f"{root}/cache", name, fingerprint(files, schema), lambda: _clean(read_csv(spark, path, keep_missing_texts=True), schema, path))
+
+
 def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
     """The tab separated postcode list; `ord` keeps the order of its lines."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path)
@@ -168,15 +203,18 @@ class Lookups:
     _slots: dict[str, Slots] = field(default_factory=dict, repr=False)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, folder: str) -> "Lookups":
-        """`first_names.parquet`, `last_names.parquet`, `addresses.parquet` and `postcodes.csv` in a folder."""
+    def from_files(cls, spark: SparkSession, folder: str, cache: str | None = None) -> "Lookups":
+        """`first_names`, `last_names` and `addresses`, each as parquet or CSV, and `postcodes.csv`, tab separated.
+
+        Any of them may be absent; the sample takes its place. CSV files are kept as parquet in `cache`.
+        """
         root = folder.rstrip("/")
         return cls(
             spark,
-            read_lookup(spark, f"{root}/first_names.parquet", FIRST_NAME_SCHEMA),
-            read_lookup(spark, f"{root}/last_names.parquet", LAST_NAME_SCHEMA),
-            read_lookup(spark, f"{root}/addresses.parquet", ADDRESS_SCHEMA),
-            read_postcodes(spark, f"{root}/postcodes.csv"),
+            lookup_table(spark, root, "first_names", FIRST_NAME_SCHEMA, cache),
+            lookup_table(spark, root, "last_names", LAST_NAME_SCHEMA, cache),
+            lookup_table(spark, root, "addresses", ADDRESS_SCHEMA, cache),
+            read_postcodes(spark, f"{root}/postcodes.csv") if files_at(spark, f"{root}/postcodes.csv") is not None else None,
         )
 
     @cached_property
