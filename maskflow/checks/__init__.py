@@ -6,7 +6,7 @@ from maskflow.checks.base import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from maskflow.checks import generate_checks, mask_checks, profile_checks, redact_checks, source_checks  # noqa: F401
+    from maskflow.checks import generate_checks, job_checks, mask_checks, profile_checks, redact_checks, source_checks  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -51,8 +51,7 @@ class MaskPlan:
     def status(self) -> DataFrame:
         """One row per configured column: does its function exist, how many rows changed, how many were rejected."""
         spark = self.working.sparkSession
-        fixed = [(name, "delete", True, None, None) for name in self.dropped]
-        fixed += [(name, function, False, None, None) for name, function in self.unknown.items()]
+        fixed = self.fixed()
         parts = [spark.createDataFrame(fixed, STATUS_SCHEMA)] if fixed else []
         if self.masked:
             one = self.working.agg(*self._counts())
@@ -76,6 +75,10 @@ class MaskPlan:
             status = status.unionByName(part)
         return status
 
+    def fixed(self) -> list[tuple]:
+        """The status of columns that need no count."""
+        return [(name, "delete", True, None, None) for name in self.dropped] + [(name, function, False, None, None) for name, function in self.unknown.items()]
+
     def observed(self) -> tuple[DataFrame, Observation]:
         """The masked table with the same counts taken during its own write, without another pass."""
         observation = Observation("mask_status")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+_OWNED: ContextVar[str | None] = ContextVar("owned scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = _OWNED.get() or shared_dir(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it knows it."""
+    shown = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return shown.getFileSystem(spark._jsc.hadoopConfiguration()), shown
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything that is put into the scratch folder meanwhile goes to a folder of its own, which is removed at the end,
+    also after an error. Frames made meanwhile have to be written before."""
+    folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _OWNED.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNED.reset(token)
+        files, path = file_system(spark, folder)
+        files.delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -10,22 +10,25 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskflow.session import file_system
+
 LAYOUT = 1  # of what is kept; another number makes all versions anew
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names anything."""
+    files, shown = file_system(spark, path)
+    return bool(files.globStatus(shown))
+
+
 def files_at(spark: SparkSession, path: str) -> DataFrame | None:
     """(path, length, modificationTime) of the files at a path, or None if there is nothing."""
-    try:
-        found = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not is_there(spark, path):
         return None
-    return found
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
 def fingerprint(files: DataFrame, *more: str) -> str:
@@ -37,12 +40,8 @@ def fingerprint(files: DataFrame, *more: str) -> str:
 
 def published(spark: SparkSession, folder: str, version: str) -> str | None:
     """The path of a whole version."""
-    try:
-        return spark.read.schema("path string").parquet(f"{folder}/published/{version}-*").agg(F.min("path")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    marks = f"{folder}/published/{version}-*"
+    return spark.read.schema("path string").parquet(marks).agg(F.min("path")).first()[0] if is_there(spark, marks) else None
 
 
 def cached(spark: SparkSession, folder: str, name: str, mark: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.draws import below, one_of
 from maskflow.operators.slots import Slots, build_slots
-from maskflow.sources.cache import cached, files_at, fingerprint
+from maskflow.sources.cache import cached, files_at, fingerprint, is_there
 from maskflow.sources.files import read_csv
 
 ADDRESS_SCHEMA = "str_name string, hausnr int, hausnr_zus string, plz int, ort string"
@@ -135,7 +135,7 @@ def lookup_table(spark: SparkSession, folder: str, name: str, schema: str, cache
     A changed CSV file makes a new version. Names are summed up whether the file has weights or a row for each bearer.
     """
     root = folder.rstrip("/")
-    if files_at(spark, f"{root}/{name}.parquet") is not None:
+    if is_there(spark, f"{root}/{name}.parquet"):
         return _clean(spark.read.parquet(f"{root}/{name}.parquet"), schema, f"{root}/{name}.parquet")
     path = f"{root}/{name}.csv"
     files = files_at(spark, path)
@@ -214,7 +214,7 @@ class Lookups:
             lookup_table(spark, root, "first_names", FIRST_NAME_SCHEMA, cache),
             lookup_table(spark, root, "last_names", LAST_NAME_SCHEMA, cache),
             lookup_table(spark, root, "addresses", ADDRESS_SCHEMA, cache),
-            read_postcodes(spark, f"{root}/postcodes.csv") if files_at(spark, f"{root}/postcodes.csv") is not None else None,
+            read_postcodes(spark, f"{root}/postcodes.csv") if is_there(spark, f"{root}/postcodes.csv") else None,
         )
 
     @cached_property
