@@ -45,6 +45,15 @@ TYPED = {
     "labels": ["doc_id", "quality", "toxic"],
     "conversations": ["conv_id", "turn", "role", "text"],
 }
+MORE_TYPED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+}
 
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,18 +98,29 @@ def detect_types_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_types(messy(spark, sf_dir))
 
 
-@register(
-    "detect_types_tables",
-    " UNION ALL ".join(f"SELECT {quote(t)} AS source, * FROM ({table_sql(t, cs)})" for t, cs in TYPED.items()),
-)
-def detect_types_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [detect_types(table(spark, sf_dir, t, cs)).select(F.lit(t).alias("source"), "*") for t, cs in TYPED.items()]
+def tables_sql(tables: dict[str, list[str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {quote(t)} AS source, * FROM ({table_sql(t, cs)})" for t, cs in tables.items())
+
+
+def types_of(spark: SparkSession, sf_dir: str, tables: dict[str, list[str]]) -> DataFrame:
+    parts = [detect_types(table(spark, sf_dir, t, cs)).select(F.lit(t).alias("source"), "*") for t, cs in tables.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+@register("detect_types_tables", tables_sql(TYPED))
+def detect_types_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types_of(spark, sf_dir, TYPED)
+
+
+@register("detect_types_more_tables", tables_sql(MORE_TYPED))
+def detect_types_more_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other tables, with long texts and vectors."""
+    return types_of(spark, sf_dir, MORE_TYPED)
+
+
 @register(
     "value_tests",
     f"""

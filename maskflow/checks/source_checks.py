@@ -80,9 +80,9 @@ def source_csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, f"{path}/*.csv", keep_missing_texts=True)
 
 
-def write_lines(df: DataFrame, path: str, *folders: str) -> None:
+def write_lines(df: DataFrame, path: str, *folders: str, encoding: str = "UTF-8") -> None:
     """The column `line`, which holds no line break, as it is in CSV files."""
-    plain = {"emptyValue": "", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    plain = {"encoding": encoding, "emptyValue": "", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.partitionBy(*folders).options(**plain).csv(path)
 
 
@@ -230,18 +230,26 @@ def source_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_postcodes(spark, path).drop("ord")
 
 
+QUOTED_LINE = "'> ' || regexp_replace(line, '[^\\x00-\\xFF]', '?'{flags})"
+
+
 @register(
     "source_text",
-    "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint AS lines, sum(length(replace(text, chr(10), '')))::bigint AS chars FROM conversations",
+    f"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations)
+SELECT conv_id, string_agg({QUOTED_LINE.format(flags=", 'g'")} || chr(10), '' ORDER BY turn, place) AS text FROM l GROUP BY conv_id
+""",
 )
 def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as text files, read whole, counted by line."""
+    """Each conversation as a text file, every other one in latin-1, read back whole."""
     path = scratch_path(spark, "texts")
-    table(spark, sf_dir, "conversations").select("text").write.text(path)
-    # Every line ends with a line feed.
-    lines = F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1))
-    documents = read_text_documents(spark, f"{path}/*.txt").select(lines.alias("line"))
-    return documents.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    lines = lines.select("conv_id", "turn", "place", F.expr(QUOTED_LINE.replace("\\x", "\\\\x").format(flags="")).alias("line"))
+    for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        half = lines.where(F.col("conv_id") % 2 == rest).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place")
+        write_lines(half.select("conv_id", "line"), f"{path}/{rest}", "conv_id", encoding=encoding)
+    documents = read_text_documents(spark, f"{path}/*/*/*.csv")
+    return documents.select(F.regexp_extract("doc_id", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), "text")
 
 
 @register(
