@@ -6,6 +6,7 @@ from its beginning. Cells are decoded one by one, so a byte that does not fit th
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -192,7 +193,8 @@ def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: lis
     where it holds each column. Nothing about single files reaches the driver."""
     headers = spark.createDataFrame([(i, found["header"], found["separator"]) for i, found in enumerate(layouts)], "layout int, header string, separator string")
     separators = sorted({found["separator"] for found in layouts})
-    most = 1 + max(found["header"].count(found["separator"]) for found in layouts)
+    headings = [next(csv.reader([found["header"]], delimiter=found["separator"]), [""]) for found in layouts]
+    most = max(map(len, headings))
 
     def by_separator(text: Column) -> Column:
         chosen = None
@@ -201,12 +203,10 @@ def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: lis
             chosen = F.when(*arm) if chosen is None else chosen.when(*arm)
         return chosen
 
-    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: ~more_cells(F.col("header"), F.col("separator"), n))[0]
-    parsed = {r["layout"]: r["cells"][: r["width"]] for r in headers.select("layout", by_separator(F.col("header")).alias("cells"), fits.alias("width")).collect()}
     columns: dict[str, str] = {}
     places = []
     for i in range(len(layouts)):
-        names = _header_names(parsed[i])
+        names = _header_names(headings[i])
         for name in names:
             columns.setdefault(name.lower(), name)
         places.append((i, len(names), {name.lower(): at for at, name in enumerate(names)}))
@@ -214,7 +214,7 @@ def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: lis
 
     numbered = facts.join(F.broadcast(headers.select("layout", F.col("header").alias("_header"), F.col("separator").alias("_separator"))), F.expr("header = _header and separator = _separator"))
     files = numbered.select(F.xxhash64("file").alias("file_key"), "separator", "layout")
-    count = facts.count()
+    count = sum(found["files"] for found in layouts)
     found = records(read_lines(spark, path), files, count, breaks)
     small = count * ROW_BYTES <= BROADCAST_BYTES
     rows = found.join(F.broadcast(files) if small else files, "file_key").join(F.broadcast(table), "layout")
@@ -245,7 +245,7 @@ def read_csv(spark: SparkSession, path: str, keep_missing_texts: bool = False, m
     """
     # Written, as the lines are read for them: a row for each file, with its header.
     facts = materialise(file_facts(spark, path).select("path", "file", "extension", "header", "separator", "breaks"), "file-facts")
-    layouts = facts.groupBy("extension", "header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks")).orderBy("path").collect()
+    layouts = facts.groupBy("extension", "header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks"), F.count("*").alias("files")).orderBy("path").collect()
     if not layouts:
         raise FileNotFoundError(path)
     for found in layouts:
@@ -284,7 +284,7 @@ def read_delimited_documents(spark: SparkSession, path: str, tab: bool = False)
     """
     separator = "\t" if tab else ","
     facts = materialise(file_facts(spark, path).select("path", "file", "header", F.lit(separator).alias("separator"), "breaks"), "file-facts")
-    layouts = facts.groupBy("header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks")).orderBy("path").collect()
+    layouts = facts.groupBy("header", "separator").agg(F.min("path").alias("path"), F.bool_or("breaks").alias("breaks"), F.count("*").alias("files")).orderBy("path").collect()
     if any(found["breaks"] for found in layouts):
         raw = _read_layouts(spark, path, facts, layouts, True, True, None)
     else:
