@@ -28,7 +28,7 @@ class Settings:
     noise: int = 64  # noise words, shared by a batch
     batch: int = 2048
     rate: float = 0.1
-    warm_docs: int = 1500  # bounded sample that the model starts from before it sees all training texts
+    warm_docs: int = 1500  # bounded sample that the model starts from before it sees all training texts, at most so many
     warm_chars: int = 4000
     warm_passes: int = 4
     slices: int = 16  # parts of the model that are averaged by different tasks
@@ -224,19 +224,31 @@ def class_shares(words: Vocabulary, settings: Settings) -> np.ndarray:
     return shares / shares.sum()
 
 
+def warm_sample(docs: DataFrame, settings: Settings, rows: int) -> list[str]:
+    """Openings of the `warm_docs` rows with the smallest hashes, of which about twice as many pass a bound first.
+
+    The bound follows from the number of `rows`, so that what leaves the tasks does not grow with their number; rows
+    that are equal count once.
+    """
+    pick = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    kept = docs.select(pick.alias("h"), F.substring("text", 1, settings.warm_chars).alias("text"))
+    if rows > 2 * settings.warm_docs:
+        kept = kept.where(F.col("h") < int(-(1 << 63) + (1 << 64) * 2 * settings.warm_docs // rows))
+    few = kept.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(settings.warm_docs)
+    return [r.text for r in few.collect()]
+
+
 def train(docs: DataFrame, words: Vocabulary, settings: Settings) -> Model:
     """A start on a bounded sample, then one pass over all training texts, every task for itself; models are averaged."""
     shares = class_shares(words, settings)
     model = Model.start(shares, settings.width)
     k, width = settings.classes, settings.width
-    sample = docs.orderBy(F.xxhash64("text")).limit(settings.warm_docs).select(F.substring("text", 1, settings.warm_chars).alias("text")).toPandas()
     coder = Coder(words, settings)
-    if not len(sample):
-        return model
-    ids = np.concatenate([coder.classes(*coder.places(t)) for t in sample.text])
-    trainer = Trainer(model, shares, settings, 1)
-    for _ in range(settings.warm_passes):
-        trainer.learn(ids)
+    if sample := warm_sample(docs, settings, words.ends):
+        ids = np.concatenate([coder.classes(*coder.places(t)) for t in sample])
+        trainer = Trainer(model, shares, settings, 1)
+        for _ in range(settings.warm_passes):
+            trainer.learn(ids)
     start = model.flat()
 
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
