@@ -6,6 +6,7 @@ import hashlib
 import html as html_module
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,6 +175,40 @@ def test_shared_lines_of_the_nearest_page_go(spark):
     assert out == {1: "first & one", 2: "second", 3: "Home of things\nalone\nAll rights", 4: "", 5: "first & one"}
 
 
+def plain_markup(source):
+    """Comments, raw elements and tags by one pattern; fine on short texts, quadratic on broken long ones."""
+    raw = "script|style|noscript|template|svg|textarea|title|iframe"
+    pattern = (
+        rf"""<!--.*?(?:-->|\Z)|<({raw})\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+        r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>"""
+    )
+    return [(m.start(), m.end(), m[2] or m[5] or "", (m[3] or m[6] or "").lower(), m[4] or m[7] or "") for m in re.finditer(pattern, source, re.S | re.I)]
+
+
+def test_markup_of_broken_pages_equals_the_plain_pattern():
+    draw = np.random.default_rng(5)
+    atoms = ["<", ">", '"', "'", "/", "a", "<a ", "</a>", "<script", "</script >", "<!--", "-->", "<!", "<?", " ", "=", "<title>", "</title", "<svg-x", "\n"]
+    for _ in range(5000):
+        source = "".join(atoms[k] for k in draw.integers(0, len(atoms), draw.integers(0, 25)))
+        assert list(html.tokens_of(source)) == plain_markup(source)
+
+
+@pytest.mark.parametrize("piece", ["<a", "<script", "</", "<!--", "<a \"'><a '\">", '<p class="', "</script ", "<title>x</title"])
+def test_long_broken_pages_take_linear_time(piece):
+    source = piece * (1_000_000 // len(piece))
+    begun = time.process_time()
+    html.lines_of("<p>before</p>" + source)
+    assert time.process_time() - begun < 5
+
+
+def test_long_character_references():
+    assert html.lines_of("<p>&#" + "0" * 9000 + "65; &#" + "9" * 9000 + "; &amp; &#x42;</p>")[0] == ["A \ufffd & B"]
+
+
+def test_pages_without_rows(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_common_lines_are_longest():
     draw = np.random.default_rng(3)
     for _ in range(60):
@@ -377,6 +412,16 @@ def test_language_model(spark, sf_dir, docs, odd):
     assert lm.score(odd).count() == odd.count() and lm.score(odd.limit(0)).count() == 0
 
 
+def test_warm_sample_is_bounded(spark):
+    rows = [(k, f"text {k} " + "x" * 50) for k in range(3000)] + [(7, "copy")] * 3000 + [(None, None)] * 20
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    settings = lm.Settings(warm_docs=100, warm_chars=9)
+    few = lm.warm_sample(table, settings, len(rows))
+    assert 50 <= len(few) <= 100 and all(len(t or "") <= 9 for t in few)
+    assert sorted(few, key=str) == sorted(lm.warm_sample(table.repartition(3), settings, len(rows)), key=str)
+    assert len(lm.warm_sample(table.limit(5), settings, 5)) <= 5 and lm.warm_sample(table.limit(0), settings, 0) == []
+
+
 def test_language_model_is_normalised():
     draw = np.random.default_rng(1)
     model = lm.Model(*[draw.normal(size=(9, 4)).astype(np.float32) for _ in range(3)], draw.normal(size=9).astype(np.float32))
