@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskflow.functions.names import column as named
+from maskflow.functions.running import placed
 
 # Particles inside a name, and first words that no name begins with.
 PARTICLES = ["von", "van", "de", "der", "den", "di", "du", "le", "la"]
@@ -172,14 +173,6 @@ def redact_table(
     return df
 
 
-def _place(state: Column, pair: Column) -> Column:
-    """The hits so far with the next one, which follows its gap; the last gap has none."""
-    start = state["at"] + pair["gap"]
-    hit = F.struct(start.alias("start"), pair["hit"].alias("text"))
-    listed = F.when(pair["hit"].isNull(), state["hits"]).otherwise(F.array_append(state["hits"], hit))
-    return F.struct((start + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("at"), listed.alias("hits"))
-
-
 def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redaction | None = None) -> DataFrame:
     """One row per entity: id, entity, zero-based start and end, text, score.
 
@@ -190,13 +183,12 @@ def entity_spans(df: DataFrame, id_column: str, text_column: str, rule: Redactio
     for entity in rule.active():
         pattern = PATTERNS[entity]
         value = named(text_column)
-        gaps = F.transform(F.split(value, pattern, -1), F.length)
-        pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(value, F.lit(pattern), F.lit(0)).alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("hits"))
-        hits = F.aggregate(pairs, start, _place, lambda state: state["hits"])
-        placed = df.filter(value.rlike(pattern)).select(named(id_column).alias(id_column), F.explode(hits).alias("hit"))
-        placed = placed.select(named(id_column), F.col("hit.start").alias("start"), F.col("hit.text").alias("text"))
-        spans = placed.filter(_keep_span(entity, F.col("text"), rule)).select(
+        hits = F.filter(placed(value, pattern), lambda p: p["whole"].isNotNull())
+        rows = df.filter(value.rlike(pattern)).select(named(id_column).alias(id_column), F.explode(hits).alias("hit"))
+        rows = rows.select(
+            named(id_column), (F.col("hit.at") + F.length("hit.before")).alias("start"), F.col("hit.whole").alias("text")
+        )
+        spans = rows.filter(_keep_span(entity, F.col("text"), rule)).select(
             named(id_column).alias(id_column),
             F.lit("PERSON" if entity == "PERSON_SIMPLE" else entity).alias("entity"),
             "start",
