@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.functions.running import once, placed, running
+
 # The three plain patterns, the group whose length counts, and the least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -26,7 +28,8 @@ WEAK = (
 KINDS = [b[0] for b in BASE] + [w[0] for w in WEAK]
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {w[0]: w[1] for w in WEAK}
 BREAK = r"\n[ \t\r]*\n"  # an empty line ends a scope
-WINDOW = 200  # code points between the parts of one credential, where a caller wants less than the whole scope
+BIN = 4096  # code points of a bin, by which parts meet their scope, and of the pieces that a text is cut from
+FAR = (1 << 31) - 1
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -35,26 +38,14 @@ def holds(text: Column, kind: str, pattern: str) -> Column:
 
 
 def matches(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """Spans (start, kind, end) of all matches, in code points; a match stands between two pieces of the split text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("before"),
-        found.alias("whole"),
-        (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found).alias("counted"),
-    )
+    """Spans (start, kind, end) of all matches, in code points."""
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["before"])
-        end = start + F.length(part["whole"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        kept = F.length(part["counted"]) >= least
-        return F.when(part["whole"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.when(kept, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-        )
+    def span(part: Column) -> Column:
+        start = part["at"] + F.length(part["before"])
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(part["whole"])).alias("end"))
 
-    none = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(holds(text, kind, pattern), F.aggregate(parts, zero, add, lambda s: s["spans"])).otherwise(none)
+    kept = F.filter(placed(text, pattern, group), lambda p: p["whole"].isNotNull() & (F.length(p["counted"]) >= least))
+    return F.when(holds(text, kind, pattern), F.transform(kept, span)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -70,68 +61,53 @@ def _holds(text: Column, role: str) -> Column:
     return tests[0] | tests[1]
 
 
-def _code(kinds: list[str]) -> list[int]:
-    return [KINDS.index(k) for k in kinds]
+def _of(spans: str, kinds: list[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin([KINDS.index(k) for k in kinds]))
 
 
-def _of(spans: str, kinds: list[str]) -> Column:
-    return F.filter(spans, lambda s: s["kind"].isin(_code(kinds)))
+def free_spans(spans: Column) -> Column:
+    """The weak ones of `spans` that no plain one overlaps, by one sweep in each direction over the sorted spans."""
 
+    def sweep(listed: Column) -> Column:
+        def plain(s: Column) -> Column:
+            return s["kind"] < len(BASE)
 
-def linked_spans(docs: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
+        ends = running(F.transform(listed, lambda s: F.when(plain(s), s["end"]).otherwise(-1)), F.greatest, F.lit(-1))
+        starts = F.transform(F.reverse(listed), lambda s: F.when(plain(s), s["start"]).otherwise(FAR))
+        after = F.reverse(running(starts, F.least, F.lit(FAR)))
+        both = F.arrays_zip(listed.alias("span"), ends.alias("before"), after.alias("after"))
+        clear = F.filter(both, lambda x: ~plain(x["span"]) & (x["before"] <= x["span"]["start"]) & (x["after"] >= x["span"]["end"]))
+        return F.transform(clear, lambda x: x["span"])
+
+    return once(F.array_sort(spans), sweep)
+
+
+def linked_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Weak spans per `key` of `docs` (columns key, base and the text) that have their complement in the same scope.
 
-    Scopes end at empty lines. An identifier or endpoint counts beside a secret, a secret beside an identifier or
-    endpoint anywhere in the scope: two flags of the scope decide, without pairs. With a `window`, only parts at most
-    so many code points away count, joined on the key, the scope and bins of `window` code points. Spans of one kind do
-    not overlap, so that a part meets a bounded number of others in a bin.
+    Scopes end at empty lines, which no part holds. Scopes and parts are intervals of a text: a part is joined to the
+    scope that holds its start, by bins of `BIN` code points. An identifier or endpoint counts beside a secret, a
+    secret beside an identifier or endpoint anywhere in the scope: each scope's parts are gathered once, without pairs.
     """
     column = F.col(text)
-    body = F.arrays_zip(
-        F.split(column, BREAK, -1).alias("block"), F.regexp_extract_all(column, F.lit(BREAK), F.lit(0)).alias("gap")
+    found = docs.withColumns({f"_{kind}": matches(column, kind, pattern) for kind, _, pattern in WEAK})
+    found = found.withColumn("free", free_spans(F.concat("base", *[F.col(f"_{w[0]}") for w in WEAK])))
+    parts = found.select("key", F.explode(F.concat("base", "free")).alias("span"))
+    parts = parts.withColumn("bin", F.floor(F.col("span.start") / BIN))
+    scopes = docs.select("key", F.explode(placed(column, BREAK)).alias("s"))
+    scopes = scopes.select("key", F.col("s.at").alias("from"), (F.col("s.at") + F.length("s.before")).alias("to")).where("from < to")
+    scopes = scopes.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / BIN), F.floor((F.col("to") - 1) / BIN))))
+    held = parts.join(scopes, ["key", "bin"]).where((F.col("span.start") >= F.col("from")) & (F.col("span.start") < F.col("to")))
+    secret = F.col("span.kind").isin([KINDS.index(k) for k in KINDS if ROLES[k] == "secret"])
+    weak = F.when(F.col("span.kind") >= len(BASE), F.col("span"))
+    groups = held.groupBy("key", "from").agg(
+        F.bool_or(secret).alias("secret"), F.bool_or(~secret).alias("other"), F.collect_list(weak).alias("weak")
     )
+    linked = groups.where("secret and other and size(weak) > 0")
+    return linked.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("weak"))).alias("linked"))
 
-    def place(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part["block"])
-        block = F.struct(state["at"].alias("at"), part["block"].alias("block"))
-        return F.struct((end + F.coalesce(F.length(part["gap"]), F.lit(0))).alias("at"), F.array_append(state["list"], block).alias("list"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,block:string>>").alias("list"))
-    blocks = docs.select("key", "base", F.posexplode(F.aggregate(body, start, place, lambda s: s["list"])).alias("scope", "b"))
-    blocks = blocks.select("key", "scope", "base", F.col("b.at").alias("at"), F.col("b.block").alias("block"))
-    own = F.filter("base", lambda s: (s["start"] >= F.col("at")) & (s["start"] < F.col("at") + F.length("block")))
-    blocks = blocks.withColumns({"own": own} | {f"_{kind}": matches(F.col("block"), kind, pattern) for kind, _, pattern in WEAK})
-    weak = F.transform(
-        F.concat(*[F.col(f"_{w[0]}") for w in WEAK]),
-        lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["kind"].alias("kind"), (s["end"] + F.col("at")).alias("end")),
-    )
-    free = F.filter(weak, lambda s: ~F.exists("own", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    if window is None:
-        secrets = _code([k for k in KINDS if ROLES[k] == "secret"])
-        blocks = blocks.select("key", "own", free.alias("free")).withColumn("parts", F.concat("own", "free"))
-        blocks = blocks.withColumns({
-            "secret": F.exists("parts", lambda s: s["kind"].isin(secrets)), "other": F.exists("parts", lambda s: ~s["kind"].isin(secrets))
-        })
-        held = F.filter("free", lambda s: F.when(s["kind"].isin(secrets), F.col("other")).otherwise(F.col("secret")))
-        spans = blocks.where("secret and other").select("key", F.explode(held).alias("span"))
-        return spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("linked"))
-    parts = blocks.select("key", "scope", F.explode(F.concat("own", free)).alias("s")).select("key", "scope", "s.*")
-    secret = F.col("kind").isin(_code([k for k in KINDS if ROLES[k] == "secret"]))
-    parts = parts.withColumn("secret", secret)
-    reach = F.sequence(F.floor((F.col("start") - window) / window), F.floor((F.col("end") + window) / window))
-    held = F.sequence(F.floor(F.col("start") / window), F.floor(F.col("end") / window))
-    asked = parts.where(F.col("kind") >= len(BASE)).withColumn("bin", F.explode(reach))
-    given = parts.select("key", "scope", "secret", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(held).alias("bin"))
-    near = (F.col("asked.start") - F.col("given.e") <= window) & (F.col("given.s") - F.col("asked.end") <= window)
-    same = [F.col(f"asked.{c}").eqNullSafe(F.col(f"given.{c}")) for c in ("key", "scope", "bin")]
-    pairs = asked.alias("asked").join(
-        given.alias("given"), same[0] & same[1] & same[2] & (F.col("asked.secret") != F.col("given.secret")) & near, "left_semi"
-    )
-    span = F.struct("start", "kind", "end")
-    return pairs.select("key", span.alias("span")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("linked"))
 
-
-def scan(docs: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `base` and `spans` (base and linked weak spans), arrays of (start, kind, end), ends exclusive.
 
     Rows need no id: documents that can hold a pair are known by a digest of their text, so that repeated rows, null
@@ -145,7 +121,7 @@ def scan(docs: DataFrame, text: str = "text", window: int | None = None) -> Data
     key = F.when(open_, F.sha2(whole, 256)).otherwise(F.monotonically_increasing_id().cast("string"))
     marked = marked.withColumns({"key": key, "_open": open_})
     asked = marked.where("_open").select("key", "base", whole.alias("body")).groupBy("key").agg(F.first("base").alias("base"), F.first("body").alias("body"))
-    linked = linked_spans(asked, "body", window)
+    linked = linked_spans(asked, "body")
     joined = marked.join(linked, "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))
     return joined.withColumn("spans", spans).drop("key", "_open", "linked")
@@ -157,27 +133,38 @@ def shown(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def digest(docs: DataFrame, window: int | None = WINDOW) -> DataFrame:
-    """doc_id, the counts of the plain kinds, base_sha256 and spans of every row; `window` as in `linked_spans`."""
-    found = scan(docs.select("doc_id", "text"), window=window)
+def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts of the plain kinds, base_sha256 and spans of every row."""
+    found = scan(docs.select("doc_id", "text"))
     counts = [F.size(_of("base", [b[0]])).cast("long").alias(f"n_{b[0]}") for b in BASE]
     return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with `mark` for each run of overlapping spans, which are sorted by start; cut from pieces of `BIN` code points."""
+
+    def rebuilt(pieces: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / BIN).cast("int")
+            held = F.slice(pieces, first + 1, F.greatest(F.ceil(end / BIN).cast("int") - first, F.lit(0)))
+            return once(F.array_join(held, ""), lambda t: F.substr(t, start - first * BIN + 1, end - start))
+
+        # Where a span begins before the end of an earlier one, there is nothing between them and no mark of its own.
+        reached = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+        parts = F.zip_with(
+            spans, reached, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit(mark))).otherwise("")
+        )
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), once(last, lambda at: between(at, F.greatest(at, F.length(text)))))
+
+    return once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BIN}}}"), F.lit(0)), rebuilt)
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span of `scan` replaced by `mark`; overlapping spans become one mark. Null texts stay null."""
     column = F.col(text)
-
-    def cut(state: Column, span: Column) -> Column:
-        ahead = span["start"] >= state["at"]
-        between = F.substr(column, state["at"] + 1, span["start"] - state["at"])
-        out = F.when(ahead, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", zero, cut, lambda s: F.concat(s["out"], F.substr(column, s["at"] + 1, F.length(column))))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text))  # no name can clash
-    found = scan(kept, text).withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(column))
+    found = scan(kept, text).withColumn(text, F.when(F.size("spans") > 0, masked(column, F.col("spans"), mark)).otherwise(column))
     return found.select(*[column if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
