@@ -263,7 +263,8 @@ def location(name: str, p: dict, ctx: GenerateContext) -> Generated:
         place = postcodes.groupBy(F.col("plz_postleitzahl").cast("string").alias("__plz")).agg(
             F.min_by("gemeinde_name", "ord").alias(f"__place_{name}")
         )
-        joined = slots.join(ctx.stage.df, place, named(key).cast("string") == F.col("__plz"))
+        area = named(key).cast("string")
+        joined = slots.join(ctx.stage.df, place, area == F.col("__plz"), area.isNull())
         ctx.stage.df = joined.drop("__plz")
         return single(name, named(f"__place_{name}"))
     wanted = p.get("canton")

@@ -16,11 +16,16 @@ def row_hash(d: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in fields])
 
 
-def salted_join(df: DataFrame, table: DataFrame, same: Column, salts: int) -> DataFrame:
+def salted_join(df: DataFrame, table: DataFrame, same: Column, salts: int, alone: Column | None = None) -> DataFrame:
     """Left join with a lookup that is too large to broadcast: rows are dealt over `salts` copies of it, so that no key,
-    null included, brings more than its share of 1/salts of the rows that have it to one task."""
-    d = df.withColumn("__join_salt", F.pmod(row_hash(df), F.lit(salts)).cast("int"))
-    copies = table.withColumn("__join_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    null included, brings more than its share of 1/salts of the rows that have it to one task. Rows that are `alone`
+    match nothing and are dealt over as many salts as there may be tasks.
+
+    Spark would judge the copies by the size of the file that the table comes from, and broadcast them.
+    """
+    dealt = F.lit(salts) if alone is None else F.when(alone, NULL_SALTS).otherwise(salts)
+    d = df.withColumn("__join_salt", F.pmod(row_hash(df), dealt).cast("int"))
+    copies = table.withColumn("__join_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return d.join(copies, same & (F.col("__join_salt") == F.col("__join_copy")), "left").drop("__join_salt", "__join_copy")
 
 

@@ -116,7 +116,7 @@ def gender_of(name: str, ctx: MaskContext) -> Column:
     """The usual gender of a first name; unknown names ending in `a` are female, others male."""
     known = ctx.lookups.gender_of_name.select(F.col("vorname").alias("__gender_name"), F.col("geschlecht").alias("__gender"))
     value = ctx.value(name).cast("string")
-    ctx.stage.df = ctx.lookups.first_name_slots().join(ctx.stage.df, known, value == F.col("__gender_name"))
+    ctx.stage.df = ctx.lookups.first_name_slots().join(ctx.stage.df, known, value == F.col("__gender_name"), value.isNull())
     guess = F.when(value.endswith("a"), F.lit("F")).otherwise(F.lit("M"))
     gender = ctx.stage.keep(F.when(value.isNotNull(), F.coalesce(F.col("__gender"), guess)))
     ctx.stage.df = ctx.stage.df.drop("__gender", "__gender_name")
@@ -348,7 +348,7 @@ def blur_address(name: str, p: dict, ctx: MaskContext) -> Column:
     key = ctx.stage.keep(F.concat(road, F.lit("|"), area))
     total = ctx.stage.name()
     sizes = streets.totals.select(F.col("__slot_group").alias("__blur_group"), F.col("__slot_total").alias(total))
-    ctx.stage.df = streets.join_totals(ctx.stage.df, sizes, key == F.col("__blur_group")).drop("__blur_group")
+    ctx.stage.df = streets.join_totals(ctx.stage.df, sizes, key == F.col("__blur_group"), key.isNull()).drop("__blur_group")
     near = ctx.pick(streets, draws.draw(dg, 0), key)
     far = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg, 1), area)
     elsewhere = F.coalesce(address_text(far), library_street_address(dg))

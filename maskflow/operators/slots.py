@@ -18,9 +18,9 @@ from maskflow.operators.ranks import bucket_digits, positions
 from maskflow.session import BROADCAST_BYTES
 
 MAX_BLOCKS = 1 << 20
-# A lookup that is not broadcast is copied so often that hot values and areas are dealt over that many tasks; up to
-# 16 GiB of copies are worth that for any table that needs such a lookup.
-COPIES_BYTES, LEAST_COPIES, MOST_COPIES = 16 << 30, 8, 64
+# A lookup that is not broadcast is copied so often that hot values and areas are dealt over that many tasks. Every copy
+# is shuffled, so there are few.
+COPIES = 8
 GROUP_BYTES = 64  # of a row of totals, about
 
 _GROUP = "__slot_group"
@@ -52,14 +52,14 @@ class Slots:
     small: bool
     values: tuple[str, ...]
     few_groups: bool = True
-    copies: int = LEAST_COPIES
+    copies: int = COPIES
 
-    def join(self, df: DataFrame, table: DataFrame, same: Column) -> DataFrame:
-        """`df` left joined with a table no larger than this lookup."""
-        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies)
+    def join(self, df: DataFrame, table: DataFrame, same: Column, alone: Column | None = None) -> DataFrame:
+        """`df` left joined with a table no larger than this lookup; rows that are `alone` match nothing."""
+        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies, alone)
 
-    def join_totals(self, df: DataFrame, totals: DataFrame, same: Column) -> DataFrame:
-        return df.join(F.broadcast(totals), same, "left") if self.few_groups else salted_join(df, totals, same, self.copies)
+    def join_totals(self, df: DataFrame, totals: DataFrame, same: Column, alone: Column | None = None) -> DataFrame:
+        return df.join(F.broadcast(totals), same, "left") if self.few_groups else salted_join(df, totals, same, self.copies, alone)
 
 
 def build_slots(
@@ -119,8 +119,7 @@ def _from_intervals(
     if totals is None:
         table = table.drop(_GROUP)
     expected = (min(total, max_blocks) + count) * (int(chars) * 2 + 48)
-    copies = max(LEAST_COPIES, min(MOST_COPIES, COPIES_BYTES // max(1, expected)))
-    return Slots(table, totals, total, width, expected <= limit, tuple(values), copies=copies)
+    return Slots(table, totals, total, width, expected <= limit, tuple(values))
 
 
 def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: int) -> Slots:
@@ -145,7 +144,8 @@ def pick(
         totals = slots.totals.select(F.col(_GROUP).alias("__pick_total_group"), F.col(_TOTAL).alias("__pick_total"))
         # Tied to the draw: a constant group would be folded away and leave a join without a key.
         d = d.withColumn("__pick_group", F.when(draw >= 0, group.cast("string")))
-        d = slots.join_totals(d, totals, F.col("__pick_group") == F.col("__pick_total_group"))
+        unknown = F.col("__pick_group").isNull()
+        d = slots.join_totals(d, totals, F.col("__pick_group") == F.col("__pick_total_group"), unknown)
         total: Column = F.col("__pick_total")
     else:
         total = F.lit(slots.total if slots.total else None).cast("bigint")
@@ -156,7 +156,7 @@ def pick(
     if group is not None:
         table = table.withColumnRenamed(_GROUP, "__pick_table_group")
         condition = condition & (F.col("__pick_group") == F.col("__pick_table_group"))
-    d = slots.join(d, table, condition)
+    d = slots.join(d, table, condition, F.col("__pick_block").isNull())
     if slots.width == 1:
         chosen = F.col("__slot_value")
     else:
