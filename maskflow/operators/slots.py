@@ -1,9 +1,9 @@
 """Weighted picks from lookup tables by equi-join.
 
 Every lookup row owns an interval of integers as long as its weight. A draw modulo the total lands in one
-interval, which is found by an equi-join on `(group, block)`. With at most `MAX_BLOCKS` integers a block is
-a single one; above that a block covers several and holds the few intervals that touch it, so the table
-stays bounded and the weights stay exact.
+interval, which is found by an equi-join on `(group, block)`. With few integers for the rows there are, and at most
+`MAX_BLOCKS`, a block is a single one; above that a block covers several and holds the few intervals that touch it, so
+the table stays bounded and the weights stay exact.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from maskflow.operators.ranks import bucket_digits, positions
 from maskflow.session import BROADCAST_BYTES
 
 MAX_BLOCKS = 1 << 20
+# Few rows need few blocks whatever their weights: with four a row, a draw looks at a quarter more than one interval.
+LEAST_BLOCKS, BLOCKS_PER_ROW = 4096, 4
 # A lookup that is not broadcast is copied so often that hot values and areas are dealt over that many tasks. Every copy
 # is shuffled, so there are few.
 COPIES = 8
@@ -103,7 +105,8 @@ def build_slots(
 def _from_intervals(
     placed: DataFrame, values: list[str], totals: DataFrame | None, count: int, total: int, chars: float, max_blocks: int, limit: int
 ) -> Slots:
-    width = max(1, -(-total // max_blocks))
+    most = min(max_blocks, max(LEAST_BLOCKS, BLOCKS_PER_ROW * count))
+    width = max(1, -(-total // most))
     blocks = placed.withColumn(
         _BLOCK,
         F.explode(
@@ -118,7 +121,7 @@ def _from_intervals(
         table = blocks.groupBy(_GROUP, _BLOCK).agg(F.collect_list(piece).alias(_PIECES))
     if totals is None:
         table = table.drop(_GROUP)
-    expected = (min(total, max_blocks) + count) * (int(chars) * 2 + 48)
+    expected = (min(total, most) + count) * (int(chars) * 2 + 48)
     return Slots(table, totals, total, width, expected <= limit, tuple(values))
 
 

@@ -32,3 +32,17 @@ def test_copies_do_not_grow_with_the_room_for_them(spark):
     assert build_slots(lookup, ["v"], weight=F.col("n"), broadcast_bytes=0).copies == COPIES == 8
 
 
+def test_few_rows_of_large_weights_need_few_blocks(spark):
+    lookup = spark.createDataFrame([("x", 1), ("y", 1_999_998), ("z", 1)], "v string, n int")
+    slots = build_slots(lookup, ["v"], weight=F.col("n"))
+    assert slots.small and slots.table.count() <= 4096
+    got = pick(spark.range(0, 2_000_000), slots, F.col("id"), "p", position=True).groupBy("p.v").count().collect()
+    assert {r["v"]: r["count"] for r in got} == {"x": 1, "y": 1_999_998, "z": 1}
+
+
+def test_ordered_groups_of_many_rows_need_few_blocks(spark):
+    counts = spark.createDataFrame([(k, 900_000) for k in range(10)], "place long, n long")
+    slots = slots_in_order(counts, "place", "n", 10, 9_000_000)
+    assert slots.small and slots.table.count() <= 4096
+
+
