@@ -46,3 +46,14 @@ def test_ordered_groups_of_many_rows_need_few_blocks(spark):
     assert slots.small and slots.table.count() <= 4096
 
 
+def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
+    for path in ("part", "supplier"):
+        shutil.copy(f"{sf_dir}/{path}.parquet", tmp_path / f"{path}.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(40).withColumn("o_orderkey", F.col("o_orderkey") * 150_000)
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    ids = str(tmp_path / "orders.parquet" / "*.parquet")
+    con = connect(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM '{ids}'")
+    assert compare(spark, con, queries()[name], oracle_sql()[name], str(tmp_path)) == ""
+
+
