@@ -182,10 +182,9 @@ def _header_names(cells: list[str | None]) -> list[str]:
 
 
 def _cells(text: Column, separator: str, width: int) -> Column:
-    """The first `width` cells of a record, as Spark's CSV reader has them."""
+    """The first `width` cells c0, c1, ... of a record, as Spark's CSV reader has them."""
     schema = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.from_csv(text, schema, {"sep": separator, "escape": '"', "maxColumns": str(width + 20_480)})
-    return F.array(*[cells[f"c{i}"] for i in range(width)])
+    return F.from_csv(text, schema, {"sep": separator, "escape": '"', "maxColumns": str(width + 20_480)})
 
 
 def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: list, breaks: bool, keep_missing_texts: bool, surplus: str | None) -> DataFrame:
@@ -221,7 +220,9 @@ def _read_layouts(spark: SparkSession, path: str, facts: DataFrame, layouts: lis
     raw = F.col("record").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("record", "ISO-8859-1"))
     rows = rows.select("separator", "width", "places", text.alias("text"))
-    rows = rows.withColumn("cells", by_separator(F.col("text")))
+    # A column first: Spark would parse the record anew for each cell that is taken from the expression.
+    rows = rows.withColumn("parsed", by_separator(F.col("text")))
+    rows = rows.withColumn("cells", F.array(*[F.col(f"parsed.c{i}") for i in range(most)])).drop("parsed")
     rows = rows.withColumn(SURPLUS, F.when(more_cells(F.col("text"), F.col("separator"), F.col("width")), F.col("text")))
     if surplus is None:
         said = F.concat(F.lit("more cells than the header: "), F.col(SURPLUS), F.lit(" / "), F.coalesce(F.col("cells")[0], F.lit("")))

@@ -57,3 +57,11 @@ def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
     assert compare(spark, con, queries()[name], oracle_sql()[name], str(tmp_path)) == ""
 
 
+def test_records_of_many_layouts_are_parsed_once_a_separator(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("z,x,y\n6,4,5\n")
+    df = read_csv(spark, str(tmp_path / "*.csv"))
+    assert optimized(df).count("from_csv") <= 2  # for the cells, and for the check of long records
+    assert sorted(map(tuple, df.select("x", "y", "z").collect())) == [("1", "2", "3"), ("4", "5", "6")]
+
+
