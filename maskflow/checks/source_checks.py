@@ -73,16 +73,20 @@ def source_csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts in one file that is read in splits: lines of one blank, quotes before line breaks, plain quotes in other cells."""
     path = scratch_path(spark, "one-file")
     text = "replace(replace(text, '\"', '\"\"'), '\n', '\"\"\n \n')"
-    lines = table(spark, sf_dir, "documents", ["doc_id", f"concat(doc_id, ',5\" ', source, ',\"', {text}, '\n\"') AS line"]).where("line IS NOT NULL")
-    header = spark.createDataFrame([(-1, "doc_id,source,text")], "doc_id long, line string")
-    single = lines.unionByName(header).select("doc_id", F.posexplode(F.split("line", "\n", -1)).alias("place", "line"))
-    write_lines(single.coalesce(1).sortWithinPartitions("doc_id", "place").select("line"), path)
+    records = table(spark, sf_dir, "documents", [f"concat(doc_id, ',5\" ', source, ',\"', {text}, '\n\"') AS record"]).where("record IS NOT NULL")
+    write_lines(lines_of_one_file(records, "doc_id,source,text"), path, header=True)
     return read_csv(spark, f"{path}/*.csv", keep_missing_texts=True)
 
 
-def write_lines(df: DataFrame, path: str, *folders: str, encoding: str = "UTF-8") -> None:
-    """The column `line`, which holds no line break, as it is in CSV files."""
-    plain = {"encoding": encoding, "emptyValue": "", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+def lines_of_one_file(records: DataFrame, header: str) -> DataFrame:
+    """The lines of all records, in one partition and named by the header line. Those of a record follow one another as
+    they are cut, so that the one task reads its rows as they come and sorts nothing."""
+    return records.coalesce(1).select(F.explode(F.split("record", "\n", -1)).alias(header))
+
+
+def write_lines(df: DataFrame, path: str, *folders: str, encoding: str = "UTF-8", header: bool = False) -> None:
+    """The column of lines, which hold no line break, as it is in CSV files; its name may be the first line of each."""
+    plain = {"header": header, "encoding": encoding, "emptyValue": "", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.partitionBy(*folders).options(**plain).csv(path)
 
 

@@ -65,3 +65,10 @@ def test_records_of_many_layouts_are_parsed_once_a_separator(spark, tmp_path):
     assert sorted(map(tuple, df.select("x", "y", "z").collect())) == [("1", "2", "3"), ("4", "5", "6")]
 
 
+def test_the_lines_of_one_file_are_not_sorted(spark):
+    records = spark.createDataFrame([("1,a\nb",), ("2,c",)], "record string").repartition(2)
+    df = lines_of_one_file(records, "id,text")
+    assert "Sort" not in optimized(df) and df.columns == ["id,text"] and df.rdd.getNumPartitions() == 1
+    assert [r[0] for r in df.collect()] in (["1,a", "b", "2,c"], ["2,c", "1,a", "b"])
+
+
