@@ -115,27 +115,28 @@ def tokens_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
         at = source.find("<", end if end >= 0 else at + 1)
 
 
-def lines_of(source: str | None) -> tuple[list[str], bool]:
-    """The lines of a page outside menus and the like, and whether they come from an explicit article.
+def lines_of(source: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a page outside menus and the like, and for each of them the number of the innermost article or main
+    element it stands in (none on pages without such text).
 
     Where a page has text in an article or main element, the lines are that text. An element that is never closed is
     left out by itself, not with all that follows.
     """
     if not source:
-        return [], False
+        return [], []
     tokens = list(tokens_of(source))
     closes: dict[str, int] = {}
     for _, _, slash, name, _ in tokens:
         if slash:
             closes[name] = closes.get(name, 0) + 1
-    found: list[tuple[bool, list[str]]] = []
+    found: list[tuple[int, str]] = []
     block: list[str] = []
-    depth, inside, at = 0, [], 0
+    within, articles, inside, at = [0], 0, [], 0
 
     def flush() -> None:
         line = " ".join("".join(block).split())
         if line:
-            found.append((depth > 0, line))
+            found.append((within[-1], line))
         block.clear()
 
     for start, end, slash, name, attributes in tokens:
@@ -162,13 +163,27 @@ def lines_of(source: str | None) -> tuple[list[str], bool]:
             inside.append(name)
         elif name in BREAKS or name in ("article", "main"):
             flush()
-            if name in ("article", "main"):
-                depth = max(0, depth + (-1 if slash else 1))
+            if name in ("article", "main") and not slash:
+                articles += 1
+                within.append(articles)
+            elif name in ("article", "main") and len(within) > 1:
+                within.pop()
     if not inside and at < len(source):
         block.append(unescape(source[at:]))
     flush()
-    explicit = [line for within, line in found if within]
-    return (explicit, True) if explicit else ([line for _, line in found], False)
+    explicit = [(part, line) for part, line in found if part]
+    return [line for _, line in explicit or found], [part for part, _ in explicit]
+
+
+def deleted(shared: set[int], parts: list[int]) -> set[int]:
+    """Which of the shared lines are no main text. Outside explicit articles all are. An article or main element goes if
+    all its own lines are shared and another one of the page has lines that are not: teasers, or text around an article.
+    Where part of an element is shared, or all of the page as in near copies, the lines stay.
+    """
+    if not parts:
+        return shared
+    kept = {part for k, part in enumerate(parts) if k not in shared}
+    return {k for k in shared if kept and parts[k] not in kept}
 
 
 # Longest common subsequence
@@ -264,14 +279,14 @@ def neighbours(paths: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Settings:
-    keep_article: bool = True  # lines of an explicit article stay though another page has them (near copies of it do)
+    keep_article: bool = True  # lines of an article that has lines of its own stay though another page has them
 
 
 def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """page_id, url, text, n_chars (code points) and n_shared of every row of `pages`.
 
     Each page is compared with the page nearest by URL on its host: lines of a longest common subsequence of both are
-    shared (`n_shared`), and deleted unless they stand in an explicit article. Of several pages with one host and path
+    shared (`n_shared`). They are deleted; on pages with an explicit article whole elements are (see `deleted`). Of several pages with one host and path
     the one with the smallest id stands for all, and they are not compared with each other; pages without a host or
     without others on it have no shared lines. Null and empty pages give the empty text. Repeated rows give repeated rows.
     """
@@ -295,10 +310,11 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             texts, shared = [], []
             for source, other in zip(batch.html, batch.other, strict=True):
-                lines, explicit = lines_of(source)
-                gone = set(common(digests(lines), [int(x) for x in other])) if other is not None else set()
-                shared.append(len(gone))
-                texts.append("\n".join(x for k, x in enumerate(lines) if k not in gone or explicit and keep))
+                lines, parts = lines_of(source)
+                both = set(common(digests(lines), [int(x) for x in other])) if other is not None else set()
+                gone = deleted(both, parts if keep else [])
+                shared.append(len(both))
+                texts.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
             yield pd.DataFrame({"page_id": batch.page_id, "url": batch.url, "text": texts, "n_chars": [len(t) for t in texts], "n_shared": shared})
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -72,3 +72,13 @@ def test_the_lines_of_one_file_are_not_sorted(spark):
     assert [r[0] for r in df.collect()] in (["1,a", "b", "2,c"], ["2,c", "1,a", "b"])
 
 
+def test_elements_shared_with_the_nearest_page_go(spark):
+    def page(title, text, teaser="<article><h2>Read this</h2>now</article>"):
+        return f"<main><p>Home</p><article><h1>{title}</h1><p>{text}</p></article>{teaser}</main>"
+
+    rows = [(1, "http://h/a/1", page("Same title", "first")), (2, "http://h/a/2", page("Same title", "second")), (3, "http://g/a", page("t", "copy")), (4, "http://g/b", page("t", "copy"))]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Home\nt\ncopy\nRead this\nnow"
+    assert out == {1: "Same title\nfirst", 2: "Same title\nsecond", 3: whole, 4: whole}
+
+
