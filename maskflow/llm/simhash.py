@@ -313,12 +313,19 @@ def links(cells: DataFrame, radius: int, cut: bool = False) -> DataFrame:
     return rest.unionByName(links(above.select(F.explode(F.array(*quarters)).alias("cell"), "bits"), radius, True))
 
 
-def placed(values: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
-    """`values` (distinct bits and more columns) with `root`, the same for all that are linked over any number of links."""
-    roots = components(links(cells, radius)).withColumnRenamed("node", "bits")
+def placed(values: DataFrame, linked: DataFrame) -> DataFrame:
+    """`values` (distinct bits and more columns) with `root`, the same for all that hang together over the links."""
+    roots = components(linked).withColumnRenamed("node", "bits")
     return values.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
 
 
+def on_grid(values: DataFrame) -> DataFrame:
+    """`values` (distinct fingerprints `value` and more columns) with `root`, linked at 3 differing bits or fewer."""
+    values = materialise(values.withColumn("bits", F.to_binary(hex_digits("value"), F.lit("hex"))), "values")
+    counted = values.withColumn("counts", segment_counts("value"))
+    return placed(values, links(counted.select(F.explode(grid_cells("counts")).alias("cell"), "bits"), 3))
+
+
 def label(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """Per row of `docs`: doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links.
 
@@ -328,10 +335,7 @@ def label(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     gives none.
     """
     marked = materialise(docs.select("doc_id", fingerprint("text", size, seed).alias("value")), "fingerprints")
-    values = marked.groupBy("value").agg(F.min("doc_id").alias("least"))
-    values = materialise(values.withColumn("bits", F.to_binary(hex_digits("value"), F.lit("hex"))), "values")
-    counted = values.withColumn("counts", segment_counts("value"))
-    tops = placed(values, counted.select(F.explode(grid_cells("counts")).alias("cell"), "bits"), 3)
+    tops = on_grid(marked.groupBy("value").agg(F.min("doc_id").alias("least")))
     smallest = tops.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = tops.join(smallest, "root").select("value", "component_id")
     return marked.join(ids, "value", "left").select("doc_id", hex_digits("value").alias("fingerprint"), "component_id")
@@ -392,14 +396,20 @@ def sketched(text: str | Column, how: Likeness) -> Column:
 def deduplicate(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """One row of `docs` for each group of alike documents, the one with the smallest doc_id; all columns are kept.
 
-    Groups hang together over links of at least `how.least`. Null and blank texts are one group. Rows with a null id
+    Groups hang together over links of `label` (the grid of fingerprints) and over those of at least `how.least`, which
+    such a grid is too narrow for. Null and blank texts are one group. Rows with a null id
     stay only where no row of their group has one. Repeated rows, and rows that agree in doc_id and text, count once.
     """
     key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
-    marked = docs.select("doc_id", key.alias("key"), sketched("text", how).alias("s")).select("doc_id", "key", "s.*")
-    marked = materialise(marked, "sketches")
+    marked = docs.select("doc_id", key.alias("key"), fingerprint("text").alias("value"), sketched("text", how).alias("s"))
+    marked = materialise(marked.select("doc_id", "key", "value", "s.*"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     values = materialise(marked.groupBy("bits").agg(F.min(order).alias("least"), F.first("cells").alias("cells")), "values")
-    tops = placed(values.select("bits", "least"), values.select(F.explode(F.array_distinct("cells")).alias("cell"), "bits"), how.radius)
+    # Wide fingerprints whose documents hang together on the grid are linked with the least of them.
+    pairs = materialise(marked.select("value", "bits").distinct(), "pairs")
+    near = pairs.join(on_grid(pairs.select("value").distinct()).select("value", "root"), "value").select("root", "bits")
+    hung = near.join(near.groupBy("root").agg(F.min("bits").alias("b")), "root").where("bits <> b").select(F.col("bits").alias("a"), "b")
+    wide = links(values.select(F.explode(F.array_distinct("cells")).alias("cell"), "bits"), how.radius)
+    tops = placed(values.select("bits", "least"), wide.unionByName(hung))
     kept = tops.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
     return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

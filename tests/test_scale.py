@@ -82,3 +82,11 @@ def test_elements_shared_with_the_nearest_page_go(spark):
     assert out == {1: "Same title\nfirst", 2: "Same title\nsecond", 3: whole, 4: whole}
 
 
+def test_the_stage_links_what_the_grid_links(spark):
+    def text(k):
+        return "one two three " * 400 + " ".join(f"w{k}x{n}" for n in range(30))
+
+    docs = spark.createDataFrame([(5, text(1)), (6, text(2)), (7, "something else " + text(3)[-150:])], "doc_id long, text string")
+    components = {r.doc_id: r.component_id for r in simhash.label(docs).collect()}
+    assert components == {5: 5, 6: 5, 7: 7}
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [5, 7]
