@@ -46,6 +46,7 @@ def test_ordered_groups_of_many_rows_need_few_blocks(spark):
     assert slots.small and slots.table.count() <= 4096
 
 
+@pytest.mark.parametrize("name", ["generate_incremental_date", "generate_table", "generate_table_shuffled"])
 def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
     for path in ("part", "supplier"):
         shutil.copy(f"{sf_dir}/{path}.parquet", tmp_path / f"{path}.parquet")
