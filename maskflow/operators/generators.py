@@ -22,7 +22,7 @@ from maskflow.functions.numbers import social_security_number
 from maskflow.functions.permute import permute
 from maskflow.functions.stage import Stage
 from maskflow.functions.text import fill_format, is_filled, normalise_name
-from maskflow.operators.masks import OGD, address_text, house_number_from
+from maskflow.operators.masks import ADDRESS_TEXT, OGD, address_text, before_pick, house_number_from
 from maskflow.operators.ranks import bucket_digits, nth_digest, positions
 from maskflow.operators.slots import Slots, build_slots, pick, row_digest, slots_in_order
 from maskflow.sources.lookups import (
@@ -75,9 +75,11 @@ class GenerateContext:
         scope = f"{name}#{part}" if part else name
         return draws.digest(self.key, scope, self.row)
 
-    def pick(self, slots: Slots, draw: Column, group: Column | None = None, position: bool = False) -> Column:
+    def pick(
+        self, slots: Slots, draw: Column, group: Column | None = None, position: bool = False, values: tuple[str, ...] | None = None
+    ) -> Column:
         into = self.stage.name()
-        self.stage.df = pick(self.stage.df, slots, draw, into, group, position)
+        self.stage.df = pick(self.stage.df, slots, draw, into, group, position, values, even=not position)
         return F.col(into)
 
     def exactly(self, name: str, part: str, count: int) -> Column:
@@ -299,8 +301,10 @@ def streetname(name: str, p: dict, ctx: GenerateContext) -> Generated:
     if p.get("source", OGD) != OGD:
         return single(name, library_street(dg))
     code, area = _area(p)
-    picked = ctx.pick(ctx.lookups.street_slots(code), draws.draw(dg), group=area)
-    return single(name, F.coalesce(picked["str_name"], library_street(dg)))
+    slots = ctx.lookups.street_slots(code)
+    other = before_pick(ctx.stage, slots, library_street(dg))
+    picked = ctx.pick(slots, draws.draw(dg), group=area, values=("str_name",))
+    return single(name, F.coalesce(picked["str_name"], other))
 
 
 def housenumber(name: str, p: dict, ctx: GenerateContext) -> Generated:
@@ -317,7 +321,8 @@ def housenumber(name: str, p: dict, ctx: GenerateContext) -> Generated:
         slots = ctx.lookups.address_slots(code, "str_name")
     else:
         group, slots = area, ctx.lookups.address_slots(code)
-    picked = ctx.pick(slots, draws.draw(dg, 3), group=group)
+    plain = before_pick(ctx.stage, slots, plain)
+    picked = ctx.pick(slots, draws.draw(dg, 3), group=group, values=("hausnr", "hausnr_zus"))
     number = F.concat(picked["hausnr"].cast("string"), F.coalesce(picked["hausnr_zus"], F.lit("")))
     return single(name, F.coalesce(number, plain))
 
@@ -327,8 +332,10 @@ def streetname_housenumber(name: str, p: dict, ctx: GenerateContext) -> Generate
     if p.get("source", OGD) != OGD:
         return single(name, library_street_address(dg))
     code, area = _area(p)
-    picked = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg), group=area)
-    return single(name, F.coalesce(address_text(picked), library_street_address(dg)))
+    slots = ctx.lookups.address_slots(code)
+    other = before_pick(ctx.stage, slots, library_street_address(dg))
+    picked = ctx.pick(slots, draws.draw(dg), group=area, values=ADDRESS_TEXT)
+    return single(name, F.coalesce(address_text(picked), other))
 
 
 def address(name: str, p: dict, ctx: GenerateContext) -> Generated:

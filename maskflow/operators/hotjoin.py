@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.functions.stage import PREFIX
+
 HOT_SHARE = 2000
 ROWS_PER_TASK = 4_000_000
 NULL_SALTS = 4096
+HELPERS = (PREFIX, "__pick_")
 
 
 def row_hash(d: DataFrame) -> Column:
-    """A hash of the whole row; types without a hash take no part in it."""
+    """A hash of the whole row; types without a hash take no part in it. Nor do helper columns: they follow from the others,
+    and would have to be kept for the hash of the next join."""
     fields = [f.name for f in d.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in fields])
+    given = [c for c in fields if not c.startswith(HELPERS)] or fields
+    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in given])
 
 
-def salted_join(df: DataFrame, table: DataFrame, same: Column, salts: int, alone: Column | None = None) -> DataFrame:
+def salted_join(
+    df: DataFrame, table: DataFrame, same: Column, salts: int, alone: Column | None = None, own: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Left join with a lookup that is too large to broadcast: rows are dealt over `salts` copies of it, so that no key,
     null included, brings more than its share of 1/salts of the rows that have it to one task. Rows that are `alone`
-    match nothing and are dealt over as many salts as there may be tasks.
+    match nothing and are dealt over as many salts as there may be tasks. Where `salts` need not be the same for all keys,
+    `own` are those of a row and the copies of a table row, equal for equal keys.
 
     Spark would judge the copies by the size of the file that the table comes from, and broadcast them.
     """
-    dealt = F.lit(salts) if alone is None else F.when(alone, NULL_SALTS).otherwise(salts)
+    dealt, copied = own or (F.lit(salts), F.lit(salts))
+    dealt = dealt if alone is None else F.when(alone, NULL_SALTS).otherwise(dealt)
     d = df.withColumn("__join_salt", F.pmod(row_hash(df), dealt).cast("int"))
-    copies = table.withColumn("__join_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    copies = table.withColumn("__join_copy", F.explode(F.sequence(F.lit(0), copied - 1))).hint("merge")
     return d.join(copies, same & (F.col("__join_salt") == F.col("__join_copy")), "left").drop("__join_salt", "__join_copy")
 
 

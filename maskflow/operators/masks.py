@@ -311,6 +311,16 @@ def _area(p: dict, ctx: MaskContext) -> tuple[str | None, Column | None]:
     return None, None
 
 
+# What `address_text` reads of a lookup row.
+ADDRESS_TEXT = ("str_name", "hausnr", "hausnr_zus")
+
+
+def before_pick(stage: Stage, slots: Slots, value: Column) -> Column:
+    """What is taken from a digest after a pick: made before, if the pick shuffles the rows, for a digest is long and does
+    not compress."""
+    return value if slots.small and slots.few_groups else stage.keep(value)
+
+
 def address_text(a: Column) -> Column:
     return F.concat(a["str_name"], F.lit(" "), a["hausnr"].cast("string"), F.coalesce(a["hausnr_zus"], F.lit("")))
 

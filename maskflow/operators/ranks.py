@@ -33,11 +33,13 @@ def positions(
     groups: tuple[str, ...] = (),
     digits: int = 2,
     rows: int | None = None,
+    no_nulls: bool = False,
 ) -> DataFrame:
     """Add `name`: the total weight of the rows that sort before this one by digest, within its group.
 
     With weight 1 this is the zero-based rank. `rows` is the measured size of `df`, if known: up to
-    `SMALL_ROWS` one window per group is enough.
+    `SMALL_ROWS` one window per group is enough. With `no_nulls` in the groups the ranked rows stay where they are when
+    they are shifted; Spark, which would judge them by the size of their file, does not broadcast them.
     """
     if rows is not None and rows <= SMALL_ROWS:
         own = F.lit(1) if weight is None else weight
@@ -55,7 +57,12 @@ def positions(
         shifts = F.broadcast(shifts)
     inside = Window.partitionBy(*keys).orderBy(dg).rowsBetween(Window.unboundedPreceding, -1)
     ranked = d.withColumn(name, F.coalesce(F.sum(_WEIGHT).over(inside), F.lit(0)))
-    joined = ranked.join(shifts, keys, "inner") if not groups else _null_safe_join(ranked, shifts, keys)
+    if not groups:
+        joined = ranked.join(shifts, keys, "inner")
+    elif no_nulls:
+        joined = ranked.join(shifts.hint("merge"), keys, "inner")
+    else:
+        joined = _null_safe_join(ranked, shifts, keys)
     return joined.withColumn(name, F.col(name) + F.col(_SHIFT)).drop(_BUCKET, _SHIFT, _WEIGHT)
 
 

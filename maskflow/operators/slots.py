@@ -44,8 +44,8 @@ def row_digest(columns: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Slots:
-    """A prepared lookup: interval table, totals per group, whether each of them fits a broadcast, and how many copies
-    are joined otherwise."""
+    """A prepared lookup: interval table, totals per group, whether each of them fits a broadcast, how many copies are
+    joined otherwise, and the intervals that the table is made from."""
 
     table: DataFrame
     totals: DataFrame | None
@@ -55,14 +55,29 @@ class Slots:
     values: tuple[str, ...]
     few_groups: bool = True
     copies: int = COPIES
+    placed: DataFrame | None = None
 
-    def join(self, df: DataFrame, table: DataFrame, same: Column, alone: Column | None = None) -> DataFrame:
+    def join(
+        self, df: DataFrame, table: DataFrame, same: Column, alone: Column | None = None, own: tuple[Column, Column] | None = None
+    ) -> DataFrame:
         """`df` left joined with a table no larger than this lookup; rows that are `alone` match nothing."""
-        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies, alone)
+        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies, alone, own)
 
     def join_totals(self, df: DataFrame, totals: DataFrame, same: Column, alone: Column | None = None) -> DataFrame:
         return df.join(F.broadcast(totals), same, "left") if self.few_groups else salted_join(df, totals, same, self.copies, alone)
 
+    def holding(self, values: tuple[str, ...]) -> "Slots":
+        """The same picks; a table that is shuffled holds only these values."""
+        if self.small or self.placed is None or set(values) >= set(self.values):
+            return self
+        return replace(self, table=_table(self.placed, list(values), self.width, self.totals is not None), values=values)
+
+    def copies_for(self, total: str) -> Column:
+        """How many copies a group's blocks need if its rows are spread evenly over the group's intervals: rows of a group
+        of many blocks are dealt over them already."""
+        blocks = f"(({total} + {self.width - 1}) div {self.width})"
+        return F.expr(f"({self.copies - 1} + {blocks}) div {blocks}").cast("int")
+
 
 def build_slots(
     rows: DataFrame,
@@ -93,7 +108,7 @@ def build_slots(
     count, total = int(size["n"]), int(size["total"])
     groups = (_GROUP,) if group is not None else ()
     placed = positions(
-        lookup, row_digest(values), _LO, F.col("__slot_weight"), groups, bucket_digits(count), count
+        lookup, row_digest(values), _LO, F.col("__slot_weight"), groups, bucket_digits(count), count, no_nulls=True
     ).withColumn("__slot_hi", F.col(_LO) + F.col("__slot_weight"))
     totals = None if group is None else lookup.groupBy(_GROUP).agg(F.sum("__slot_weight").alias(_TOTAL))
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
@@ -107,6 +122,12 @@ def _from_intervals(
 ) -> Slots:
     most = min(max_blocks, max(LEAST_BLOCKS, BLOCKS_PER_ROW * count))
     width = max(1, -(-total // most))
+    table = _table(placed, values, width, totals is not None)
+    expected = (min(total, most) + count) * (int(chars) * 2 + 48)
+    return Slots(table, totals, total, width, expected <= limit, tuple(values), placed=placed)
+
+
+def _table(placed: DataFrame, values: list[str], width: int, grouped: bool) -> DataFrame:
     blocks = placed.withColumn(
         _BLOCK,
         F.explode(
@@ -119,10 +140,7 @@ def _from_intervals(
         # At most `width` intervals touch a block, since every weight is at least one.
         piece = F.struct(F.col(_LO).alias("lo"), F.col("__slot_hi").alias("hi"), F.struct(*values).alias("v"))
         table = blocks.groupBy(_GROUP, _BLOCK).agg(F.collect_list(piece).alias(_PIECES))
-    if totals is None:
-        table = table.drop(_GROUP)
-    expected = (min(total, most) + count) * (int(chars) * 2 + 48)
-    return Slots(table, totals, total, width, expected <= limit, tuple(values))
+    return table if grouped else table.drop(_GROUP)
 
 
 def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: int) -> Slots:
@@ -136,13 +154,27 @@ def slots_in_order(counts: DataFrame, value: str, n: str, values: int, total: in
 
 
 def pick(
-    df: DataFrame, slots: Slots, draw: Column, into: str, group: Column | None = None, position: bool = False
+    df: DataFrame,
+    slots: Slots,
+    draw: Column,
+    into: str,
+    group: Column | None = None,
+    position: bool = False,
+    values: tuple[str, ...] | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Add struct column `into` with the picked lookup values; null where the group is unknown.
 
-    `draw` is a non-negative integer; with `position=True` it is the exact position in the intervals.
+    `draw` is a non-negative integer; with `position=True` it is the exact position in the intervals. `values` are those
+    that are read afterwards, all by default. `even` says that every row has a draw of its own, so that a hot group is no
+    hot block and few copies of a shuffled lookup do.
     """
     d = df
+    slots = slots if values is None else slots.holding(values)
+    own = None
+    if not (slots.small and slots.few_groups):
+        # The rows are shuffled: an integer is shorter than the digest that it is taken from.
+        d, draw = d.withColumn("__pick_draw", draw), F.col("__pick_draw")
     if group is not None:
         totals = slots.totals.select(F.col(_GROUP).alias("__pick_total_group"), F.col(_TOTAL).alias("__pick_total"))
         # Tied to the draw: a constant group would be folded away and leave a join without a key.
@@ -159,13 +191,20 @@ def pick(
     if group is not None:
         table = table.withColumnRenamed(_GROUP, "__pick_table_group")
         condition = condition & (F.col("__pick_group") == F.col("__pick_table_group"))
-    d = slots.join(d, table, condition, F.col("__pick_block").isNull())
+    if even and not slots.small and (group is None or slots.few_groups):
+        if group is None:
+            d, table = d.withColumn("__pick_total", total), table.withColumn("__pick_table_total", total)
+        else:
+            per_group = totals.toDF("__pick_copied_group", "__pick_table_total")
+            table = table.join(F.broadcast(per_group), F.col("__pick_table_group") == F.col("__pick_copied_group"))
+        own = slots.copies_for("__pick_total"), slots.copies_for("__pick_table_total")
+    d = slots.join(d, table, condition, F.col("__pick_block").isNull(), own)
     if slots.width == 1:
         chosen = F.col("__slot_value")
     else:
         hit = F.filter(F.col(_PIECES), lambda p: (p["lo"] <= F.col("__pick_at")) & (F.col("__pick_at") < p["hi"]))
         chosen = F.try_element_at(hit, F.lit(1))["v"]
     return d.withColumn(into, chosen).drop(
-        "__pick_group", "__pick_total_group", "__pick_total", "__pick_at", "__pick_block",
-        "__pick_table_block", "__pick_table_group", "__slot_value", _PIECES,
+        "__pick_draw", "__pick_group", "__pick_total_group", "__pick_total", "__pick_at", "__pick_block",
+        "__pick_table_block", "__pick_table_group", "__pick_copied_group", "__pick_table_total", "__slot_value", _PIECES,
     )

@@ -1,6 +1,7 @@
 """Plans and rows that only larger tables show."""
 
 import shutil
+from dataclasses import replace
 
 import pytest
 from compare import compare, connect
@@ -10,8 +11,11 @@ from __spark_entry__ import oracle_sql, queries
 from maskflow.checks.source_checks import lines_of_one_file
 from maskflow.llm import html, simhash
 from maskflow.operators.hotjoin import salted_join
+from maskflow.operators.ranks import positions
 from maskflow.operators.slots import COPIES, build_slots, pick, slots_in_order
+from maskflow.plans.generate import generate_table
 from maskflow.sources.files import read_csv
+from maskflow.sources.lookups import Lookups
 
 
 def optimized(df):
@@ -46,6 +50,71 @@ def test_ordered_groups_of_many_rows_need_few_blocks(spark):
     assert slots.small and slots.table.count() <= 4096
 
 
+def merges(df):
+    """Both sides of every merge join with a lookup: the columns that are shuffled, the digests among them, and the types."""
+    found, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        todo += below
+        if node.nodeName() == "Join" and "merge" in node.hint().toString():
+            found.append([shuffled(side) for side in below])
+    return found
+
+
+def shuffled(side):
+    columns = {c.toString(): c.dataType().simpleString() for c in (side.output().apply(k) for k in range(side.output().size()))}
+    todo, digests = [side], set()
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Project":
+            made = [node.projectList().apply(k).toString() for k in range(node.projectList().size())]
+            digests |= {m.rsplit(" AS ", 1)[1] for m in made if m.startswith("sha2(")}
+    return sorted(digests & set(columns)), " ".join(columns.values())
+
+
+def generated_numbers(spark, lookups):
+    places = {"function": "random_int", "min": 4051, "max": 4059}
+    roads = {"function": "list_string", "list": ["Bachstrasse", "Ahornweg", "Nirgendweg"]}
+    number = {"function": "housenumber", "plz_field": "p", "streetname_field": "s"}
+    return generate_table(spark, {"columns": {"s": roads, "p": places, "x": number}}, lookups, "key", spark.range(3000))
+
+
+def moves_little(spark, made, values):
+    expected = sorted(map(str, made(spark, Lookups(spark)).collect()))
+    for limit in (0, 100_000):  # totals by area are shuffled, or broadcast
+        df = made(spark, Lookups(spark, broadcast_bytes=limit))
+        sides = merges(df)
+        assert sides and all(digests == [] for pair in sides for digests, _ in pair)
+        looked_up = [kinds for _, (_, kinds) in sides if "struct<" in kinds]
+        assert looked_up and all(values in kinds for kinds in looked_up)
+        assert sorted(map(str, df.collect())) == expected
+
+
+def test_house_numbers_move_no_digest_and_no_other_value(spark):
+    moves_little(spark, generated_numbers, "struct<hausnr:int,hausnr_zus:string>")
+
+
+def test_ranked_rows_of_known_groups_are_not_broadcast(spark):
+    df = spark.range(900).selectExpr("sha2(cast(id % 800 AS string), 256) AS h", "concat('g', id % 7) AS g", "id % 3 + 1 AS w")
+    kept, old = (positions(df, F.col("h"), "r", F.col("w"), ("g",), no_nulls=n) for n in (True, False))
+    assert "strategy=merge" in optimized(kept)
+    by_digest = [sorted(map(str, d.groupBy("g", "h").agg(F.sum("w"), F.min("r")).collect())) for d in (kept, old)]
+    assert by_digest[0] == by_digest[1] and len(by_digest[0]) > 800
+
+
+def test_rows_with_draws_of_their_own_need_few_copies(spark):
+    lookup = spark.range(0, 64).selectExpr("id AS v", "IF(id < 60, 'many', 'few') AS g")
+    slots = build_slots(lookup, ["v"], F.col("g"), broadcast_bytes=0)
+    need = slots.totals.select("__slot_group", slots.copies_for("__slot_total")).collect()
+    assert dict(map(tuple, need)) == {"many": 1, "few": 2}
+    rows = spark.range(600).withColumn("g", F.expr("element_at(array('many', 'few', 'none', NULL), cast(id % 4 + 1 AS int))"))
+    kept, copied = (pick(rows, s, F.col("id"), "p", F.col("g"), even=e) for s, e in ((slots, True), (replace(slots, small=True), False)))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, copied.collect()))
+    assert "sequence(0, 7" not in optimized(kept) and "[0,1,2,3,4,5,6,7]" not in optimized(kept)
+
+
 @pytest.mark.parametrize("name", ["generate_incremental_date", "generate_table", "generate_table_shuffled"])
 def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
     for path in ("part", "supplier"):
