@@ -14,6 +14,7 @@ from maskflow.operators.hotjoin import salted_join
 from maskflow.operators.ranks import positions
 from maskflow.operators.slots import COPIES, build_slots, pick, slots_in_order
 from maskflow.plans.generate import generate_table
+from maskflow.plans.mask import mask_table
 from maskflow.sources.files import read_csv
 from maskflow.sources.lookups import Lookups
 
@@ -81,6 +82,17 @@ def generated_numbers(spark, lookups):
     return generate_table(spark, {"columns": {"s": roads, "p": places, "x": number}}, lookups, "key", spark.range(3000))
 
 
+def masked(spark, lookups, columns):
+    people = spark.range(3000).selectExpr(
+        "id", "concat('Weg ', id % 7, ' ', id % 5) AS adresse", "IF(id % 6 = 0, NULL, 'Hauptgasse') AS strasse",
+        "IF(id % 9 = 0, NULL, cast(4051 + id % 8 AS string)) AS plz", "concat('n', id % 50) AS nachname",
+    )
+    return mask_table(people, {"columns": columns}, lookups, "key", ["id"])
+
+
+ADDRESS_MASK = {"function": "streetname_housenumber", "source": "ogd-bs", "plz_field": "plz"}
+
+
 def moves_little(spark, made, values):
     expected = sorted(map(str, made(spark, Lookups(spark)).collect()))
     for limit in (0, 100_000):  # totals by area are shuffled, or broadcast
@@ -115,6 +127,11 @@ def test_rows_with_draws_of_their_own_need_few_copies(spark):
     assert "sequence(0, 7" not in optimized(kept) and "[0,1,2,3,4,5,6,7]" not in optimized(kept)
 
 
+def test_a_masked_table_moves_no_digest(spark):
+    columns = {"nachname": {"function": "last_name", "source": "ogd-bs"}, "adresse": ADDRESS_MASK}
+    moves_little(spark, lambda s, l: masked(s, l, columns), "struct<")
+
+
 @pytest.mark.parametrize("name", ["generate_incremental_date", "generate_table", "generate_table_shuffled"])
 def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
     for path in ("part", "supplier"):
