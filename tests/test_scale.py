@@ -127,6 +127,10 @@ def test_rows_with_draws_of_their_own_need_few_copies(spark):
     assert "sequence(0, 7" not in optimized(kept) and "[0,1,2,3,4,5,6,7]" not in optimized(kept)
 
 
+def test_masked_addresses_move_no_digest_and_no_other_value(spark):
+    moves_little(spark, lambda s, l: masked(s, l, {"adresse": ADDRESS_MASK}), "struct<str_name:string,hausnr:int,hausnr_zus:string>")
+
+
 def test_a_masked_table_moves_no_digest(spark):
     columns = {"nachname": {"function": "last_name", "source": "ogd-bs"}, "adresse": ADDRESS_MASK}
     moves_little(spark, lambda s, l: masked(s, l, columns), "struct<")
