@@ -344,8 +344,10 @@ def street(name: str, p: dict, ctx: MaskContext) -> Column:
     if p.get("source", OGD) != OGD or code is None:
         return F.when(value.isNotNull(), library_street(ctx.digest(name, p, value)))
     dg = ctx.digest(name, p, value, area)
-    picked = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg), group=area)
-    return F.when(value.isNotNull(), F.coalesce(picked["str_name"], library_street(dg)))
+    slots = ctx.lookups.address_slots(code)
+    other = before_pick(ctx.stage, slots, library_street(dg))
+    picked = ctx.pick(slots, draws.draw(dg), group=area, values=("str_name",))
+    return F.when(value.isNotNull(), F.coalesce(picked["str_name"], other))
 
 
 def blur_address(name: str, p: dict, ctx: MaskContext) -> Column:
@@ -358,12 +360,14 @@ def blur_address(name: str, p: dict, ctx: MaskContext) -> Column:
     dg = ctx.digest(name, p, value, area)
     streets = ctx.lookups.address_slots(code, "str_name")
     key = ctx.stage.keep(F.concat(road, F.lit("|"), area))
+    drawn = draws.draw(dg, 0), draws.draw(dg, 1), library_street_address(dg)
+    near_draw, far_draw, other = (before_pick(ctx.stage, streets, c) for c in drawn)
     total = ctx.stage.name()
     sizes = streets.totals.select(F.col("__slot_group").alias("__blur_group"), F.col("__slot_total").alias(total))
     ctx.stage.df = streets.join_totals(ctx.stage.df, sizes, key == F.col("__blur_group"), key.isNull()).drop("__blur_group")
-    near = ctx.pick(streets, draws.draw(dg, 0), key)
-    far = ctx.pick(ctx.lookups.address_slots(code), draws.draw(dg, 1), area)
-    elsewhere = F.coalesce(address_text(far), library_street_address(dg))
+    near = ctx.pick(streets, near_draw, key, ADDRESS_TEXT)
+    far = ctx.pick(ctx.lookups.address_slots(code), far_draw, area, ADDRESS_TEXT)
+    elsewhere = F.coalesce(address_text(far), other)
     moved = F.when(F.col(total) > 1, address_text(near)).otherwise(elsewhere)
     return F.when(number.isNull(), value).otherwise(moved)
 

@@ -91,6 +91,7 @@ def masked(spark, lookups, columns):
 
 
 ADDRESS_MASK = {"function": "streetname_housenumber", "source": "ogd-bs", "plz_field": "plz"}
+STREET_MASK = {"function": "street", "plz_field": "plz"}
 
 
 def moves_little(spark, made, values):
@@ -131,11 +132,20 @@ def test_masked_addresses_move_no_digest_and_no_other_value(spark):
     moves_little(spark, lambda s, l: masked(s, l, {"adresse": ADDRESS_MASK}), "struct<str_name:string,hausnr:int,hausnr_zus:string>")
 
 
+def test_masked_streets_move_no_digest_and_no_other_value(spark):
+    moves_little(spark, lambda s, l: masked(s, l, {"strasse": STREET_MASK}), "struct<str_name:string>")
+
+
 def test_a_masked_table_moves_no_digest(spark):
-    columns = {"nachname": {"function": "last_name", "source": "ogd-bs"}, "adresse": ADDRESS_MASK}
+    columns = {"nachname": {"function": "last_name", "source": "ogd-bs"}, "adresse": ADDRESS_MASK, "strasse": STREET_MASK}
     moves_little(spark, lambda s, l: masked(s, l, columns), "struct<")
 
 
+def test_blurred_addresses_move_no_digest(spark):
+    blur = {"function": "blur_address", "location_code_col": "plz", "location_data_col": "plz"}
+    moves_little(spark, lambda s, l: masked(s, l, {"adresse": blur}), "")
+
+
 @pytest.mark.parametrize("name", ["generate_incremental_date", "generate_table", "generate_table_shuffled"])
 def test_dates_past_9999_are_null_as_in_the_sql(spark, sf_dir, tmp_path, name):
     for path in ("part", "supplier"):
