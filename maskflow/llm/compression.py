@@ -9,10 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskflow.llm.common import fold, ship
+from maskflow.session import materialise
 
 ship(__name__)
 
@@ -93,8 +94,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3
     return float(beta[0] - slopes @ mean), float(slopes[0]), float(slopes[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[pd.DataFrame, dict[int, int]]:
-    """At most `per_class` labelled training documents of each class, and how many labels of each there are."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, int]]:
+    """At most `per_class` labelled training documents of each class (place, quality, text), written once, and how many
+    labels of each there are."""
     usable = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(fold("doc_id") != 0)
     usable = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     totals = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -105,8 +107,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> t
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, settings.sample_chars).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")  # 2 x per_class rows at most
-    joined = joined.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").limit(2 * settings.per_class)
-    return joined.toPandas(), totals
+    joined = joined.orderBy(order, "doc_id", "text").limit(2 * settings.per_class)
+    placed = joined.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "doc_id", "text")) - 1)
+    return materialise(placed.select("place", "quality", "text"), "labelled-sample"), totals
 
 
 def dictionary(texts: list[bytes], size: int, settings: Settings) -> bytes:
@@ -119,12 +122,20 @@ def dictionary(texts: list[bytes], size: int, settings: Settings) -> bytes:
     length, step = len(whole), settings.segment
     if length <= size + len(texts):
         return whole[:size]
-    padded = np.frombuffer(whole + bytes(8), dtype=np.uint8)
-    runs = np.zeros(length, dtype=np.uint64)
+    # Numbered by the low bits they begin with, so that what sorting takes is a part of the text's size only.
+    padded, runs = whole + bytes(8), np.empty(length, dtype=np.uint64)
     for k in range(8):
-        runs |= padded[k : k + length].astype(np.uint64) << np.uint64(8 * k)
-    _, known, counts = np.unique(runs, return_inverse=True, return_counts=True)
-    worth = counts - 1
+        runs[k::8] = np.frombuffer(padded, dtype="<u8", count=-(-(length - k) // 8), offset=k)
+    known, numbered, parts = np.empty(length, dtype=np.int32), 0, []
+    low = np.frombuffer(whole, dtype=np.uint8) & 15
+    for part in range(16):
+        at = np.flatnonzero(low == part)
+        _, own, counts = np.unique(runs[at], return_inverse=True, return_counts=True)
+        known[at] = own + numbered
+        numbered += len(counts)
+        parts.append((counts - 1).astype(np.int32))
+    worth = np.concatenate(parts)
+    del padded, runs, low, parts
 
     def value(number: int) -> int:
         return int(worth[np.unique(known[number * step : (number + 1) * step])].sum())
@@ -149,24 +160,38 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Dictionaries from half of the labelled sample, the logistic curve from the other half.
 
     Only rows of folds 1 to 4 are learned from. Without labels, or with one class only, the model has no
-    dictionaries and gives every text the share of good labels (0.5 without any).
+    dictionaries and gives every text the share of good labels (0.5 without any). Texts stay with the tasks: the driver
+    gets the dictionaries and two numbers of each text of the other half.
     """
     sample, totals = labelled_sample(docs, labels, settings)
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     prior = float(np.log(share / (1 - share)))
-    sample["half"] = np.arange(len(sample)) % 2
-    known = sample[sample.half == 0]
-    if not {0, 1} <= set(known.quality) or not {0, 1} <= set(sample[sample.half == 1].quality):
+    sample = sample.withColumn("half", F.col("place") % 2)
+    sizes = sample.groupBy("half", "quality").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    sizes = {(r["half"], r["quality"]): r["n"] for r in sizes}
+    if len(sizes) < 4:  # a class is missing in one of the halves
         return Model(b"", b"", (prior, 0.0, 0.0), settings)
 
-    texts = {q: [t.encode("utf-8", "surrogatepass") for t in known[known.quality == q].text if t] for q in (0, 1)}
-    size = min(settings.dict_bytes, *(sum(map(len, t)) for t in texts.values()))  # a larger dictionary would win by its size
-    good, bad = dictionary(texts[1], size, settings), dictionary(texts[0], size, settings)
-    size = min(len(good), len(bad))
-    good, bad = good[len(good) - size :], bad[len(bad) - size :]
-    scorer = Scorer(good, bad, settings)
-    rest = sample[sample.half == 1]
-    x = scorer.table(rest.text)
+    size = min(settings.dict_bytes, sizes[0, 0], sizes[0, 1])  # a larger dictionary would win by its size
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode("utf-8", "surrogatepass") for t in rows.sort_values("place").text if t]
+        return pd.DataFrame({"quality": rows.quality.iloc[:1], "content": [dictionary(texts, size, settings)]})
+
+    learned = sample.where("half = 0").groupBy("quality").applyInPandas(learn, "quality int, content binary").collect()
+    contents = {r["quality"]: bytes(r["content"]) for r in learned}
+    size = min(map(len, contents.values()))
+    good, bad = (contents[q][len(contents[q]) - size :] for q in (1, 0))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(good, bad, settings)
+        for rows in batches:
+            x = scorer.table(rows.text)
+            yield pd.DataFrame({"place": rows.place, "quality": rows.quality, "difference": x[:, 0], "share": x[:, 1]})
+
+    rest = sample.where("half = 1").mapInPandas(measure, "place int, quality int, difference double, share double")
+    rest = rest.toPandas().sort_values("place", ignore_index=True)
+    x = np.ascontiguousarray(rest[["difference", "share"]].to_numpy(float))
     y = rest.quality.to_numpy(float)
     per_row = {q: totals[q] / max(1, int((y == q).sum())) for q in (0, 1)}
     w = np.where(y == 1, per_row[1], per_row[0])

@@ -7,6 +7,7 @@ import html as html_module
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -440,3 +441,25 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir, docs):
     good = [k for k, q in labels.items() if q == 1]
     groups = {docs[k].text for k in kept}
     assert sum(k in kept or docs[k].text in groups for k in good) >= 0.85 * len(good)
+
+
+def test_texts_to_learn_from_stay_with_the_tasks(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat(concat('w', id % 7, ' '), 200), id) AS text", "cast(id % 2 AS int) AS quality")
+    settings, read = compression.Settings(dict_bytes=4096), []
+    for name in ("collect", "toPandas"):
+        got = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda self, *a, _got=got: (read.append(_got(self, *a)), read[-1])[1])
+    model = compression.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), settings)
+    assert len(model.good) == 4096 and model.learned
+    sent = sum(len(v) for rows in read for r in (rows if isinstance(rows, list) else rows.itertuples(index=False)) for v in r if isinstance(v, (str, bytes, bytearray)))
+    assert sent <= 2 * settings.dict_bytes
+
+
+def test_a_dictionary_takes_a_few_times_its_texts(spark):
+    words = np.random.default_rng(2).integers(0, 4000, 200_000)
+    texts = [b" ".join(b"%d" % w for w in part) for part in np.split(words, 50)]
+    tracemalloc.start()
+    found = compression.dictionary(texts, 8192, compression.Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 8192 and peak < 40 * sum(map(len, texts))
