@@ -21,6 +21,12 @@ def row_hash(d: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in given])
 
 
+def cuts_joins(df: DataFrame) -> bool:
+    """Whether Spark cuts the large partitions of a merge join of `df` by itself, at the sizes set for it; not in a stream."""
+    set_ = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return not df.isStreaming and all(df.sparkSession.conf.get(s, "true") == "true" for s in set_)
+
+
 def salted_join(
     df: DataFrame, table: DataFrame, same: Column, salts: int, alone: Column | None = None, own: tuple[Column, Column] | None = None
 ) -> DataFrame:

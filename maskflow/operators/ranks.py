@@ -56,7 +56,8 @@ def positions(
     if not groups:
         shifts = F.broadcast(shifts)
     inside = Window.partitionBy(*keys).orderBy(dg).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = d.withColumn(name, F.coalesce(F.sum(_WEIGHT).over(inside), F.lit(0)))
+    # Dealt first: the digests, which are long and do not compress, are made where the rows are ranked.
+    ranked = d.repartition(*keys).withColumn(name, F.coalesce(F.sum(_WEIGHT).over(inside), F.lit(0)))
     if not groups:
         joined = ranked.join(shifts, keys, "inner")
     elif no_nulls:

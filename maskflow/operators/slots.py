@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.operators.hotjoin import salted_join
+from maskflow.operators.hotjoin import cuts_joins, salted_join
 from maskflow.operators.ranks import bucket_digits, positions
 from maskflow.session import BROADCAST_BYTES
 
@@ -21,7 +21,7 @@ MAX_BLOCKS = 1 << 20
 # Few rows need few blocks whatever their weights: with four a row, a draw looks at a quarter more than one interval.
 LEAST_BLOCKS, BLOCKS_PER_ROW = 4096, 4
 # A lookup that is not broadcast is copied so often that hot values and areas are dealt over that many tasks. Every copy
-# is shuffled, so there are few.
+# is shuffled, so there are few, and none where Spark itself cuts large partitions of a join.
 COPIES = 8
 GROUP_BYTES = 64  # of a row of totals, about
 
@@ -61,10 +61,14 @@ class Slots:
         self, df: DataFrame, table: DataFrame, same: Column, alone: Column | None = None, own: tuple[Column, Column] | None = None
     ) -> DataFrame:
         """`df` left joined with a table no larger than this lookup; rows that are `alone` match nothing."""
-        return df.join(F.broadcast(table), same, "left") if self.small else salted_join(df, table, same, self.copies, alone, own)
+        if self.small:
+            return df.join(F.broadcast(table), same, "left")
+        return salted_join(df, table, same, 1, alone) if cuts_joins(df) else salted_join(df, table, same, self.copies, alone, own)
 
     def join_totals(self, df: DataFrame, totals: DataFrame, same: Column, alone: Column | None = None) -> DataFrame:
-        return df.join(F.broadcast(totals), same, "left") if self.few_groups else salted_join(df, totals, same, self.copies, alone)
+        if self.few_groups:
+            return df.join(F.broadcast(totals), same, "left")
+        return salted_join(df, totals, same, 1 if cuts_joins(df) else self.copies, alone)
 
     def holding(self, values: tuple[str, ...]) -> "Slots":
         """The same picks; a table that is shuffled holds only these values."""
@@ -191,7 +195,7 @@ def pick(
     if group is not None:
         table = table.withColumnRenamed(_GROUP, "__pick_table_group")
         condition = condition & (F.col("__pick_group") == F.col("__pick_table_group"))
-    if even and not slots.small and (group is None or slots.few_groups):
+    if even and not slots.small and not cuts_joins(d) and (group is None or slots.few_groups):
         if group is None:
             d, table = d.withColumn("__pick_total", total), table.withColumn("__pick_table_total", total)
         else:

@@ -132,6 +132,42 @@ def test_masked_addresses_move_no_digest_and_no_other_value(spark):
     moves_little(spark, lambda s, l: masked(s, l, {"adresse": ADDRESS_MASK}), "struct<str_name:string,hausnr:int,hausnr_zus:string>")
 
 
+def test_ranked_rows_move_no_digest(spark):
+    df = spark.range(900).selectExpr("cast(id % 800 AS string) AS v", "concat('g', id % 7) AS g")
+    ranked = positions(df, F.sha2(F.col("v"), 256), "r", F.lit(2), ("g",), no_nulls=True)
+    todo, dealt = [ranked._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "RepartitionByExpression":
+            dealt.append(shuffled(node)[0])
+    assert dealt == [[]]
+
+
+def test_a_shuffled_lookup_is_copied_only_where_spark_cuts_no_joins(spark, monkeypatch):
+    copies = []
+    monkeypatch.setattr("maskflow.operators.slots.salted_join", lambda d, t, same, salts, *a: (copies.append(salts), salted_join(d, t, same, salts, *a))[1])
+    rows = spark.range(40_000).selectExpr("id", "IF(id % 10 = 0, id, 7) AS d", "IF(id % 6 = 0, NULL, 'g') AS g")
+    lookup = spark.range(30_000).selectExpr("id AS v", "'g' AS g")
+    expected = sorted(map(str, pick(rows, build_slots(lookup, ["v"], F.col("g")), F.col("d"), "p", F.col("g")).collect()))
+    slots = build_slots(lookup, ["v"], F.col("g"), broadcast_bytes=0)
+    settings = {"skewJoin.skewedPartitionThresholdInBytes": "10k", "skewJoin.skewedPartitionFactor": "1", "advisoryPartitionSizeInBytes": "10k", "enabled": "true"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(f"spark.sql.adaptive.{name}", value)
+        for cut in (True, False):
+            spark.conf.set("spark.sql.adaptive.skewJoin.enabled", str(cut).lower())
+            got = pick(rows.repartition(8), slots, F.col("d"), "p", F.col("g"))
+            assert set(copies) == ({1} if cut else {COPIES})
+            copies.clear()
+            assert sorted(map(str, got.collect())) == expected
+            assert ("skew=true" in got._jdf.queryExecution().executedPlan().toString()) == cut
+    finally:
+        for name in [*settings, "skewJoin.enabled"]:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_masked_streets_move_no_digest_and_no_other_value(spark):
     moves_little(spark, lambda s, l: masked(s, l, {"strasse": STREET_MASK}), "struct<str_name:string>")
 
